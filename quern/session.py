@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,3 +72,23 @@ def materialize(df: DataFrame, tag: str = "t") -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable for Python workers, once per application.
+
+    Workers of a cluster need not have it installed: Spark's own file server hands them
+    a zip of the sources.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_quern_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    if root.is_dir():
+        folder = tempfile.mkdtemp(prefix="quern-")  # local sessions read the file in place
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        with zipfile.ZipFile(f"{folder}/quern_sources.zip", "w", zipfile.ZIP_DEFLATED) as z:
+            for path in sorted(root.rglob("*.py")):
+                z.write(path, path.relative_to(root.parent))
+        context.addPyFile(f"{folder}/quern_sources.zip")
+    context._quern_shipped = True
