@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.decontaminate import contamination
 from quern.llm.exact_dedup import exact_groups
+from quern.llm.packing import pack_documents
+from quern.llm.secret_scan import scan_secrets, span_digest
+from quern.llm.simhash import near_duplicates
 from quern.llm.token_counts import count_tokens
 
 TOKENIZERS = "public_tokenizers"
@@ -22,6 +25,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -33,6 +40,10 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d
 FROM d JOIN g USING (t)
 """
 
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("byte_bpe_50k.json")
     return count_tokens(_table(spark, sf_dir, "documents"), path, limit=512)
@@ -68,10 +79,17 @@ SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit
 FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digest(scan_secrets(_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_decontaminate": op9_decontaminate,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLE_SQL = {
