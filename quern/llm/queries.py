@@ -11,6 +11,7 @@ from quern.llm.exact_dedup import exact_groups
 from quern.llm.packing import pack_documents
 from quern.llm.secret_scan import scan_secrets, span_digest
 from quern.llm.simhash import near_duplicates
+from quern.llm.suffix_dedup import remove_repeats
 from quern.llm.token_counts import count_tokens
 
 TOKENIZERS = "public_tokenizers"
@@ -29,6 +30,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"
+    )
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -85,6 +92,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_token_counts": op8_token_counts,
