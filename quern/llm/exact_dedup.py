@@ -12,8 +12,10 @@ Three steps, each comparing the whole text and not only its digest:
 Rows get their verdict by a narrow join on (digest, check), which carries no text. The
 join is safe because step 3 proves that one (digest, check) pair stands for one text;
 should two texts ever share both SHA-256 and MD5, the query stops with an error instead
-of merging them. Only groups of two or more rows are joined. The join is an outer join
-of two plain exchanges, so adaptive execution splits a hot digest.
+of merging them. Only groups of two or more rows are joined. Their winners are written to
+the shared folder first: the join then has a plain scan on either side, so Spark broadcasts
+the winners if their measured size allows it, and otherwise adaptive execution splits a
+hot digest.
 
 Everything is DataFrame functions; no Python runs on the executors.
 """
@@ -23,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.session import shuffle_partitions
+from quern.session import materialize, shuffle_partitions
 
 
 def sha256_digest(text: Column) -> Column:
@@ -90,7 +92,7 @@ def exact_groups(
         F.unhex(F.md5(text)).alias("_check"),
         F.sha2(text, 256).alias("_sha"),
     )
-    joined = rows.join(winners, ["_digest", "_check"], "left")
+    joined = rows.join(materialize(winners, "winners"), ["_digest", "_check"], "left")
     alone = F.col("_w_n").isNull()
     keep = F.when(alone, F.col("_id")).otherwise(F.col("_w_keep"))
     return joined.select(
