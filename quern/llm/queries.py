@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from quern.llm.decontaminate import contamination
 from quern.llm.exact_dedup import exact_groups
 from quern.llm.packing import pack_documents
+from quern.llm.quality import quality_scores
 from quern.llm.secret_scan import scan_secrets, span_digest
 from quern.llm.simhash import near_duplicates
 from quern.llm.suffix_dedup import remove_repeats
 from quern.llm.token_counts import count_tokens
+from quern.llm.toxicity import toxicity_scores
 
 TOKENIZERS = "public_tokenizers"
 
@@ -36,6 +38,10 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -47,6 +53,10 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d
 FROM d JOIN g USING (t)
 """
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -93,7 +103,9 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_toxicity": op6_toxicity,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_decontaminate": op9_decontaminate,
