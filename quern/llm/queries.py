@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.decontaminate import contamination
 from quern.llm.exact_dedup import exact_groups
+from quern.llm.line_dedup import dedup_lines
 from quern.llm.packing import pack_documents
 from quern.llm.quality import quality_scores
 from quern.llm.secret_scan import scan_secrets, span_digest
@@ -28,6 +29,31 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(_table(spark, sf_dir, "documents")).drop("text")
+
+
+OP1_SQL = """
+WITH l AS (
+  SELECT doc_id, i, line, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h FROM (
+    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+      generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),
+e AS (
+  SELECT doc_id, i, line, (h + 31 * coalesce(lag(h, 1) OVER w, 0) + 961 * coalesce(lag(h, 2) OVER w, 0)) % 4 = 0 AS ends
+  FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+n AS (
+  SELECT doc_id, i, line, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM e),
+c AS (SELECT doc_id, no, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY i) AS t FROM n GROUP BY doc_id, no),
+r AS (
+  SELECT *, n_lines >= 2 AND row_number() OVER (PARTITION BY t ORDER BY doc_id, no) > 1 AS gone FROM c)
+SELECT doc_id, sum(n_lines)::BIGINT AS n_lines, count(*) AS n_chunks, count(*) FILTER (gone) AS n_removed_chunks,
+  coalesce(sum(n_lines) FILTER (gone), 0)::BIGINT AS n_removed_lines,
+  sha256(coalesce(string_agg(t, chr(10) ORDER BY no) FILTER (NOT gone), '')) AS kept_sha256
+FROM r GROUP BY doc_id
+"""
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -101,6 +127,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_quality_classifier": op4_quality_classifier,
@@ -113,6 +140,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_line_dedup": OP1_SQL,
     "op5_exact_dedup": OP5_SQL,
     "op9_decontaminate": OP9_SQL,
 }
