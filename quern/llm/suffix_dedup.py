@@ -474,7 +474,7 @@ def remove_repeats(
     ship_package(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    least = 2 * shuffle_partitions(spark)
+    least = shuffle_partitions(spark)
     groups = max(least, size // group_bytes)
     buckets = max(least, size * 2 // (length - Q + 2) >> 17)
     dealt = rows.select(F.pmod(F.xxhash64("_id"), F.lit(groups)).alias("g"), "_id", "_text")
