@@ -11,6 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.columns import let
 from quern.functions.text import unicode_trim
 from quern.session import ship_package
 
@@ -61,7 +62,7 @@ def paragraph_segments(text: Column, unit: str = "char") -> Column:
     found = _non_empty(F.aggregate(parts, start, step, lambda s: s["out"]))
     whole = unicode_trim(text)
     alone = F.array(F.struct(whole.alias("text"), F.lit(0).alias("start"), _size(whole, unit).cast("int").alias("stop")))
-    return F.when(F.size(found) > 0, found).otherwise(alone)
+    return let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(alone))
 
 
 def window_segments(text: Column, target: int, overlap: int, unit: str = "char", base: Column | None = None) -> Column:
