@@ -87,6 +87,11 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with their times as instants of the session's time zone."""
+    return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def trace_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as trace records: a run per user and day."""
     kind = F.col("event_type")
@@ -105,7 +110,7 @@ def trace_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == "signup", "pending")
         .otherwise("succeeded")
     )
-    return table(spark, sf_dir, "events").select(
+    return events(spark, sf_dir).select(
         "event_id",
         run.alias("trace_id"),
         run.alias("run_id"),
@@ -128,7 +133,7 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     k = F.get_json_object("props", "$.k").cast("int")
     later = F.col("ts") + F.make_dt_interval(mins=k)
-    return table(spark, sf_dir, "events").select(
+    return events(spark, sf_dir).select(
         F.col("event_id").alias("task_id"),
         F.concat(F.lit("kb_"), (F.col("user_id") % 3).cast("string")).alias("knowledge_base_id"),
         F.concat(F.lit("doc_"), F.col("user_id").cast("string")).alias("document_id"),
