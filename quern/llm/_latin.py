@@ -15,15 +15,11 @@ LETTERS = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
 
 _outside = re.compile("[^\\x00-\\x1b\\x20-\\u024f\\u2010-\\u2027\\u2030-\\u205e]").search
-#: Lower-casing is one character to one only without U+0130.
-_outside_lower = re.compile("[^\\x00-\\x1b\\x20-\\u012f\\u0131-\\u024f\\u2010-\\u2027\\u2030-\\u205e]").search
 
 
-def is_latin(text: str, *, lowers: bool = False) -> bool:
-    """Whether the fast pattern is exact for the text (and, if asked, its lower case)."""
-    if text.isascii():
-        return not _separators(text)
-    return (_outside_lower if lowers else _outside)(text) is None
+def is_latin(text: str) -> bool:
+    """Whether the fast patterns are exact for the text."""
+    return _separators(text) is None if text.isascii() else _outside(text) is None
 
 
 _separators = re.compile("[\\x1c-\\x1f]").search

@@ -71,14 +71,22 @@ class Encoder:
 
         self._ids = Memory({}, ids, MEMORY)
 
-    def _is_fast(self, text: str) -> bool:
-        return is_latin(text, lowers=True) and not any(s in text for s in self._specials)
+    def _pre_tokens(self, text: str) -> list[str] | None:
+        """The pre-tokens, or None where only the library is known to be exact. U+0130 is
+        the one character here whose lower case is not one character."""
+        lowered = text.lower()
+        if not is_latin(text) or not is_latin(lowered) or "\u0130" in text or any(s in text for s in self._specials):
+            return None
+        return word_level(lowered)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self._fast:
             return self._encode(texts)
         get = self._ids.__getitem__
-        out = [b"".join(map(get, word_level(x.lower()))) if self._is_fast(x) else None for x in texts]
+        out: list[bytes | None] = []
+        for text in texts:
+            found = self._pre_tokens(text)
+            out.append(None if found is None else b"".join(map(get, found)))
         rest = [k for k, x in enumerate(out) if x is None]
         for k, x in zip(rest, self._encode([texts[k] for k in rest])):
             out[k] = x
