@@ -44,7 +44,8 @@ def test_stages_against_brute_force(spark, corpus):
     now = spark.read.parquet(f"{root}/documents.parquet")
     columns = now.columns
     stages = dict(corpus_pipeline.STAGES)
-    kept = {r.doc_id: r.text for r in (out := stages["quality"](spark, now, root)).collect()}
+    out = stages["quality"](spark, now, root)
+    kept = {r.doc_id: r.text for r in out.collect()}
     assert out.columns == columns
     junk = {i for i, t, *_ in docs if t and "$$$" in t}
     assert not junk & set(kept) and len(kept) >= len(docs) - len(junk) - 2
