@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quern.functions.columns import let
+
 #: Ranges of CJK ideographs.
 CJK = r"\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}\x{f900}-\x{faff}"
 #: White space as two languages' trim functions define it.
-_GO_SPACE = r"\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-_JS_SPACE = r"\t\n\x0b\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+_SHARED_SPACE = "\t\n\x0b\f\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+GO_SPACE = _SHARED_SPACE + "\x85"
+JS_SPACE = _SHARED_SPACE + "\ufeff"
 #: How a follow-up question starts (no word boundary is asked for).
 FOLLOW_UP_PREFIXES = (
     "that", "this", "it", "those", "these", "they", "he", "she", "其", "这个", "那个", "这些", "那些", "它", "它们",
@@ -28,12 +31,12 @@ STOP_WORDS = (
 
 def unicode_trim(text: Column) -> Column:
     """Trim every Unicode white space (also U+0085 and U+00A0)."""
-    return F.regexp_replace(text, f"^[{_GO_SPACE}]+|[{_GO_SPACE}]+$", "")
+    return F.trim(text, F.lit(GO_SPACE))
 
 
 def script_trim(text: Column) -> Column:
     """Trim space separators, line ends and the byte-order mark, but not U+0085."""
-    return F.regexp_replace(text, f"^[{_JS_SPACE}]+|[{_JS_SPACE}]+$", "")
+    return F.trim(text, F.lit(JS_SPACE))
 
 
 def is_blank(text: Column) -> Column:
@@ -46,7 +49,7 @@ def non_blank(text: Column, default: Column) -> Column:
 
 
 def normalize_space(text: Column) -> Column:
-    return script_trim(F.regexp_replace(text, f"[{_JS_SPACE}]+", " "))
+    return script_trim(F.regexp_replace(text, f"[{JS_SPACE}]+", " "))
 
 
 def tokenize_terms(text: Column) -> Column:
@@ -57,20 +60,24 @@ def tokenize_terms(text: Column) -> Column:
     (such a run takes ideographs that follow directly with it). The order is that of first
     appearance. Null gives an empty array.
     """
-    lowered = unicode_trim(F.lower(F.coalesce(text, F.lit(""))))
-    runs = F.regexp_extract_all(lowered, F.lit(rf"([{CJK}]+|[\p{{L}}\p{{Nd}}]+)"), F.lit(1))
+    none = F.array().cast("array<string>")
+    word = r"[\p{L}\p{Nd}]+"
 
     def pieces(run: Column) -> Column:
         n = F.length(run)
         singles = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(run, i, F.lit(1)))
-        pairs = F.when(
-            n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(run, i, F.lit(2)))
-        ).otherwise(F.array().cast("array<string>"))
-        whole = F.when(n >= 3, F.array(run)).otherwise(F.array().cast("array<string>"))
-        word = F.when(F.octet_length(run) >= 2, F.array(run)).otherwise(F.array().cast("array<string>"))
-        return F.when(run.rlike(f"^[{CJK}]"), F.concat(singles, pairs, whole)).otherwise(word)
+        places = F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)))
+        pairs = F.when(n > 1, F.transform(places, lambda i: F.substring(run, i, F.lit(2)))).otherwise(none)
+        whole = F.when(n >= 3, F.array(run)).otherwise(none)
+        own = F.when(F.octet_length(run) >= 2, F.array(run)).otherwise(none)
+        return F.when(run.rlike(f"^[{CJK}]"), F.concat(singles, pairs, whole)).otherwise(own)
+
+    def terms(lowered: Column) -> Column:
+        plain = F.filter(F.regexp_extract_all(lowered, F.lit(f"({word})"), F.lit(1)), lambda t: F.octet_length(t) >= 2)
+        mixed = F.flatten(F.transform(F.regexp_extract_all(lowered, F.lit(f"([{CJK}]+|{word})"), F.lit(1)), pieces))
+        return F.when(lowered.rlike(f"[{CJK}]"), mixed).otherwise(plain)
 
-    return F.array_distinct(F.flatten(F.transform(runs, pieces)))
+    return F.array_distinct(let(F.lower(F.coalesce(text, F.lit(""))), terms))
 
 
 def extract_terms(text: Column) -> Column:
@@ -116,8 +123,8 @@ def sub_queries(text: Column, most: int = 3) -> Column:
 
 
 def looks_like_follow_up(text: Column) -> Column:
-    lowered = F.lower(script_trim(text))
-    return F.exists(F.array(*map(F.lit, FOLLOW_UP_PREFIXES)), lambda p: F.startswith(lowered, p))
+    prefixes = F.array(*map(F.lit, FOLLOW_UP_PREFIXES))
+    return let(F.lower(script_trim(text)), lambda lowered: F.exists(prefixes, lambda p: F.startswith(lowered, p)))
 
 
 def sentences(text: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.text import tokenize_terms
+from quern.session import materialize
 
 K1, B = 1.5, 0.75
 TITLE_WEIGHT = 0.3
@@ -57,27 +58,30 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, c: Columns = Columns()) -
     """``query, chunk, score`` for every pair with a score above 0.
 
     Terms are sets, so a term's frequency is 1 and a document's length the number of its
-    distinct terms. The title counts with a weight and the body's statistics. Postings are
-    reduced to the queries' terms before anything is aggregated; queries and terms meet in
-    an equi-join on the term, which Spark broadcasts if the queries are few.
+    distinct terms. The title counts with a weight and the body's statistics. The chunks
+    are tokenized once: postings of the queries' terms, and one marker per chunk for the
+    statistics, are written to the shared folder; what follows reads only these. Queries
+    and postings meet in an equi-join on the term, which Spark broadcasts if the queries
+    are few.
     """
     terms = terms_of(chunks, c)
     asked = queries.select(
         F.col(c.query).alias("_query"), F.explode(tokenize_terms(F.col(c.query_text))).alias("term")
     )
-    wanted = asked.select("term").distinct()
-    tagged = F.transform(F.col("_terms"), lambda t: F.struct(t.alias("term"), F.lit(False).alias("title")))
-    if c.title:
-        tagged = F.concat(
-            tagged, F.transform(F.col("_title_terms"), lambda t: F.struct(t.alias("term"), F.lit(True).alias("title")))
-        )
-    postings = (
-        terms.select("_chunk", "_dl", "_tl", F.explode(tagged).alias("p"))
-        .select("_chunk", "_dl", "_tl", "p.term", "p.title")
-        .join(wanted, "term", "left_semi")
+    wanted = asked.select("term").distinct().withColumn("_wanted", F.lit(True))
+
+    def tagged(column: str, kind: str) -> Column:
+        return F.transform(F.col(column), lambda t: F.struct(t.alias("term"), F.lit(kind).alias("kind")))
+
+    marker = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit("chunk").alias("kind")))
+    every = F.concat(marker, tagged("_terms", "body"), tagged("_title_terms", "title"))
+    rows = terms.select("_chunk", "_dl", "_tl", F.explode(every).alias("p")).select("_chunk", "_dl", "_tl", "p.*")
+    found = materialize(
+        rows.join(wanted, "term", "left").filter("_wanted or kind = 'chunk'").drop("_wanted"), "postings"
     )
-    frequency = postings.filter(~F.col("title")).groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
-    statistics = corpus_statistics(terms)
+    postings = found.filter("kind <> 'chunk'")
+    statistics = corpus_statistics(found.filter("kind = 'chunk'"))
+    frequency = postings.filter("kind = 'body'").groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
     weighted = (
         frequency.crossJoin(F.broadcast(statistics))  # one row of two numbers
         .select("term", idf(F.col("_n"), F.col("_df")).alias("_idf"), "_mean")
@@ -89,7 +93,7 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, c: Columns = Columns()) -
         asked.join(weighted, "term")
         .join(postings, "term")
         .groupBy("_query", "_chunk")
-        .agg(F.sum(F.when(F.col("title"), title).otherwise(body)).alias("score"))
+        .agg(F.sum(F.when(F.col("kind") == "title", title).otherwise(body)).alias("score"))
         .filter("score > 0")
         .select(F.col("_query").alias(c.query), F.col("_chunk").alias(c.chunk), "score")
     )

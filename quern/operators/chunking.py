@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.columns import let
-from quern.functions.text import unicode_trim
+from quern.functions.text import GO_SPACE, unicode_trim
 from quern.session import ship_package
 
 SEGMENT = "struct<text:string,start:int,stop:int>"
@@ -30,18 +30,20 @@ def _size(text: Column, unit: str) -> Column:
     return F.octet_length(text) if unit == "byte" else F.length(text)
 
 
-def _part(text: Column, start: Column, size: Column, unit: str) -> Column:
-    if unit == "byte":
-        return F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), start + 1, size).cast("string"))
-    return F.substring(text, start + 1, size)
-
-
 def _trimmed(text: Column, start: Column, unit: str) -> Column:
     """The trimmed text as a segment whose places follow what the trim took away."""
-    inner = unicode_trim(text)
-    lead = _size(text, unit) - _size(F.regexp_replace(text, r"^[\s\x{85}\x{a0}\x{3000}]+", ""), unit)
-    at = (start + lead).cast("int")
-    return F.struct(inner.alias("text"), at.alias("start"), (at + _size(inner, unit)).cast("int").alias("stop"))
+
+    def segment(part: Column) -> Column:
+        lead = _size(part, unit) - _size(F.ltrim(part, F.lit(GO_SPACE)), unit)
+        at = (start + lead).cast("int")
+        return let(
+            unicode_trim(part),
+            lambda inner: F.struct(
+                inner.alias("text"), at.alias("start"), (at + _size(inner, unit)).cast("int").alias("stop")
+            ),
+        )
+
+    return let(text, segment)
 
 
 def _non_empty(segments: Column) -> Column:
@@ -68,14 +70,34 @@ def paragraph_segments(text: Column, unit: str = "char") -> Column:
 def window_segments(text: Column, target: int, overlap: int, unit: str = "char", base: Column | None = None) -> Column:
     """Windows of ``target`` stepping by ``target - overlap``; the last ends with the text.
     Windows that trim to nothing are left out."""
-    step, n = target - overlap, _size(text, unit)
-    last = F.when(n <= target, F.lit(0)).otherwise(F.ceil((n - target) / step).cast("int"))
+    step = target - overlap
     base = F.lit(0) if base is None else base
-    windows = F.transform(
-        F.sequence(F.lit(0), last),
-        lambda i: _trimmed(_part(text, i * step, F.lit(target), unit), base + i * step, unit),
-    )
-    return F.when(n > 0, _non_empty(windows)).otherwise(F.array().cast(f"array<{SEGMENT}>"))
+
+    def cut(n: Column, part) -> Column:
+        last = F.when(n <= target, F.lit(0)).otherwise(F.ceil((n - target) / step).cast("int"))
+        windows = F.transform(F.sequence(F.lit(0), last), lambda i: _trimmed(part(i), base + i * step, unit))
+        return F.when(n > 0, _non_empty(windows)).otherwise(F.array().cast(f"array<{SEGMENT}>"))
+
+    if unit == "byte":
+
+        def from_bytes(data: Column) -> Column:
+            def part(i: Column) -> Column:
+                return F.make_valid_utf8(F.substring(data, i * step + 1, F.lit(target)).cast("string"))
+
+            return cut(F.octet_length(data), part)
+
+        return let(F.encode(text, "UTF-8"), from_bytes)
+
+    # characters have no fixed width, so the text is cut into steps once and windows are joined from these
+    width = -(-target // step)
+
+    def from_steps(pieces: Column) -> Column:
+        def part(i: Column) -> Column:
+            return F.substring(F.array_join(F.slice(pieces, i + 1, width), ""), 1, target)
+
+        return let(F.length(text), lambda n: cut(n, part))
+
+    return let(F.regexp_extract_all(text, F.lit(f"(?s)(.{{1,{step}}})"), F.lit(1)), from_steps)
 
 
 def enforce_size(segments: Column, target: int, overlap: int, unit: str = "char") -> Column:

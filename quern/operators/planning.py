@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.columns import let
 from quern.functions.text import looks_like_follow_up, normalize_space, sub_queries
 
 #: Words that route a question to a knowledge base.
@@ -36,8 +37,20 @@ TASK_PATTERN = r"(?i)\b(task_[a-z0-9_-]{4,}|ing_[a-z0-9_-]{4,}|ingest_[a-z0-9_-]
 SETTING_PATTERN = r"(?i)\b([a-z][a-z0-9._-]{2,})\b"
 
 
-def _contains_any(text: Column, words) -> Column:
-    return F.exists(F.array(*(F.lit(w.lower()) for w in words)), lambda w: F.contains(text, w))
+def _named(text: Column, table: dict[str, tuple[str, ...]]) -> Column:
+    """The names whose words occur in the text, in the table's order."""
+
+    def found(lowered: Column) -> Column:
+        def any_of(words) -> Column:
+            condition = F.lit(False)
+            for w in words:
+                condition |= F.contains(lowered, F.lit(w.lower()))
+            return condition
+
+        chosen = F.array(*(F.when(any_of(words), F.lit(name)) for name, words in table.items()))
+        return F.filter(chosen, lambda x: x.isNotNull())
+
+    return let(F.lower(text), found)
 
 
 def apply_mappings(mappings: list[tuple[str, str]]):
@@ -135,16 +148,11 @@ def matching_intents(queries: DataFrame, intents: list[dict]) -> DataFrame:
 
 def keyword_bases(text: Column) -> Column:
     """Knowledge bases whose words occur in the text, in the table's order."""
-    lowered = F.lower(text)
-    chosen = [F.when(_contains_any(lowered, words), F.lit(name)) for name, words in KNOWLEDGE_BASE_WORDS.items()]
-    return F.filter(F.array(*chosen), lambda x: x.isNotNull())
+    return _named(text, KNOWLEDGE_BASE_WORDS)
 
 
 def selected_tools(message: Column, tools: dict[str, tuple[str, ...]]) -> Column:
-    lowered = F.lower(message)
-    return F.filter(
-        F.array(*(F.when(_contains_any(lowered, words), F.lit(name)) for name, words in tools.items())), lambda x: x.isNotNull()
-    )
+    return _named(message, tools)
 
 
 def tool_arguments(message: Column) -> Column:
