@@ -16,7 +16,7 @@ from quern.llm.packing import pack_documents
 from quern.llm.quality import keep_good
 from quern.llm.queries import tokenizer_path
 from quern.llm.simhash import drop_near_copies
-from quern.session import materialize
+from quern.session import materialize, spread
 
 #: The near-duplicate and packing stages are not SQL; the tests compare the pipeline with
 #: a brute-force version.
@@ -54,7 +54,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``; what a stage returns is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

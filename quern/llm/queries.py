@@ -16,6 +16,7 @@ from quern.llm.simhash import near_duplicates
 from quern.llm.suffix_dedup import remove_repeats
 from quern.llm.token_counts import count_tokens
 from quern.llm.toxicity import toxicity_scores
+from quern.session import spread
 
 TOKENIZERS = "public_tokenizers"
 
@@ -29,6 +30,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for operators that work row by row: a small file is dealt over all cores."""
+    return spread(_table(spark, sf_dir, "documents"))
+
+
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_table(spark, sf_dir, "documents")).drop("text")
 
@@ -55,7 +61,7 @@ FROM r GROUP BY doc_id
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return pack_documents(_documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +71,7 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return quality_scores(_documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,20 +86,20 @@ FROM d JOIN g USING (t)
 """
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return toxicity_scores(_documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_table(spark, sf_dir, "documents"))
+    return near_duplicates(_documents(spark, sf_dir))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("byte_bpe_50k.json")
-    return count_tokens(_table(spark, sf_dir, "documents"), path, limit=512)
+    return count_tokens(_documents(spark, sf_dir), path, limit=512)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return contamination(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
 
 
 OP9_SQL = r"""
@@ -123,7 +129,7 @@ FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return span_digest(scan_secrets(_table(spark, sf_dir, "documents")))
+    return span_digest(scan_secrets(_documents(spark, sf_dir)))
 
 
 QUERIES = {
