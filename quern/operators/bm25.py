@@ -23,6 +23,8 @@ class Columns:
     title: str | None = None
     query: str = "query_id"
     query_text: str = "query"
+    #: a column of both tables: statistics are those of the chunks of the query's scope
+    scope: str | None = None
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -39,7 +41,8 @@ def terms_of(chunks: DataFrame, c: Columns = Columns()) -> DataFrame:
     is the title and the text."""
     body = F.concat_ws(" ", c.title, c.text) if c.title else F.col(c.text)
     title = tokenize_terms(F.col(c.title)) if c.title else F.array().cast("array<string>")
-    found = chunks.select(F.col(c.chunk).alias("_chunk"), tokenize_terms(body).alias("_terms"), title.alias("_title_terms"))
+    scope = F.col(c.scope) if c.scope else F.lit(0)
+    found = chunks.select(F.col(c.chunk).alias("_chunk"), scope.alias("_scope"), tokenize_terms(body).alias("_terms"), title.alias("_title_terms"))
     return found.withColumns({"_dl": F.size("_terms"), "_tl": F.size("_title_terms")})
 
 
@@ -49,9 +52,9 @@ def document_frequency(terms: DataFrame) -> DataFrame:
 
 
 def corpus_statistics(terms: DataFrame) -> DataFrame:
-    """One row: the number of documents and their mean number of distinct terms. Documents
+    """Per scope: the number of documents and their mean number of distinct terms. Documents
     without terms count."""
-    return terms.agg(F.count(F.lit(1)).alias("_n"), F.avg(F.col("_dl").cast("double")).alias("_mean"))
+    return terms.groupBy("_scope").agg(F.count(F.lit(1)).alias("_n"), F.avg(F.col("_dl").cast("double")).alias("_mean"))
 
 
 def bm25_scores(chunks: DataFrame, queries: DataFrame, c: Columns = Columns()) -> DataFrame:
@@ -65,8 +68,9 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, c: Columns = Columns()) -
     are few.
     """
     terms = terms_of(chunks, c)
+    scope = F.col(c.scope) if c.scope else F.lit(0)
     asked = queries.select(
-        F.col(c.query).alias("_query"), F.explode(tokenize_terms(F.col(c.query_text))).alias("term")
+        F.col(c.query).alias("_query"), scope.alias("_scope"), F.explode(tokenize_terms(F.col(c.query_text))).alias("term")
     )
     wanted = asked.select("term").distinct().withColumn("_wanted", F.lit(True))
 
@@ -75,23 +79,23 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, c: Columns = Columns()) -
 
     marker = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit("chunk").alias("kind")))
     every = F.concat(marker, tagged("_terms", "body"), tagged("_title_terms", "title"))
-    rows = terms.select("_chunk", "_dl", "_tl", F.explode(every).alias("p")).select("_chunk", "_dl", "_tl", "p.*")
+    kept = ("_chunk", "_scope", "_dl", "_tl")
+    rows = terms.select(*kept, F.explode(every).alias("p")).select(*kept, "p.*")
     found = materialize(
         rows.join(wanted, "term", "left").filter("_wanted or kind = 'chunk'").drop("_wanted"), "postings"
     )
     postings = found.filter("kind <> 'chunk'")
     statistics = corpus_statistics(found.filter("kind = 'chunk'"))
-    frequency = postings.filter("kind = 'body'").groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
-    weighted = (
-        frequency.crossJoin(F.broadcast(statistics))  # one row of two numbers
-        .select("term", idf(F.col("_n"), F.col("_df")).alias("_idf"), "_mean")
+    frequency = postings.filter("kind = 'body'").groupBy("_scope", "term").agg(F.count(F.lit(1)).alias("_df"))
+    weighted = frequency.join(statistics, "_scope").select(
+        "_scope", "term", idf(F.col("_n"), F.col("_df")).alias("_idf"), "_mean"
     )
     one = F.lit(1.0)
     body = term_score(F.col("_idf"), one, F.col("_dl"), F.col("_mean"))
     title = TITLE_WEIGHT * term_score(F.col("_idf"), one, F.col("_tl"), F.col("_mean"))
     return (
-        asked.join(weighted, "term")
-        .join(postings, "term")
+        asked.join(weighted, ["_scope", "term"])
+        .join(postings, ["_scope", "term"])
         .groupBy("_query", "_chunk")
         .agg(F.sum(F.when(F.col("kind") == "title", title).otherwise(body)).alias("score"))
         .filter("score > 0")

@@ -214,13 +214,70 @@ def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("document_id", "s.section_id", "s.title", "s.level", "s.start_offset", "s.end_offset")
 
 
+# --- the whole search ------------------------------------------------------------------
+
+
+def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as index records with deterministic vectors for even numbers."""
+    docs = fixtures.labelled_documents(spark, sf_dir).withColumns(
+        {"chunk_index": F.lit(0), "char_count": F.col("n_chars")}
+    )
+    made = indexing.deterministic_provider(indexing.embedding_inputs(docs.filter("doc_id % 2 = 0"))).select("chunk_id", "vector")
+    return docs.join(made, "chunk_id", "left").select(
+        F.col("doc_id").alias("record_id"), "knowledge_base_id", "document_id", "chunk_id", "tenant_id", "org_id",
+        F.lit("").alias("title"), F.col("text").alias("content"), "metadata",
+        F.coalesce("vector", F.array().cast("array<float>")).alias("vector"),
+    )
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries over all documents, one language, or labelled ones, with or without a vector."""
+    i = F.col("query_id")
+    digits = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda k: ((i * 7 + k * k) % 10 / 10).cast("float"))
+    return fixtures.queries(spark, sf_dir).select(
+        "query_id", "query", (i % 9).cast("int").alias("top_k"), "knowledge_base_ids",
+        F.when(i % 3 == 1, "en").otherwise("").alias("tenant_id"),
+        F.when(i % 3 == 2, F.create_map(F.lit("quality"), F.lit(" 1 "))).otherwise(F.create_map().cast("map<string,string>")).alias("filters"),
+        F.when(i % 4 != 0, digits).otherwise(F.array().cast("array<float>")).alias("query_vector"),
+    )
+
+
+def _search(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    from quern.operators.search import search
+
+    found = search(_index(spark, sf_dir), _asked(spark, sf_dir), mode)
+    return found.select("query_id", "rank", "record_id", F.round("score", 6).alias("score"), "score_source")
+
+
+def search_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search(spark, sf_dir, "keyword")
+
+
+def search_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search(spark, sf_dir, "vector")
+
+
+def search_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search(spark, sf_dir, "hybrid")
+
+
+def entity_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.operators.entities import delete_where, update_where, upsert_rows
+
+    nations = fixtures.table(spark, sf_dir, "nation")
+    new = nations.filter("n_nationkey % 4 = 0").withColumn("n_name", F.lower("n_name"))
+    merged = upsert_rows(nations, new, "n_nationkey")
+    renamed = update_where(merged, F.col("n_nationkey") == 1, {"n_name": F.lit("renamed")})
+    return delete_where(renamed, F.col("n_regionkey") == 2)
+
+
 QUERIES = {
     name: globals()[name]
     for name in (
         "knn_cosine", "knn_threshold", "knn_scoped", "dimension_guard", "storable_vectors", "adjacent_similarity",
         "rrf_hybrid", "rerank_fusion", "deterministic_embedding", "index_records", "upsert_classify", "upsert_summary",
         "delete_by_document", "delete_counts", "replace_document", "compare_and_set", "metadata_side_table",
-        "detect_kind", "data_uris", "markdown_sections",
+        "detect_kind", "data_uris", "markdown_sections", "search_keyword", "search_vector", "search_hybrid", "entity_upsert",
     )
 } | {"content_hash": content_hashes, "last_writer_wins": last_writer}
 
@@ -247,6 +304,35 @@ c AS (SELECT coalesce(o.document_id, n.document_id) AS document_id,
   CASE WHEN n.doc_id IS NULL THEN o.content ELSE n.content END AS content
   FROM o FULL JOIN n ON o.record_id = n.full_id)"""
 
+# three scopes: all documents, the English ones, those labelled good
+_SCOPED = rf"""sd AS (SELECT 0 AS sc, doc_id, text FROM documents UNION ALL SELECT 1, doc_id, text FROM documents WHERE lang = 'en'
+  UNION ALL SELECT 2, doc_id, text FROM documents JOIN labels USING (doc_id) WHERE quality = 1),
+dt AS (SELECT sc, doc_id, list_distinct(list_filter(regexp_extract_all(lower(trim(text)), '[\p{{L}}\p{{Nd}}]+'),
+  lambda x: octet_length(encode(x)) >= 2)) AS terms FROM sd),
+qt AS (SELECT item_id AS query_id, item_id % 3 AS sc, list_distinct(list_filter(regexp_extract_all(lower(trim(text)),
+  '[\p{{L}}\p{{Nd}}]+'), lambda x: octet_length(encode(x)) >= 2)) AS terms FROM benchmark),
+st AS (SELECT sc, count(*)::DOUBLE AS n, avg(len(terms)) AS mean FROM dt GROUP BY sc),
+post AS (SELECT sc, doc_id, len(terms) AS dl, unnest(terms) AS term FROM dt),
+freq AS (SELECT sc, term, count(*) AS df FROM post GROUP BY 1, 2),
+asked AS (SELECT query_id, sc, unnest(terms) AS term FROM qt),
+kw AS (SELECT query_id, doc_id AS record_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * 2.5
+    / (1 + 1.5 * (0.25 + 0.75 * dl / mean))) AS score, 'keyword' AS score_source
+  FROM asked JOIN freq USING (sc, term) JOIN post USING (sc, term) JOIN st USING (sc) GROUP BY 1, 2),
+dv AS (SELECT doc_id, list_transform(range(8), lambda i: (('0x' || substr(sha256('mock-embedding-v1|doc_' || doc_id || '|'
+  || sha256(text) || '|' || n_chars), 1 + 8 * i, 8))::UBIGINT % 10000 / 10000.0::DOUBLE)::FLOAT::DOUBLE) AS v
+  FROM documents WHERE doc_id % 2 = 0),
+qv AS (SELECT item_id AS query_id, item_id % 3 AS sc, list_transform(range(1, 9), lambda k: ((item_id * 7 + k * k) % 10 / 10.0::DOUBLE)::FLOAT::DOUBLE)
+  AS q FROM benchmark WHERE item_id % 4 <> 0),
+vec AS (SELECT query_id, doc_id AS record_id, list_cosine_similarity(v, q) AS score, 'vector' AS score_source
+  FROM qv JOIN sd USING (sc) JOIN dv USING (doc_id) WHERE list_cosine_similarity(v, q) >= 0.3
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, record_id) <= 20)"""
+_CUT = """, c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, record_id) AS r FROM {source} QUALIFY r <= 20),
+m AS (SELECT query_id, record_id, score_source, CASE WHEN max(score) OVER w = min(score) OVER w THEN 0.5
+  ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS score FROM c WINDOW w AS (PARTITION BY query_id)),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, record_id) AS rank FROM m)
+SELECT query_id, rank, record_id, round(score, 6) AS score, score_source FROM k
+WHERE rank <= CASE WHEN query_id % 9 = 0 THEN 6 ELSE query_id % 9 END"""
+
 ORACLE_SQL = {
     "knn_cosine": _knn("true", 10),
     "knn_threshold": f"SELECT query_id, record_id, score FROM ({_knn('true', 20, 'WHERE raw >= 0.3')})",
@@ -331,4 +417,16 @@ SELECT 'doc_' || doc_id AS document_id, 'section-' || n AS section_id, trim(ltri
   CASE WHEN line LIKE '##%' THEN 2 ELSE 1 END AS level, pos AS start_offset, stop AS end_offset FROM h
 UNION ALL SELECT DISTINCT 'doc_' || doc_id, 'section-1', 'doc_' || doc_id, 1, 0, total FROM o
 WHERE doc_id NOT IN (SELECT doc_id FROM h)""",
+    "search_keyword": f"WITH {_SCOPED} {_CUT.format(source='kw')}",
+    "search_vector": f"WITH {_SCOPED} {_CUT.format(source='vec')}",
+    "search_hybrid": f"""WITH {_SCOPED},
+vr AS (SELECT query_id, record_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, record_id) AS r FROM vec),
+kr AS (SELECT query_id, record_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, record_id) AS r FROM kw
+  WHERE query_id IN (SELECT query_id FROM vec) QUALIFY r <= 20),
+hy AS (SELECT query_id, record_id, sum(1.0::DOUBLE / (60 + r)) AS score, 'hybrid' AS score_source
+  FROM (SELECT * FROM vr UNION ALL SELECT * FROM kr) GROUP BY 1, 2
+  UNION ALL SELECT * FROM kw WHERE query_id NOT IN (SELECT query_id FROM vec))
+{_CUT.format(source='hy')}""",
+    "entity_upsert": """SELECT n_nationkey, CASE WHEN n_nationkey = 1 THEN 'renamed' WHEN n_nationkey % 4 = 0 THEN lower(n_name)
+  ELSE n_name END AS n_name, n_regionkey FROM nation WHERE n_regionkey <> 2""",
 }

@@ -42,7 +42,7 @@ def test_chinese_search_and_title_boost(spark):
 def test_bm25_statistics(spark):
     terms = bm25.terms_of(spark.createDataFrame([("1", "aa bb"), ("2", "bb cc"), ("3", "")], "chunk_id string, text string"))
     assert {r.term: r.df for r in bm25.document_frequency(terms).collect()} == {"aa": 1, "bb": 2, "cc": 1}
-    assert tuple(bm25.corpus_statistics(terms).first()) == (3, pytest.approx(4 / 3))
+    assert tuple(bm25.corpus_statistics(terms).first()) == (0, 3, pytest.approx(4 / 3))
 
 
 def test_ranking(spark):
