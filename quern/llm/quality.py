@@ -13,9 +13,10 @@ The class prior is estimated from the training labels. The learnt score orders t
 is no probability, so a last step fits its slope and offset on the training labels.
 
 Measures are computed for every document, in one map without a shuffle, and written to
-the shared folder (a few dozen bytes per document). The fit uses at most ``sample``
-labelled and as many unlabelled rows, chosen by a hash of their ids; this documented
-bound is the only thing that does not grow with the corpus. All rows are scored.
+the shared folder (a few dozen bytes per document). The fit uses about ``sample``
+labelled and as many unlabelled rows (never more than twice as many), chosen by a hash of
+their ids; this documented bound is the only thing that does not grow with the corpus.
+All rows are scored.
 """
 
 from __future__ import annotations
@@ -187,17 +188,27 @@ def measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(measure, f"_id {kind}, _x array<double>")
 
 
+def hash_sample(rows: DataFrame, most: int, seed: int = 1) -> DataFrame:
+    """All rows if there are at most ``most``, else those whose id hashes below the share
+    that gives ``most`` of them: about ``most`` rows, the same ones at every run. Tasks
+    send only what is chosen, however many there are."""
+    n = rows.count()
+    if n <= most:
+        return rows
+    return rows.filter(F.pmod(F.xxhash64(F.col("_id"), F.lit(seed)), F.lit(1 << 32)) < int(most / n * (1 << 32)))
+
+
 def label_rows(labels: DataFrame, id_col: str, label_col: str, most: int) -> DataFrame:
-    """One label (0 or 1, the larger if they differ) per id that may be learnt from; of
-    more than ``most``, those of the smallest hashes of the id."""
-    return (
+    """One label (0 or 1, the larger if they differ) per id that may be learnt from, about
+    ``most`` of them; sent to every task if their counted number allows it."""
+    learnt = (
         labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
         .filter(F.col("_id").isNotNull() & F.col("_label").isin(0, 1) & ~held_out(F.col("_id")))
         .groupBy("_id")
         .agg(F.max("_label").alias("_label"))
-        .orderBy(F.xxhash64("_id"), "_id")
-        .limit(most)
     )
+    chosen = materialize(hash_sample(materialize(learnt, "labels"), most, 2), "labels")
+    return F.broadcast(chosen) if chosen.count() <= 2 * most else chosen
 
 
 def train(
@@ -212,13 +223,9 @@ def train(
     """Fit on at most ``sample`` labelled and ``sample`` unlabelled rows of ``table``
     (``_id, _x``). Held-out rows are used neither way."""
     learnable = table.filter(F.col("_id").isNotNull() & ~held_out(F.col("_id")))
-    # at most ``sample`` rows of two numbers: small enough to send to every task
-    rows = F.broadcast(label_rows(labels, id_col, label_col, sample))
-    chosen = learnable.join(rows, "_id").select("_label", "_x")
+    chosen = learnable.join(label_rows(labels, id_col, label_col, sample), "_id").select("_label", "_x")
     known = chosen.limit(2 * sample).toPandas()  # ids may repeat in the table
-    web = (
-        learnable.orderBy(F.xxhash64(F.col("_id"), F.lit(1)), "_id").limit(sample).select("_x").toPandas()
-    )  # the smallest hashes: a bounded top-k, merged from each task's own
+    web = hash_sample(learnable, sample).select("_x").limit(2 * sample).toPandas()
     width = len(NAMES)
     x = np.array(known["_x"].tolist(), float).reshape(-1, width)
     u = np.array(web["_x"].tolist(), float).reshape(-1, width)

@@ -16,8 +16,8 @@ others, so a group of voters that repeat each other counts about once.
 hits' counts and shares, so it also weighs what voters cannot say. Slope and offset of
 its score are then fitted on the training labels.
 
-Mining and fitting use at most ``sample`` labelled and as many unlabelled rows, chosen by
-a hash of the id (the documented bound). Every text is measured whole and every row is
+Mining and fitting use about ``sample`` labelled and as many unlabelled rows, never more
+than twice as many, chosen by a hash of the id (the documented bound). Every text is measured whole and every row is
 scored; measuring is one map without a shuffle and writes a few dozen numbers per row.
 """
 
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm._arrow import text_slices
-from quern.llm.quality import Scorer, _sigmoid, calibrate, held_out, label_rows
+from quern.llm.quality import Scorer, _sigmoid, calibrate, hash_sample, held_out, label_rows
 from quern.session import materialize, ship_package
 
 #: Insults of the lexicon voters; the mined patterns extend them.
@@ -314,8 +314,7 @@ def toxicity_scores(
     ship_package(spark)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
-    # at most ``sample`` rows of two numbers: small enough to send to every task
-    chosen = F.broadcast(materialize(label_rows(labels, id_col, label_col, sample), "labels"))
+    chosen = label_rows(labels, id_col, label_col, sample)
     patterns = mine_patterns(rows.join(chosen, "_id").select("_text", "_label"))
 
     def measure(batches):
@@ -333,7 +332,7 @@ def toxicity_scores(
     )
     learnable = table.filter(F.col("_id").isNotNull() & ~held_out(F.col("_id")))
     numbers = ["_words", "_hits", "_counts"]
-    web = learnable.orderBy(F.xxhash64("_id", F.lit(1)), "_id").limit(sample).select(*numbers).toPandas()
+    web = hash_sample(learnable, sample).select(*numbers).limit(2 * sample).toPandas()
     known = learnable.join(chosen, "_id").select("_label", *numbers).limit(2 * sample).toPandas()
     # rows come in any order; the fit must not depend on it
     web, known = (f.iloc[f.astype(str).agg("|".join, axis=1).argsort(kind="stable")] if len(f) else f for f in (web, known))
