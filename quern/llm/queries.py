@@ -70,6 +70,23 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP3_SQL = """WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+part AS (SELECT doc_id, n, k, substr(h, 2 * k + 1, 710) AS s FROM (SELECT doc_id, h, n, unnest(range(0, n, 256)) AS k FROM b)),
+pos AS MATERIALIZED (SELECT doc_id, k + j AS i, substr(s, 2 * j + 1, 2) AS byte,
+  CASE WHEN k + j + 100 <= n THEN substr(s, 2 * j + 1, 200) END AS g
+  FROM (SELECT *, unnest(range(least(256, n - k))) AS j FROM part)),
+firsts AS (SELECT g, min((doc_id, i)) AS first FROM pos WHERE g IS NOT NULL GROUP BY g HAVING count(*) > 1),
+dup AS (SELECT doc_id, i, byte, CASE WHEN first IS NOT NULL AND (doc_id, i) <> first THEN i END AS d
+  FROM pos LEFT JOIN firsts USING (g)),
+cov AS (SELECT doc_id, i, byte, coalesce(max(d) OVER (PARTITION BY doc_id ORDER BY i) >= i - 99, false) AS gone FROM dup),
+run AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM cov),
+agg AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans,
+  string_agg(byte, '' ORDER BY i) FILTER (NOT gone) AS kept FROM run GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM b LEFT JOIN agg USING (doc_id)
+"""
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
@@ -147,6 +164,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_line_dedup": OP1_SQL,
+    "op3_suffix_array_dedup": OP3_SQL,
     "op5_exact_dedup": OP5_SQL,
     "op9_decontaminate": OP9_SQL,
 }
