@@ -11,7 +11,7 @@ from quern.llm.exact_dedup import exact_groups
 from quern.llm.line_dedup import dedup_lines
 from quern.llm.packing import pack_documents
 from quern.llm.quality import quality_scores
-from quern.llm.secret_scan import scan_secrets, span_digest
+from quern.llm.secret_scan import RULES, Rule, scan_secrets, span_digest
 from quern.llm.simhash import near_duplicates
 from quern.llm.suffix_dedup import remove_repeats
 from quern.llm.token_counts import count_tokens
@@ -149,6 +149,26 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(scan_secrets(_documents(spark, sf_dir)))
 
 
+def _rule_sql(number: int, rule: Rule) -> str:
+    """Spans of one rule: matches and the gaps before them give the places."""
+    pattern = rule.pattern.replace("'", "''")
+    return f"""SELECT doc_id, '{rule.kind}' AS kind, {number} AS o, {rule.base} AS base, start, start + length(m) AS stop FROM (
+  SELECT doc_id, m, g, (sum(length(gap) + length(m)) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT - length(m) AS start FROM (
+    SELECT doc_id, unnest(regexp_extract_all(t, '{pattern}')) AS m, unnest(regexp_extract_all(t, '{pattern}', {rule.group})) AS g,
+      unnest(string_split_regex(t, '{pattern}')) AS gap, generate_subscripts(string_split_regex(t, '{pattern}'), 1) AS i
+    FROM d) WHERE m IS NOT NULL) WHERE length(g) >= {rule.least}"""
+
+
+_SPAN = "kind || ':' || start || ':' || stop, ',' ORDER BY start, o"
+OP10_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({" UNION ALL ".join(_rule_sql(k, rule) for k, rule in enumerate(RULES))}),
+a AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+  count(*) FILTER (kind = 'hex') AS n_hex, string_agg({_SPAN}) FILTER (base) AS b, string_agg({_SPAN}) AS spans FROM s GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (doc_id)
+"""
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -167,4 +187,5 @@ ORACLE_SQL = {
     "op3_suffix_array_dedup": OP3_SQL,
     "op5_exact_dedup": OP5_SQL,
     "op9_decontaminate": OP9_SQL,
+    "op10_secret_scan": OP10_SQL,
 }
