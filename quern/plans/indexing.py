@@ -88,7 +88,7 @@ def rerank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = fixtures.documents(spark, sf_dir).filter("doc_id % 4 = 0")
+    docs = fixtures.documents(spark, sf_dir)
     return chunk_documents(docs, "recursive", target=600, overlap=60)
 
 
@@ -110,7 +110,7 @@ def deterministic_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _inputs(spark, sf_dir)
-    artifacts = indexing.deterministic_provider(indexing.embedding_inputs(chunks.filter("chunk_index % 2 = 0")))
+    artifacts = indexing.deterministic_provider(indexing.embedding_inputs(chunks.filter("char_count >= 300")))
     docs = fixtures.documents(spark, sf_dir).withColumn("index_name", F.lit(" "))
     records = indexing.index_records(docs, chunks, artifacts)
     return records.select(
@@ -121,18 +121,18 @@ def index_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Stored records, and incoming ones: a third equal, a third changed, some new, and some
-    with a blank id."""
+    """Stored records, and incoming ones: some equal, some changed, some new, and some with
+    a blank id."""
     docs = fixtures.documents(spark, sf_dir)
     record = docs.select(
         F.concat_ws("::", "knowledge_base_id", "chunk_id").alias("record_id"), "knowledge_base_id", "document_id",
-        "chunk_id", F.lit(0).alias("chunk_index"), "title", F.substring("text", 1, 40).alias("content"), "doc_id",
+        "chunk_id", F.lit(0).alias("chunk_index"), "title", F.md5("text").alias("content"), "tenant_id", "org_id",
     )
-    old = record.filter("doc_id % 10 < 7").drop("doc_id")
-    changed = F.when(F.col("doc_id") % 3 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content"))
-    blank = F.when(F.col("doc_id") % 5 == 0, F.lit("")).otherwise(F.col("record_id"))
-    new = record.filter("doc_id % 2 = 0").withColumn("content", changed).withColumn("record_id", blank).drop("doc_id")
-    return old, new
+    old = record.filter("tenant_id <> 'es'").drop("tenant_id", "org_id")
+    changed = F.when(F.col("org_id").isin("src1", "src2", "src3", "src4", "src5"), F.concat("content", F.lit("!")))
+    blank = F.when(F.col("org_id").isin("src5", "src6"), F.lit("")).otherwise(F.col("record_id"))
+    new = record.filter("tenant_id <> 'fr'").withColumns({"content": F.coalesce(changed, "content"), "record_id": blank})
+    return old, new.drop("tenant_id", "org_id")
 
 
 def upsert_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,15 +162,16 @@ def replace_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def last_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = fixtures.tasks(spark, sf_dir).select("document_id", "task_id", "status", "updated_at")
-    first, second = tasks.filter("task_id % 2 = 0"), tasks.filter("task_id % 2 = 1")
+    open_ = F.col("status").isin("pending", "running")
+    first, second = tasks.filter(open_), tasks.filter(~open_)
     ordered = [x.withColumn("version", F.struct("updated_at", "task_id")) for x in (first, second)]
     return indexing.last_writer_wins(*ordered, "document_id", "version").drop("version")
 
 
 def compare_and_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = fixtures.tasks(spark, sf_dir).select("task_id", "status", "attempt_count", "updated_at")
-    stale = F.when(F.col("task_id") % 3 == 0, F.col("updated_at") - F.expr("interval 1 second")).otherwise(F.col("updated_at"))
-    updates = tasks.filter("task_id % 2 = 0").select(
+    stale = F.when(F.col("status") == "failed", F.col("updated_at") - F.expr("interval 1 second")).otherwise(F.col("updated_at"))
+    updates = tasks.filter("status in ('failed', 'pending')").select(
         "task_id", stale.alias("expected"), F.lit("running").alias("status"),
         (F.col("attempt_count") + 1).alias("attempt_count"), (F.col("updated_at") + F.expr("interval 1 minute")).alias("updated_at"),
     )
@@ -180,7 +181,7 @@ def compare_and_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 def metadata_side_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, _ = _stored(spark, sf_dir)
     records = old.withColumn("vector", F.array(F.lit(1.0).cast("float")))
-    kept = records.filter("document_id like '%1'").select("record_id")
+    kept = records.filter("knowledge_base_id in ('src1', 'src2')").select("record_id")
     return indexing.index_metadata(records, kept).select("record_id", "document_id", "chunk_index", "title")
 
 
@@ -218,11 +219,11 @@ def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as index records with deterministic vectors for even numbers."""
+    """Documents as index records with deterministic vectors for texts of 1,000 characters or more."""
     docs = fixtures.labelled_documents(spark, sf_dir).withColumns(
         {"chunk_index": F.lit(0), "char_count": F.col("n_chars")}
     )
-    made = indexing.deterministic_provider(indexing.embedding_inputs(docs.filter("doc_id % 2 = 0"))).select("chunk_id", "vector")
+    made = indexing.deterministic_provider(indexing.embedding_inputs(docs.filter("n_chars >= 1000"))).select("chunk_id", "vector")
     return docs.join(made, "chunk_id", "left").select(
         F.col("doc_id").alias("record_id"), "knowledge_base_id", "document_id", "chunk_id", "tenant_id", "org_id",
         F.lit("").alias("title"), F.col("text").alias("content"), "metadata",
@@ -265,7 +266,7 @@ def entity_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.operators.entities import delete_where, update_where, upsert_rows
 
     nations = fixtures.table(spark, sf_dir, "nation")
-    new = nations.filter("n_nationkey % 4 = 0").withColumn("n_name", F.lower("n_name"))
+    new = nations.filter("n_regionkey = 3").withColumn("n_name", F.lower("n_name"))
     merged = upsert_rows(nations, new, "n_nationkey")
     renamed = update_where(merged, F.col("n_nationkey") == 1, {"n_name": F.lit("renamed")})
     return delete_where(renamed, F.col("n_regionkey") == 2)
@@ -293,10 +294,11 @@ SELECT query_id, record_id, round(raw, 6) AS score, row_number() OVER (PARTITION
 
 _RECORDS = """
 rec AS (SELECT source || '::doc_' || doc_id AS record_id, 'doc_' || doc_id AS document_id,
-  substr(text, 1, 40) AS content, source, doc_id FROM documents),
-o AS (SELECT * FROM rec WHERE doc_id % 10 < 7),
-n AS (SELECT record_id AS full_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE record_id END AS record_id, document_id,
-  CASE WHEN doc_id % 3 = 0 THEN content || '!' ELSE content END AS content, source, doc_id FROM rec WHERE doc_id % 2 = 0),
+  md5(text) AS content, source, lang, doc_id FROM documents),
+o AS (SELECT * FROM rec WHERE lang <> 'es'),
+n AS (SELECT record_id AS full_id, CASE WHEN source IN ('src5', 'src6') THEN '' ELSE record_id END AS record_id, document_id,
+  CASE WHEN source IN ('src1', 'src2', 'src3', 'src4', 'src5') THEN content || '!' ELSE content END AS content, source, doc_id
+  FROM rec WHERE lang <> 'fr'),
 c AS (SELECT coalesce(o.document_id, n.document_id) AS document_id,
   CASE WHEN n.doc_id IS NULL THEN 'untouched' WHEN o.doc_id IS NULL THEN 'inserted'
     WHEN o.content = n.content AND o.record_id = n.record_id THEN 'skipped' ELSE 'replaced' END AS action,
@@ -320,7 +322,7 @@ kw AS (SELECT query_id, doc_id AS record_id, sum(ln((n - df + 0.5) / (df + 0.5)
   FROM asked JOIN freq USING (sc, term) JOIN post USING (sc, term) JOIN st USING (sc) GROUP BY 1, 2),
 dv AS (SELECT doc_id, list_transform(range(8), lambda i: (('0x' || substr(sha256('mock-embedding-v1|doc_' || doc_id || '|'
   || sha256(text) || '|' || n_chars), 1 + 8 * i, 8))::UBIGINT % 10000 / 10000.0::DOUBLE)::FLOAT::DOUBLE) AS v
-  FROM documents WHERE doc_id % 2 = 0),
+  FROM documents WHERE n_chars >= 1000),
 qv AS (SELECT item_id AS query_id, item_id % 3 AS sc, list_transform(range(1, 9), lambda k: ((item_id * 7 + k * k) % 10 / 10.0::DOUBLE)::FLOAT::DOUBLE)
   AS q FROM benchmark WHERE item_id % 4 <> 0),
 vec AS (SELECT query_id, doc_id AS record_id, list_cosine_similarity(v, q) AS score, 'vector' AS score_source
@@ -381,27 +383,28 @@ SELECT record_id, document_id, content FROM o WHERE document_id NOT IN (SELECT d
 FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""",
     "compare_and_set": """WITH t AS (SELECT event_id AS task_id, CASE event_type WHEN 'purchase' THEN 'succeeded'
   WHEN 'error' THEN 'failed' WHEN 'click' THEN 'running' ELSE 'pending' END AS status,
-  ((props->>'$.k')::INT % 5)::INT AS attempt_count, ts AS updated_at, event_id % 2 = 0 AND event_id % 3 <> 0 AS applied FROM events)
+  ((props->>'$.k')::INT % 5)::INT AS attempt_count, ts AS updated_at,
+  event_type NOT IN ('purchase', 'error', 'click') AS applied FROM events)
 SELECT task_id, CASE WHEN applied THEN 'running' ELSE status END AS status,
   CASE WHEN applied THEN attempt_count + 1 ELSE attempt_count END AS attempt_count,
   CASE WHEN applied THEN updated_at + INTERVAL 1 MINUTE ELSE updated_at END AS updated_at, applied FROM t""",
     "metadata_side_table": f"""WITH {_RECORDS} SELECT record_id, document_id, 0 AS chunk_index, document_id AS title FROM o
-WHERE document_id LIKE '%1'""",
+WHERE source IN ('src1', 'src2')""",
     "detect_kind": """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'application/pdf' WHEN 2 THEN 'text/markdown'
   WHEN 3 THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document'
   WHEN 4 THEN 'text/markdown' ELSE 'text/plain' END AS kind FROM documents""",
     "data_uris": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
     "index_records": r"""
 WITH w AS (SELECT doc_id, lang, source, unnest(range(CASE WHEN n_chars <= 600 THEN 1
-    ELSE ceil((n_chars - 600) / 540.0::DOUBLE)::INT + 1 END)) AS k, text FROM documents WHERE doc_id % 4 = 0),
+    ELSE ceil((n_chars - 600) / 540.0::DOUBLE)::INT + 1 END)) AS k, text FROM documents),
 p AS (SELECT *, substr(text, k * 540 + 1, 600) AS part FROM w),
 t AS (SELECT *, regexp_replace(part, '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g') AS body,
   length(part) - length(regexp_replace(part, '^[ \t\n\r\f\v]+', '')) AS lead FROM p),
 n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS chunk_index FROM t WHERE body <> '')
 SELECT source || '::doc_' || doc_id || '_chunk_' || (chunk_index + 1) AS record_id, source AS knowledge_base_id,
   'doc_' || doc_id AS document_id, chunk_index, 'doc_' || doc_id AS title, source AS index_name, lang AS tenant_id,
-  length(body) AS n_chars, CASE WHEN chunk_index % 2 = 0 THEN 8 ELSE 0 END AS dimensions,
-  CASE WHEN chunk_index % 2 = 0 THEN 'mock-embedding-v1' ELSE 'not-executed' END AS model,
+  length(body) AS n_chars, CASE WHEN length(body) >= 300 THEN 8 ELSE 0 END AS dimensions,
+  CASE WHEN length(body) >= 300 THEN 'mock-embedding-v1' ELSE 'not-executed' END AS model,
   (k * 540 + lead)::VARCHAR AS start FROM n""",
     "markdown_sections": """
 WITH l AS (SELECT doc_id, unnest(string_split(trim(text, e' \\n\\t\\r'), chr(10))) AS line,
@@ -427,6 +430,6 @@ hy AS (SELECT query_id, record_id, sum(1.0::DOUBLE / (60 + r)) AS score, 'hybrid
   FROM (SELECT * FROM vr UNION ALL SELECT * FROM kr) GROUP BY 1, 2
   UNION ALL SELECT * FROM kw WHERE query_id NOT IN (SELECT query_id FROM vec))
 {_CUT.format(source='hy')}""",
-    "entity_upsert": """SELECT n_nationkey, CASE WHEN n_nationkey = 1 THEN 'renamed' WHEN n_nationkey % 4 = 0 THEN lower(n_name)
+    "entity_upsert": """SELECT n_nationkey, CASE WHEN n_nationkey = 1 THEN 'renamed' WHEN n_regionkey = 3 THEN lower(n_name)
   ELSE n_name END AS n_name, n_regionkey FROM nation WHERE n_regionkey <> 2""",
 }

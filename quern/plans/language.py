@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern import fixtures
 from quern.functions import metrics
-from quern.functions.text import STOP_WORDS, estimate_tokens, keywords, looks_like_follow_up, sub_queries
+from quern.functions.text import STOP_WORDS, estimate_tokens, keywords, looks_like_follow_up, normalize_space, sub_queries
 from quern.operators import bm25, conversation, evaluation, planning
 from quern.operators.ranking import top_k
 from quern.plans import retrieval
@@ -34,7 +34,7 @@ def last_user_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def summary_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = _said(spark, sf_dir)
-    marks = messages.filter("position = 1 and conversation_id % 3 = 0").select("conversation_id", "message_id")
+    marks = messages.filter("position = 1 and role = 'assistant'").select("conversation_id", "message_id")
     return conversation.needs_summary(messages, marks, budget=150)
 
 
@@ -46,14 +46,15 @@ def history_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
 def context_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = bm25.bm25_scores(fixtures.documents(spark, sf_dir), fixtures.queries(spark, sf_dir), retrieval.CHUNKS)
     best = top_k(scored.withColumn("score", F.round("score", 6)), 3, tie="doc_id")
-    docs = fixtures.documents(spark, sf_dir).select("doc_id", "knowledge_base_id", "title", F.substring("text", 1, 80).alias("content"))
-    return conversation.knowledge_context(best.join(docs, "doc_id"))
+    docs = fixtures.documents(spark, sf_dir).select("doc_id", "knowledge_base_id", "title", F.col("text").alias("content"))
+    made = conversation.knowledge_context(best.join(docs, "doc_id"))
+    return made.select("query_id", F.length("kb_context").alias("n_chars"), F.md5("kb_context").alias("context_md5"))
 
 
 def prompt_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompts of queries: a third with knowledge, half with a tool answer."""
     asked = fixtures.queries(spark, sf_dir)
-    kb = F.when(F.col("query_id") % 3 == 0, F.concat(F.lit("1. [kb] x\n"), F.substring("query", 1, 20)))
+    kb = F.when(F.col("query_id") % 3 == 0, F.concat(F.lit("1. [kb] x\n"), "query"))
     tool = F.when(F.col("query_id") % 2 == 0, "1. list_knowledge_bases\nargs={}\nok").otherwise("")
     made = asked.select("query_id", conversation.prompt(kb, tool, F.col("query"), F.concat("query", F.lit("!"))).alias("p"))
     return made.select("query_id", "p.scene", F.size("p.sections").alias("n_sections"), F.md5(F.array_join("p.sections", "|")).alias("sections_md5"))
@@ -69,8 +70,8 @@ def query_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = _said(spark, sf_dir).filter("role = 'user'")
     turns = messages.select(
         "message_id",
-        F.concat(F.when(F.col("position") % 4 == 0, "And ").otherwise(""), F.substring("content", 1, 60)).alias("message"),
-        F.when(F.col("conversation_id") % 2 == 0, F.substring("content", 5, 20)).alias("last_user_turn"),
+        F.concat(F.when(F.col("position") % 4 == 0, "And ").otherwise(""), "content").alias("message"),
+        F.when(F.col("conversation_id") % 2 == 0, F.concat(F.lit("Earlier"), "content")).alias("last_user_turn"),
     )
     return planning.rewrite_plan(turns).select("message_id", "strategy", "rewritten", F.array_join("sub_queries", "|").alias("parts"))
 
@@ -87,7 +88,7 @@ def sub_query_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def query_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two terms replaced with their case kept; row-wise Python is the comparison (tests)."""
     rewrite = planning.apply_mappings([("the", "THE-Term"), ("of", "from"), ("", "x")])
-    return _said(spark, sf_dir).select("message_id", F.md5(rewrite(F.substring("content", 1, 200))).alias("text_md5"))
+    return _said(spark, sf_dir).select("message_id", F.md5(rewrite("content")).alias("text_md5"))
 
 
 def keyword_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +120,7 @@ def retrieval_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tool_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = fixtures.table(spark, sf_dir, "orders").filter("o_orderkey % 10 = 0")
+    orders = fixtures.table(spark, sf_dir, "orders")
     text = F.concat(F.lit("status of task_"), F.lpad(F.col("o_orderkey").cast("string"), 6, "0"), F.lit(" and rag.top.k please"))
     text = F.when(F.col("o_orderkey") % 20 == 0, text).otherwise(F.lit("no hint here"))
     return orders.select("o_orderkey", planning.tool_arguments(text).alias("a")).select("o_orderkey", "a.*")
@@ -129,12 +130,12 @@ def tool_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items as questions; the truths are their first and last 60 characters."""
+    """Benchmark items as questions; the truths are their sentences."""
     items = fixtures.table(spark, sf_dir, "benchmark")
     return items.select(
         F.col("item_id").alias("case_id"),
-        F.substring("text", 1, 90).alias("question"),
-        F.array(F.substring("text", 1, 60), F.expr("right(text, 60)")).alias("truths"),
+        F.col("text").alias("question"),
+        F.filter(F.transform(F.split("text", r"\."), normalize_space), lambda x: x != "").alias("truths"),
         F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("kb_"), (F.col("item_id") % 3).cast("string"))).alias("knowledge_base_id"),
     )
 
@@ -143,7 +144,7 @@ def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = fixtures.table(spark, sf_dir, "benchmark")
     return items.select(
         F.concat(F.lit("kb_"), (F.col("item_id") % 3).cast("string")).alias("knowledge_base_id"),
-        F.substring("text", 1, 12).alias("title"), F.col("text").alias("content"), F.col("item_id").alias("corpus_pos"),
+        F.element_at(F.split("text", " "), 1).alias("title"), F.col("text").alias("content"), F.col("item_id").alias("corpus_pos"),
     )
 
 
@@ -168,7 +169,7 @@ def eval_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def question_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = fixtures.documents(spark, sf_dir).filter("n_chars < 2000")
+    docs = fixtures.documents(spark, sf_dir)
     words = keywords(F.col("text"))
     return docs.select("doc_id", F.size(words).alias("n"), F.md5(F.array_join(F.array_sort(words), " ")).alias("words_md5"))
 
@@ -255,10 +256,11 @@ def _words(text: str) -> str:
 
 
 def _eval(k: int) -> str:
-    return rf"""cs AS (SELECT item_id AS case_id, substr(text, 1, 90) AS question, [substr(text, 1, 60), right(text, 60)] AS truths,
+    return rf"""cs AS (SELECT item_id AS case_id, text AS question, list_filter(list_transform(string_split(text, '.'),
+  lambda x: {_NORM.format('x')}), lambda x: x <> '') AS truths,
   CASE WHEN item_id % 2 = 0 THEN 'kb_' || (item_id % 3) END AS kb FROM benchmark),
 ct AS (SELECT *, list_distinct(list_filter(string_split_regex(lower(question), '[^a-z0-9]+'), lambda t: length(t) >= 2)) AS terms FROM cs),
-co AS (SELECT 'kb_' || (item_id % 3) AS kb, lower(substr(text, 1, 12)) AS title, lower(substr(text, 1, 12) || ' ' || text) AS hay,
+co AS (SELECT 'kb_' || (item_id % 3) AS kb, lower(string_split(text, ' ')[1]) AS title, lower(string_split(text, ' ')[1] || ' ' || text) AS hay,
   text AS content, item_id AS pos FROM benchmark),
 sc AS (SELECT case_id, content, pos, len(list_filter(terms, lambda t: contains(hay, t)))
     + 0.5 * len(list_filter(terms, lambda t: contains(title, t))) AS score FROM ct, co WHERE ct.kb IS NULL OR ct.kb = co.kb),
@@ -301,7 +303,7 @@ SELECT conversation_id, position, cost, used FROM u WHERE used <= 120""",
     "last_user_turn": f"""WITH {_S} SELECT conv_id AS conversation_id, md5(arg_max(text, turn)) AS text_md5 FROM s
 WHERE role = 'user' AND trim(text) <> '' GROUP BY 1""",
     "summary_trigger": f"""WITH {_S}, t AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS x FROM s GROUP BY 1),
-m AS (SELECT DISTINCT conv_id FROM s WHERE turn = 1 AND conv_id % 3 = 0),
+m AS (SELECT DISTINCT conv_id FROM s WHERE turn = 1 AND role = 'assistant'),
 f AS (SELECT s.conv_id, count(*) FILTER (m.conv_id IS NULL OR turn > 1) AS n FROM s LEFT JOIN m ON m.conv_id = s.conv_id GROUP BY 1)
 SELECT t.conv_id AS conversation_id, {_tokens('x')} AS total_tokens, n AS unsummarized, {_tokens('x')} > 150 AND n >= 4 AS needs_summary
 FROM t JOIN f USING (conv_id)""",
@@ -311,10 +313,11 @@ u AS (SELECT *, sum(cost) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNB
   first(cost) OVER (PARTITION BY conv_id ORDER BY turn) AS f FROM c)
 SELECT conv_id AS conversation_id, turn AS position, cost FROM u WHERE n = 1 OR used + f <= 100 OR total - n + 1 <= 2""",
     "context_assembly": f"""WITH {retrieval._bm25()}, c AS ({retrieval._top('scored', 3)})
-SELECT query_id, string_agg(rank || '. [' || source || '] doc_' || doc_id || chr(10) || substr(text, 1, 80) || chr(10)
-  || 'score=' || printf('%.2f', score), chr(10) || chr(10) ORDER BY rank) AS kb_context
-FROM c JOIN documents USING (doc_id) GROUP BY query_id""",
-    "prompt_assembly": """WITH b AS (SELECT item_id, text, CASE WHEN item_id % 3 = 0 THEN '1. [kb] x' || chr(10) || substr(text, 1, 20) END AS kb,
+, x AS (SELECT query_id, string_agg(rank || '. [' || source || '] doc_' || doc_id || chr(10) || text || chr(10)
+  || 'score=' || printf('%.2f', score), chr(10) || chr(10) ORDER BY rank) AS k
+FROM c JOIN documents USING (doc_id) GROUP BY query_id)
+SELECT query_id, length(k) AS n_chars, md5(k) AS context_md5 FROM x""",
+    "prompt_assembly": """WITH b AS (SELECT item_id, text, CASE WHEN item_id % 3 = 0 THEN '1. [kb] x' || chr(10) || text END AS kb,
   CASE WHEN item_id % 2 = 0 THEN '1. list_knowledge_bases' || chr(10) || 'args={}' || chr(10) || 'ok' END AS tool FROM benchmark)
 SELECT item_id AS query_id, CASE WHEN kb IS NOT NULL AND tool IS NOT NULL THEN 'mixed' WHEN kb IS NOT NULL THEN 'kb'
   WHEN tool IS NOT NULL THEN 'mcp' ELSE 'direct' END AS scene, 1 + (kb IS NOT NULL)::INT + (tool IS NOT NULL)::INT AS n_sections,
@@ -323,8 +326,8 @@ SELECT item_id AS query_id, CASE WHEN kb IS NOT NULL AND tool IS NOT NULL THEN '
     "grounding_truncation": f"""WITH RECURSIVE r AS (SELECT doc_id, text AS t FROM documents UNION ALL
   SELECT doc_id, substr(t, 1, floor(length(t) * 0.8::DOUBLE)::INT) FROM r WHERE {_tokens('t')} > 300 AND length(t) > 100)
 SELECT doc_id, min(length(t)) AS n_chars FROM r GROUP BY doc_id""",
-    "query_rewrite": f"""WITH {_S}, t AS (SELECT message_id, {_NORM.format("(CASE WHEN turn % 4 = 0 THEN 'And ' ELSE '' END) || substr(text, 1, 60)")} AS q,
-  CASE WHEN conv_id % 2 = 0 THEN substr(text, 5, 20) END AS lastt FROM s WHERE role = 'user'),
+    "query_rewrite": f"""WITH {_S}, t AS (SELECT message_id, {_NORM.format("(CASE WHEN turn % 4 = 0 THEN 'And ' ELSE '' END) || text")} AS q,
+  CASE WHEN conv_id % 2 = 0 THEN 'Earlier' || text END AS lastt FROM s WHERE role = 'user'),
 p AS (SELECT *, {_parts('q')} AS parts, regexp_matches(lower(q), '^{_PREFIX}') AND lastt IS NOT NULL AS fu FROM t)
 SELECT message_id, CASE WHEN fu THEN 'followup-merge' WHEN len(parts) > 1 THEN 'multi-query' ELSE 'passthrough' END AS strategy,
   CASE WHEN fu THEN {_NORM.format("lastt || '. ' || q")} WHEN len(parts) > 1 THEN array_to_string(parts, ' ; ') ELSE q END AS rewritten,
@@ -343,7 +346,7 @@ c AS (SELECT *, bases <> '' OR named OR turn % 3 > 1 AS go FROM b)
 SELECT message_id, go AS should_retrieve, CASE WHEN go THEN 'go-executor' ELSE 'ts-local' END AS mode,
   CASE WHEN turn % 2 = 0 AND bases = '' THEN 4 ELSE 6 END AS top_k, bases FROM c""",
     "tool_arguments": """SELECT o_orderkey, CASE WHEN o_orderkey % 20 = 0 THEN 'task_' || lpad(o_orderkey::VARCHAR, 6, '0') END AS task_id,
-  CASE WHEN o_orderkey % 20 = 0 THEN 'rag.top.k' END AS setting_key FROM orders WHERE o_orderkey % 10 = 0""",
+  CASE WHEN o_orderkey % 20 = 0 THEN 'rag.top.k' END AS setting_key FROM orders""",
     "eval_retrieval": f"WITH {_eval(6)} SELECT case_id, len(retrieved)::INT AS n, md5(array_to_string(retrieved, '|')) AS retrieved_md5 FROM rr",
     "eval_metrics": f"WITH {_METRICS} SELECT case_id, faithfulness, answer_relevance, context_precision, context_recall FROM me",
     "eval_aggregate": f"""WITH {_METRICS} SELECT count(*) AS cases, count(*) FILTER (cr >= 0.5 AND a >= 0.3) AS passed,
@@ -352,6 +355,6 @@ SELECT message_id, go AS should_retrieve, CASE WHEN go THEN 'go-executor' ELSE '
     "passage_similarity": f"""WITH p AS (SELECT a.item_id AS a, {_words('a.text')} AS wa, {_words('b.text')} AS wb
   FROM benchmark a JOIN benchmark b ON a.item_id = b.item_id + 1)
 SELECT a, round({_JACCARD}, 6) AS jaccard FROM p""",
-    "question_keywords": f"""WITH k AS (SELECT doc_id, {_KEYS.format(t='text')} AS k FROM documents WHERE n_chars < 2000)
+    "question_keywords": f"""WITH k AS (SELECT doc_id, {_KEYS.format(t='text')} AS k FROM documents)
 SELECT doc_id, len(k)::INT AS n, md5(array_to_string(list_sort(k), ' ')) AS words_md5 FROM k""",
 }

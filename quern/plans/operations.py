@@ -61,7 +61,8 @@ def retry_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def idempotent_create(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = _tasks(spark, sf_dir).withColumn("idempotency_key", F.sha2(F.concat_ws("|", "knowledge_base_id", "document_id", F.col("k").cast("string")), 256))
-    old, new = keyed.filter("task_id % 3 = 0"), keyed.filter("task_id % 3 <> 0")
+    finished = F.col("status").isin("succeeded", "failed")
+    old, new = keyed.filter(finished), keyed.filter(~finished)
     return T.create_tasks(old, new).groupBy("outcome").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("task_id").alias("tasks"), F.sum("task_id").alias("ids")
     )
@@ -89,7 +90,7 @@ def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests squeezed into bursts, whole seconds of a scaled clock."""
     events = fixtures.events(spark, sf_dir)
     second = F.datediff("ts", F.lit("2024-01-01")).cast("double")
-    requests = events.select((F.col("user_id") % 5).cast("string").alias("client"), second.alias("at_seconds"))
+    requests = events.select(F.col("event_type").alias("client"), second.alias("at_seconds"))
     return T.token_bucket(requests).groupBy("client", "at_seconds").agg(
         F.count_if("allowed").alias("allowed"), F.count(F.lit(1)).alias("requests")
     )
@@ -135,10 +136,10 @@ def trace_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations of even number are in scope; every third message has metadata."""
+    """Conversations of five messages or more are in scope; every third message has metadata."""
     messages = fixtures.messages(spark, sf_dir)
     conversations = (
-        messages.filter("conversation_id % 2 = 0").groupBy("conversation_id").agg(F.max("position").alias("n"))
+        messages.groupBy("conversation_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 5")
         .select("conversation_id", (F.col("conversation_id") % 7).alias("user_id"))
     )
     described = messages.withColumn(
@@ -160,7 +161,7 @@ def dashboard_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = fixtures.events(spark, sf_dir).groupBy(
-        F.concat(F.lit("doc_"), (F.col("user_id") % 100).cast("string")).alias("document_id")
+        F.concat(F.lit("doc_"), F.col("user_id").cast("string")).alias("document_id")
     ).agg(F.count(F.lit(1)).alias("n_chunks"))
     return views.document_view(_tasks(spark, sf_dir), counts).select(
         "knowledge_base_id", "document_id", "task_id", "status", "title", "chunk_count", "retrieval_evidence_count"
@@ -169,7 +170,7 @@ def document_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunk_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = fixtures.documents(spark, sf_dir).withColumn("chunk_index", F.lit(0))
-    records = docs.filter("doc_id % 3 = 0").select("chunk_id", F.concat_ws("::", "knowledge_base_id", "chunk_id").alias("record_id"))
+    records = docs.filter("tenant_id = 'en'").select("chunk_id", F.concat_ws("::", "knowledge_base_id", "chunk_id").alias("record_id"))
     return views.chunk_view(docs, records).select("chunk_id", "preview", "record_id", "indexed")
 
 
@@ -182,7 +183,7 @@ def retrieval_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.concat(F.lit("t"), F.col("event_id").cast("string")).alias("traceId"),
                 F.array(F.concat(F.lit("kb_"), (F.col("user_id") % 3).cast("string")), F.lit("kb_all")).alias("knowledgeBaseIds"),
                 F.struct(F.concat(F.lit("doc_"), (F.col("user_id") % 10).cast("string")).alias("documentId")).alias("filters"),
-                F.when(F.col("event_id") % 2 == 0, "acme").otherwise("other").alias("tenantId"),
+                F.when(F.col("event_type").isin("click", "purchase"), "acme").otherwise("other").alias("tenantId"),
             ).alias("retrievalRequest")
         )
     )
@@ -274,8 +275,8 @@ r AS (SELECT trace_id AS run_id, arg_max(status, rnk) AS status, min(started_at)
   max(finished_at) AS finished_at, greatest((epoch_us(max(finished_at)) // 1000) - (epoch_us(min(started_at)) // 1000), 0) AS duration_ms,
   count(*) AS n_nodes FROM n GROUP BY 1)"""
 _DASH = """
-conv AS (SELECT DISTINCT conv_id, conv_id % 7 AS u FROM conversations WHERE conv_id % 2 = 0),
-msg AS (SELECT c.* FROM conversations c WHERE conv_id % 2 = 0),
+conv AS (SELECT conv_id, conv_id % 7 AS u FROM conversations GROUP BY conv_id HAVING count(*) >= 5),
+msg AS (SELECT c.* FROM conversations c WHERE conv_id IN (SELECT conv_id FROM conv)),
 tk AS (SELECT CASE event_type WHEN 'purchase' THEN 'succeeded' WHEN 'error' THEN 'failed' WHEN 'click' THEN 'running'
   ELSE 'pending' END AS status FROM events),
 b AS (SELECT (SELECT count(DISTINCT u) FROM conv) AS active_users, (SELECT count(*) FROM conv) AS conversations,
@@ -312,9 +313,9 @@ SELECT task_id, CASE WHEN again THEN 'pending' ELSE 'failed' END AS status, kind
     "retry_delays": f"""WITH {_T} SELECT task_id, CASE WHEN k % 2 <> 0 THEN 'non-retryable' ELSE 'dependency-transient' END
   AS kind, CASE WHEN k % 2 <> 0 THEN least(5 * greatest(k, 1), 90) ELSE least(15 * greatest(k, 1), 300) END AS seconds FROM t""",
     "idempotent_create": f"""WITH {_T}, keyed AS (SELECT *, kb || '|' || doc || '|' || k AS key FROM t),
-o AS (SELECT key, task_id AS old, status AS s FROM keyed WHERE task_id % 3 = 0
+o AS (SELECT key, task_id AS old, status AS s FROM keyed WHERE status IN ('succeeded', 'failed')
   QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC, task_id) = 1),
-n AS (SELECT key, task_id, min(task_id) OVER (PARTITION BY key) AS first FROM keyed WHERE task_id % 3 <> 0),
+n AS (SELECT key, task_id, min(task_id) OVER (PARTITION BY key) AS first FROM keyed WHERE status NOT IN ('succeeded', 'failed')),
 j AS (SELECT coalesce(old, first) AS task_id, CASE WHEN old IS NULL THEN CASE WHEN task_id = first THEN 'created'
   ELSE 'reused' END WHEN s = 'succeeded' THEN 'already-succeeded' WHEN s = 'failed' THEN 'failed-needs-retry'
   ELSE 'reused' END AS outcome FROM n LEFT JOIN o USING (key))
@@ -329,7 +330,7 @@ UNION ALL SELECT 'running-expired', count(*) FILTER (status = 'running' AND {_DU
 UNION ALL SELECT 'dead-letters-failed', true UNION ALL SELECT 'finished-not-claimable', true""",
     "task_page": f"""WITH {_T} SELECT task_id, status FROM t WHERE status = 'failed'
 ORDER BY ts DESC, task_id LIMIT 25 OFFSET 50""",
-    "token_bucket": """WITH RECURSIVE q AS (SELECT (user_id % 5)::VARCHAR AS client,
+    "token_bucket": """WITH RECURSIVE q AS (SELECT event_type AS client,
   floor((epoch(ts) - 1704067200) / 86400)::DOUBLE AS s, count(*) AS n FROM events GROUP BY 1, 2),
 o AS (SELECT *, row_number() OVER (PARTITION BY client ORDER BY s) AS i FROM q),
 b AS (SELECT client, s, n, i, least(floor(20.0), n)::BIGINT AS allowed, 20.0::DOUBLE - least(floor(20.0), n) AS tokens
@@ -350,14 +351,14 @@ SELECT event_id, s AS parent_status FROM m LEFT JOIN p ON p.trace_id = m.trace_i
     "dashboard": f"WITH {_DASH} SELECT * FROM b",
     "dashboard_ratios": f"""WITH {_DASH} SELECT floor(retrieval_annotated_messages * 100.0 / messages + 0.5)::BIGINT AS retrieval_share,
   floor(ingestion_succeeded * 100.0 / ingestion_tasks + 0.5)::BIGINT AS ingestion_success FROM b""",
-    "document_view": f"""WITH {_T}, c AS (SELECT 'doc_' || (user_id % 100) AS doc, count(*) AS n FROM events GROUP BY 1),
+    "document_view": f"""WITH {_T}, c AS (SELECT 'doc_' || user_id AS doc, count(*) AS n FROM events GROUP BY 1),
 s AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY kb, doc ORDER BY (status <> 'succeeded')::INT, ts DESC, task_id) = 1)
 SELECT kb AS knowledge_base_id, s.doc AS document_id, task_id, status, s.doc AS title, coalesce(n, 0) AS chunk_count,
   0 AS retrieval_evidence_count FROM s LEFT JOIN c ON c.doc = s.doc""",
     "chunk_view": """SELECT 'doc_' || doc_id AS chunk_id, CASE WHEN length(text) > 180 THEN substr(text, 1, 180) || '...' ELSE text END
-  AS preview, CASE WHEN doc_id % 3 = 0 THEN source || '::doc_' || doc_id END AS record_id, doc_id % 3 = 0 AS indexed FROM documents""",
+  AS preview, CASE WHEN lang = 'en' THEN source || '::doc_' || doc_id END AS record_id, lang = 'en' AS indexed FROM documents""",
     "retrieval_evidence": """WITH e AS (SELECT event_id, ts, 'doc_' || (user_id % 10) AS document_id,
-  unnest(['kb_' || (user_id % 3), 'kb_all']) AS knowledge_base_id FROM events WHERE event_type <> 'view' AND event_id % 2 = 0)
+  unnest(['kb_' || (user_id % 3), 'kb_all']) AS knowledge_base_id FROM events WHERE event_type IN ('click', 'purchase'))
 SELECT knowledge_base_id, document_id, count(*) AS hits,
   't' || arg_max(event_id, (ts + to_microseconds(event_id))) AS latest_trace_id FROM e GROUP BY 1, 2""",
     "intent_tree": """SELECT 'r' || r_regionkey AS intent_id, 0 AS depth, 'r' || r_regionkey AS root_id, r_name AS path FROM region
