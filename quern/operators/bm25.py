@@ -90,12 +90,13 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, c: Columns = Columns()) -
     weighted = frequency.join(statistics, "_scope").select(
         "_scope", "term", idf(F.col("_n"), F.col("_df")).alias("_idf"), "_mean"
     )
+    # written, so that Spark knows that the queries' side is the small one and streams the postings
+    weights = materialize(asked.join(weighted, ["_scope", "term"]), "weights")
     one = F.lit(1.0)
     body = term_score(F.col("_idf"), one, F.col("_dl"), F.col("_mean"))
     title = TITLE_WEIGHT * term_score(F.col("_idf"), one, F.col("_tl"), F.col("_mean"))
     return (
-        asked.join(weighted, ["_scope", "term"])
-        .join(postings, ["_scope", "term"])
+        postings.join(weights, ["_scope", "term"])
         .groupBy("_query", "_chunk")
         .agg(F.sum(F.when(F.col("kind") == "title", title).otherwise(body)).alias("score"))
         .filter("score > 0")

@@ -9,6 +9,7 @@ from quern import fixtures
 from quern.functions.text import extract_terms, tokenize_terms
 from quern.operators import bm25
 from quern.operators.filters import in_scope, metadata_matches
+from quern.operators.local import containment_scores
 from quern.operators.ranking import clamp_top_k, low_quality, min_max, top_k, with_fallback
 
 CHUNKS = bm25.Columns(chunk="doc_id")
@@ -85,9 +86,7 @@ def local_term_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = fixtures.queries(spark, sf_dir).select(
         "query_id", extract_terms(F.col("query")).alias("terms")
     )
-    pairs = docs.join(terms, F.lit(True))  # a stated query set against all rows
-    score = F.size(F.filter("terms", lambda t: F.contains(F.col("hay"), t))).cast("double")
-    scored = pairs.select("query_id", "doc_id", score.alias("score")).filter("score > 0")
+    scored = containment_scores(docs, terms, chunk="doc_id", text="hay")
     return top_k(scored, 6, tie="doc_id").select("query_id", "doc_id", "score", "rank")
 
 

@@ -97,3 +97,14 @@ def test_entities(spark):
     actor = F.struct(F.lit("u").alias("user_id"), F.lit("user").alias("role"), F.lit("t").alias("tenant_id"), F.lit("").alias("org_id"))
     tools = spark.range(1).select(entities.visible_tools({"list": "tenant", "admin": "admin"}, actor).alias("t")).first().t
     assert tools == ["list"]
+
+
+@pytest.mark.parametrize("block", [1000, 1])
+def test_containment(spark, block):
+    from quern.operators.local import containment_scores
+
+    docs = spark.createDataFrame([("a", "rollback plan"), ("b", None), ("c", "xxplanxx")], "chunk_id string, text string")
+    asked = spark.createDataFrame([("q", ["plan", "plan", "roll"]), ("r", []), ("s", None), ("t", ["zz"])], "query_id string, terms array<string>")
+    got = sorted(tuple(r) for r in containment_scores(docs, asked, block=block).collect())
+    assert got == [("q", "a", 3.0), ("q", "c", 2.0)]
+    assert containment_scores(docs, asked.limit(0)).count() == 0
