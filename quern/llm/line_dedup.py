@@ -12,6 +12,14 @@ the byte comparison finds twice go on, and from there on only numbers move until
 removed chunks meet their documents. Should one digest ever stand for two texts, the
 query stops with an error.
 
+Chunks are disjoint, so a repeated passage whose chunks also hold the neighbours' lines
+stays. ``dedup_passages`` misses none: it compares *windows* that overlap, from every line
+the shortest run of lines with more than ``least_words`` words that starts there and the
+shortest that ends there. A repeated run of that many words is the union of such windows
+(each of its lines has enough words after it in the run, or else lies in the window that
+ends with the run), so what goes is every line of every such run, single long lines
+included. Windows are compared by SHA-256 of their bytes; only numbers and digests move.
+
 Everything is DataFrame functions; no Python runs on the executors.
 """
 
@@ -140,3 +148,158 @@ def dedup_lines(
 
     final = joined.select(F.col("_id").alias(id_col), F.explode(F.array(_let(kept, result))).alias("x"))
     return final.select(id_col, "x.*", F.sha2("x.text", 256).alias("kept_sha256"))
+
+
+_WORD = r"[^ \t\r\f\x0B]+"
+_SPAN = "array<struct<start:int,stop:int>>"
+
+
+def windows(text: Column, least_words: int = 50) -> Column:
+    """``array<struct<start, stop, digest>>``: the windows of a text, each once.
+
+    Lines without words are left out of the comparison; ``stop`` (exclusive) lies behind
+    those that follow a window. A window has at most ``least_words + 1`` lines with words.
+    """
+    most = least_words + 1
+
+    def of_lines(lines: Column) -> Column:
+        counted = F.transform(
+            lines,
+            lambda x, i: F.struct(
+                i.alias("no"), F.regexp_count(x, F.lit(_WORD)).alias("n"), x.alias("line")
+            ),
+        )
+        return _let(F.filter(counted, lambda x: x["n"] > 0), lambda s: of_spoken(s, F.size(lines)))
+
+    def of_spoken(spoken: Column, size: Column) -> Column:
+        parts = F.struct(spoken["no"].alias("no"), spoken["n"].alias("n"), spoken["line"].alias("line"))
+        return _let(parts, lambda p: of_parts(p["no"], p["n"], p["line"], size))
+
+    def shortest(counts: Column) -> Column:
+        """How many of the first ``counts`` exceed ``least_words`` together; null if all do not."""
+        none = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("n"))
+        return F.aggregate(
+            counts,
+            none,
+            lambda a, n: F.when(a["sum"] > least_words, a).otherwise(
+                F.struct((a["sum"] + n).alias("sum"), (a["n"] + 1).alias("n"))
+            ),
+            lambda a: F.when(a["sum"] > least_words, a["n"]),
+        )
+
+    def of_parts(no: Column, counts: Column, lines: Column, size: Column) -> Column:
+        def packed(first: Column, n: Column) -> Column:  # numbers are told apart by hash, structs are not
+            return first.cast("long") * (1 << 31) + n
+
+        starting = F.transform(counts, lambda _, k: packed(k, shortest(F.slice(counts, k + 1, most))))
+        ending = F.transform(
+            counts,
+            lambda _, k: _let(
+                shortest(
+                    F.reverse(F.slice(counts, F.greatest(k - least_words, F.lit(0)) + 1, F.least(k + 1, F.lit(most))))
+                ),
+                lambda n: packed(k - n + 1, n),
+            ),
+        )
+
+        def window(first: Column, n: Column) -> Column:
+            own = F.array_join(F.slice(lines, first + 1, n), "\n")
+            return F.struct(
+                F.get(no, first).alias("start"),
+                F.coalesce(F.get(no, first + n), size).alias("stop"),
+                F.unhex(F.sha2(own, 256)).alias("digest"),
+            )
+
+        spans = F.filter(F.array_distinct(F.concat(starting, ending)), lambda x: x.isNotNull())
+        return F.transform(
+            spans, lambda x: window(F.shiftright(x, 31).cast("int"), (x % (1 << 31)).cast("int"))
+        )
+
+    return _let(F.split(text, "\n", -1), of_lines)
+
+
+def _merged(spans: Column) -> Column:
+    """Sorted spans as the fewest that cover the same lines."""
+    none = F.array().cast(_SPAN)
+
+    def span(start: Column, stop: Column) -> Column:
+        return F.struct(start.alias("start"), stop.alias("stop"))
+
+    def state(done: Column, start: Column, stop: Column) -> Column:
+        return F.struct(done.alias("done"), start.alias("start"), stop.alias("stop"))
+
+    def closed(s: Column) -> Column:
+        return F.when(s["stop"] < 0, none).otherwise(F.concat(s["done"], F.array(span(s["start"], s["stop"]))))
+
+    return F.aggregate(
+        spans,
+        state(none, F.lit(-1), F.lit(-1)),
+        lambda s, g: F.when(
+            g["start"] <= s["stop"], state(s["done"], s["start"], F.greatest(s["stop"], g["stop"]))
+        ).otherwise(state(closed(s), g["start"], g["stop"])),
+        closed,
+    )
+
+
+def dedup_passages(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, least_words: int = 50
+) -> DataFrame:
+    """Per row: ``id, text, n_lines, n_removed_runs, n_removed_lines, kept_sha256`` where
+    ``text`` is what remains after every run of lines with more than ``least_words`` words
+    that also stands at an earlier place (a smaller id, or earlier in the text) is removed.
+
+    Every distinct line stays at least once. Ids must be integers. Defined results: words
+    are what blanks separate; lines without words do not count in a run and go with the line
+    before them; null text counts as empty; a null id comes after all others; of rows that
+    share an id, different texts are different documents (in the order of a hash), and equal
+    texts are one document seen twice, whose first occurrences stay in each; an empty table
+    gives an empty table; other columns are ignored.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    order = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
+    rows = docs.select(
+        F.col(id_col).alias("_id"), order.alias("_order"), F.xxhash64(text).alias("_row"), text.alias("_text")
+    )
+    place = F.struct("_order", "_row", "start")
+    parts = materialize(
+        rows.select("_order", "_row", F.explode(windows(F.col("_text"), least_words)).alias("w")).select(
+            "_order", "_row", "w.*"
+        ),
+        "windows",
+    )
+    repeated = materialize(
+        parts.groupBy(F.col("digest").alias("_d"))
+        .agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n"))
+        .filter("_n > 1")
+        .select("_d", "_first"),
+        "windows",
+    )
+    removed = materialize(
+        parts.join(repeated, F.col("digest") == F.col("_d"))
+        .filter(place != F.col("_first"))
+        .groupBy(F.col("_order").alias("_o"), F.col("_row").alias("_r"))
+        .agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("_spans"))
+        .select("_o", "_r", _merged(F.col("_spans")).alias("_gone")),
+        "windows",
+    )
+    # a merge join at every size: a broadcast that only small inputs allow would hide what large ones shuffle
+    joined = rows.join(
+        removed.hint("merge"), (F.col("_order") == F.col("_o")) & (F.col("_row") == F.col("_r")), "left"
+    )
+    gone = F.coalesce("_gone", F.array().cast(_SPAN))
+
+    def result(x: Column) -> Column:
+        starts = F.concat(F.array(F.lit(0)), F.transform(x["gone"], lambda g: g["stop"]))
+        stops = F.concat(F.transform(x["gone"], lambda g: g["start"]), F.array(F.size(x["lines"])))
+        stays = F.zip_with(starts, stops, lambda a, b: F.slice(x["lines"], a + 1, b - a))
+        lost = F.aggregate(x["gone"], F.lit(0).cast("long"), lambda a, g: a + (g["stop"] - g["start"]))
+        return F.struct(
+            F.array_join(F.flatten(stays), "\n").alias("text"),
+            F.size(x["lines"]).cast("long").alias("n_lines"),
+            F.size(x["gone"]).cast("long").alias("n_removed_runs"),
+            lost.alias("n_removed_lines"),
+        )
+
+    parted = F.struct(gone.alias("gone"), F.split("_text", "\n", -1).alias("lines"))
+    final = joined.select(F.col("_id").alias(id_col), F.explode(F.array(_let(parted, result))).alias("x"))
+    return final.select(id_col, "x.*", F.sha2("x.text", 256).alias("kept_sha256"))

@@ -1,12 +1,16 @@
 from __future__ import annotations
 
 import hashlib
+import os
+import random
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
+from quern.llm import queries
 from quern.llm.exact_dedup import drop_exact_copies, exact_groups
-from quern.llm.line_dedup import chunks, dedup_lines
+from quern.llm.line_dedup import chunks, dedup_lines, dedup_passages
 from tests.llm.conftest import awkward_rows, words
 
 
@@ -88,3 +92,68 @@ def test_line_dedup_of_awkward_rows(awkward):
     rows = dedup_lines(awkward).collect()
     assert len(rows) == len(awkward_rows())
     assert all(r.kept_sha256 == hashlib.sha256(r.text.encode()).hexdigest() for r in rows)
+
+
+def _without_passages(rows, least=50):
+    """What stays after every run of more than ``least`` words that an earlier place holds
+    goes; ids are unique and every line has words."""
+    lines = [t.split("\n") for _, t in sorted(rows)]
+    out = {}
+    for d, (i, _) in enumerate(sorted(rows)):
+        now, gone = lines[d], set()
+        for k in range(len(now)):
+            for e in range(d + 1):
+                for j in range(len(lines[e]) if e < d else k):
+                    n = 0
+                    while k + n < len(now) and j + n < len(lines[e]) and now[k + n] == lines[e][j + n]:
+                        n += 1
+                    if sum(len(x.split()) for x in now[k : k + n]) > least:
+                        gone |= set(range(k, k + n))
+        out[i] = ("\n".join(x for k, x in enumerate(now) if k not in gone), len(gone))
+    return out
+
+
+def test_passages_of_few_lines_are_all_found(make):
+    rng = random.Random(5)
+    rows, seed, planted = [], 0, 0
+    for n in [1, *range(2, 9)] * 3:
+        passage = "\n".join(words(5000 + 10 * seed + j, 51 if n == 1 else 60 // n + 1) for j in range(n))
+        for _ in range(2):
+            around = [[words(10_000 + 100 * seed + 10 * s + j, rng.randint(3, 30)) for j in range(rng.randint(0, 4))] for s in (0, 1)]
+            rows.append((len(rows), "\n".join([*around[0], passage, *around[1]])))
+            seed += 1
+        planted += n
+    # short passages stay, periods and repeats inside a text are reduced to one
+    rows.append((900, "\n".join([words(1, 30), words(2, 30)] * 3)))
+    rows += [(901, words(3, 20) + "\n" + words(4, 30)), (902, words(3, 20) + "\n" + words(4, 30) + "\nx")]
+    want = _without_passages(rows)
+    got = {r.doc_id: (r.text, r.n_removed_lines) for r in dedup_passages(make(rows)).collect()}
+    assert got == want
+    assert sum(n for _, n in want.values()) == planted + 4
+    by_chunks = dedup_lines(make(rows)).agg(F.sum("n_removed_lines")).first()[0]
+    assert by_chunks < planted / 2  # disjoint chunks miss most of them
+
+
+def test_passages_of_awkward_rows(awkward, empty, make):
+    rows = dedup_passages(awkward).collect()
+    assert len(rows) == len(awkward_rows()) and dedup_passages(empty).count() == 0
+    assert all(r.kept_sha256 == hashlib.sha256(r.text.encode()).hexdigest() for r in rows)
+    a, b = words(1, 30), words(2, 30)
+    texts = [(1, f"\n{a}\n\n{b}\n\nx"), (2, f"{a}\n{b}\n\ny"), (3, f"{a}\n{b}"), (3, f"z\n{a}\n{b}"), (None, f"{a}\n \n{b}")]
+    got = sorted((r.text, r.n_removed_runs) for r in dedup_passages(make(texts)).collect())
+    assert got == sorted([(texts[0][1], 0), ("y", 1), ("", 1), ("z", 1), ("", 1)])
+
+
+def test_passages_against_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables here")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    want = con.sql(queries.MORE_SQL["op1_passage_dedup"]).df()
+    got = queries.MORE_QUERIES["op1_passage_dedup"](spark, folder).toPandas()
+    columns = sorted(want.columns)
+    assert sorted(got.columns) == columns and got["n_removed_runs"].sum() > 50
+    a, b = (x[columns].astype(str).sort_values(columns).reset_index(drop=True) for x in (got, want))
+    assert a.equals(b)
