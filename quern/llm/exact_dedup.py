@@ -104,14 +104,40 @@ def exact_groups(
     )
 
 
+def text_digest(text: Column) -> Column:
+    """The digest by which verdicts find their texts."""
+    return F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
+
+
+def drop_rows(docs: DataFrame, verdicts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` after ``verdicts`` (``_v_id, _v_sha, _v_stays``, a row per id and text digest):
+    rows named there go, but one row stays of those with ``_v_stays``. All columns stay."""
+    verdicts = materialize(verdicts, "verdicts")
+    named = docs[id_col].eqNullSafe(verdicts["_v_id"]) & (text_digest(docs[text_col]) == verdicts["_v_sha"])
+    rest = docs.join(verdicts, named, "left_anti")
+    repeated = verdicts.filter("_v_stays")
+    if repeated.isEmpty():
+        return rest
+    equal = docs.join(repeated, named, "left_semi")
+    one = equal.groupBy(F.col(id_col).alias("_v_id"), text_digest(F.col(text_col)).alias("_v_sha")).agg(
+        F.first(F.struct(*(equal[c] for c in equal.columns))).alias("_v_row")
+    )
+    return rest.unionByName(one.select("_v_row.*"))
+
+
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows that an equal text with a larger id replaces.
+    """``docs`` with one row of each group of equal texts, one of the largest id; all columns
+    stay.
 
-    All columns stay. Rows whose id is null stay, as no id names them.
+    A null id stays only if its group has no other. Of rows that repeat id and text any one
+    stays; rows that share an id but not the text are told apart.
     """
-    gone = (
+    wins = F.col(id_col).eqNullSafe(F.col("keep_id"))
+    verdicts = (
         exact_groups(docs, id_col, text_col, **options)
-        .filter(~F.col("kept") & F.col(id_col).isNotNull())
-        .select(F.col(id_col).alias("_gone"))
+        .filter("group_size > 1")
+        .groupBy(F.col(id_col).alias("_v_id"), F.col("text_sha256").alias("_v_sha"), wins.alias("_wins"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .filter("not _wins or _n > 1")
     )
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    return drop_rows(docs, verdicts.select("_v_id", "_v_sha", F.col("_wins").alias("_v_stays")), id_col, text_col)

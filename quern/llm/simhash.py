@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from quern.llm._arrow import runs, text_slices
 from quern.llm.components import components
+from quern.llm.exact_dedup import drop_rows, text_digest
 from quern.session import materialize, ship_package, shuffle_partitions
 
 SEED = 42
@@ -58,19 +59,24 @@ def fingerprint(text: str | None, shingle_words: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4) -> DataFrame:
-    """``_id, _fp`` per row, the fingerprint as a signed long."""
+def fingerprints(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, digest: bool = False
+) -> DataFrame:
+    """``_id, _fp`` per row, the fingerprint as a signed long, and on demand ``_sha``, the text's digest."""
     ship_package(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    more = [text_digest(F.col(text_col)).alias("_sha")] if digest else []
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), *more)
     kind = rows.schema["_id"].dataType.simpleString()
 
     def compute(batches):
         for batch in text_slices(batches, 1):
             found = [fingerprint(t, shingle_words) for t in batch.column(1).to_pylist()]
             column = pa.array(np.array(found, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), column], ["_id", "_fp"])
+            own = [batch.column(2)] if digest else []
+            names = ["_id", "_fp", "_sha"] if digest else ["_id", "_fp"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), column, *own], names)
 
-    return rows.mapInArrow(compute, f"_id {kind}, _fp long")
+    return rows.mapInArrow(compute, f"_id {kind}, _fp long" + (", _sha string" if digest else ""))
 
 
 def _masks(bits: int, radius: int) -> np.ndarray:
@@ -243,6 +249,15 @@ def near_duplicates(
     empty table gives an empty table; other columns are ignored.
     """
     prints = materialize(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
+    return _classified(prints, radius, hot).select(
+        F.col("_id").alias(id_col),
+        F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"),
+        F.col("_component").alias("component_id"),
+    )
+
+
+def _classified(prints: DataFrame, radius: int, hot: int) -> DataFrame:
+    """``prints`` with each row's ``_component``."""
     points = materialize(
         prints.groupBy("_fp").agg(F.min("_id").cast("long").alias("_rep")).filter("_rep is not null"), "points"
     )
@@ -253,21 +268,40 @@ def near_duplicates(
         ),
         "classes",
     )
-    return prints.join(classes, "_fp", "left").select(
-        F.col("_id").alias(id_col),
-        F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"),
-        F.col("_component").alias("component_id"),
-    )
+    return prints.join(classes, "_fp", "left")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each component, that of the smallest id; all columns stay.
+def drop_near_copies(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    *,
+    shingle_words: int = 4,
+    radius: int = 4,
+    hot: int = 4096,
+) -> DataFrame:
+    """``docs`` with one row of each component, one of the smallest id; all columns stay.
 
-    Rows with a null id stay, as no id names them.
+    Rows that share an id but not the text are told apart: of those within the component whose
+    smallest id they share, the least text digest stays, and of rows that repeat id and text any
+    one. Rows with a null id go with a component that has an id; where all ids of a fingerprint
+    are null, one row of the fingerprint stays.
     """
-    gone = (
-        near_duplicates(docs, id_col, text_col, **options)
-        .filter(F.col(id_col) != F.col("component_id"))
-        .select(F.col(id_col).alias("_gone"))
+    prints = materialize(fingerprints(docs, id_col, text_col, shingle_words, digest=True), "fingerprints")
+    rows = materialize(_classified(prints, radius, hot), "classified")
+    first = F.col("_id").eqNullSafe(F.col("_component"))
+    alone = F.when(F.col("_component").isNull(), F.col("_fp"))
+    copies = rows.filter(~first).select(F.col("_id").alias("_v_id"), F.col("_sha").alias("_v_sha"))
+    heads = rows.filter(first).groupBy("_id", alone.alias("_alone"), "_sha").agg(F.count(F.lit(1)).alias("_n"))
+    several = materialize(
+        heads.groupBy("_id", "_alone")
+        .agg(F.sort_array(F.collect_list(F.struct("_sha", "_n"))).alias("_texts"))
+        .filter("size(_texts) > 1 or _texts[0]._n > 1")
+        .select("_id", F.posexplode("_texts").alias("_at", "_t")),
+        "heads",
+    )
+    repeats = several.filter("_at > 0 or _t._n > 1").select(
+        F.col("_id").alias("_v_id"), F.col("_t._sha").alias("_v_sha"), (F.col("_at") == 0).alias("_v_stays")
     )
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    gone = copies.distinct().withColumn("_v_stays", F.lit(False))
+    return drop_rows(docs, gone.unionByName(repeats), id_col, text_col)

@@ -157,3 +157,12 @@ def test_passages_against_sql(spark):
     assert sorted(got.columns) == columns and got["n_removed_runs"].sum() > 50
     a, b = (x[columns].astype(str).sort_values(columns).reset_index(drop=True) for x in (got, want))
     assert a.equals(b)
+
+
+def test_drop_tells_texts_of_one_id_apart_and_keeps_one_row_of_each(make):
+    rows = [(1, "x"), (2, "x"), (1, "only here"), (3, "y"), (3, "y"), (3, "y"), (None, "z"), (None, "z"), (None, "x"), (4, None), (4, "")]
+    kept = drop_exact_copies(make(rows))
+    assert Counter((r.doc_id, r.text or "") for r in kept.collect()) == Counter(
+        [(2, "x"), (1, "only here"), (3, "y"), (None, "z"), (4, "")]
+    )
+    assert kept.columns == make([]).columns

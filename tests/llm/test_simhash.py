@@ -102,3 +102,11 @@ def test_awkward_rows(awkward, empty):
     assert kept.columns == awkward.columns
     assert {1, 8}.issubset({r.doc_id for r in kept.select("doc_id").collect()})
     assert kept.filter("doc_id = 11").count() == 0  # the same text as document 10
+
+
+def test_drop_tells_texts_of_one_id_apart_and_keeps_one_row_of_each(make):
+    a, b, c, d = (words(k, 200) for k in range(4))
+    rows = [(1, a), (2, a.upper()), (2, b), (3, c), (3, c), (3, c.upper()), (None, a), (None, d), (None, d)]
+    kept = drop_near_copies(make(rows))
+    got = sorted((r.doc_id or 0, r.text.lower()) for r in kept.collect())
+    assert got == sorted([(1, a), (2, b), (3, c), (0, d)]) and kept.columns == make([]).columns
