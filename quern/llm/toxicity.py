@@ -45,7 +45,7 @@ INSULTS = (
 LEXICON = tuple(f"{w}$" for w in INSULTS)  # "$": the whole word
 
 _letters = re.compile(r"[^\W\d_]+").findall
-_SHORTEST, _LONGEST = 3, 8
+_SHORTEST, _LONGEST, _WHOLE = 3, 8, 24
 
 
 def words_of(text: str | None) -> list[str]:
@@ -53,10 +53,11 @@ def words_of(text: str | None) -> list[str]:
 
 
 def beginnings(words: list[str]) -> set[str]:
-    """The beginnings (3 to 8 letters) of the words, and the whole words with a ``$``."""
+    """The beginnings (3 to 8 letters) of the words, and the whole words with a ``$``; of
+    longer words than 24 letters, those stand for the whole here and in ``Patterns``."""
     out: set[str] = set()
     for w in set(words):
-        out.add(f"{w[:24]}$")
+        out.add(f"{w[:_WHOLE]}$")
         for k in range(_SHORTEST, min(len(w), _LONGEST) + 1):
             out.add(w[:k])
     return out
@@ -80,7 +81,7 @@ class Patterns:
             found = [0] * len(self.terms)
             hits = 0
             for w in [w for w in words if w[:_SHORTEST] in heads]:
-                at = {whole[w]} if w in whole else set()
+                at = {whole[w[:_WHOLE]]} if w[:_WHOLE] in whole else set()
                 at |= {starts[w[:k]] for k in lengths if w[:k] in starts}
                 hits += bool(at)
                 for k in at:

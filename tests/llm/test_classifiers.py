@@ -93,6 +93,12 @@ def test_mined_patterns(spark):
     assert (n, hits) == (4, 2) and sum(counts) >= 2
 
 
+@pytest.mark.parametrize("mark", ["qx", "z", "donau" * 6])
+def test_whole_words_of_any_length_vote(mark):
+    terms = [t for t in toxicity.beginnings([mark]) if t.endswith("$")]
+    assert toxicity.Patterns(tuple(terms)).counter()(f"a {mark} b {mark}s")[1:] == ((1, [1]) if len(mark) < 3 else (2, [2]))
+
+
 def test_label_model_discounts_repeating_voters():
     rng = np.random.default_rng(2)
     truth = rng.random(4000) < 0.2
