@@ -13,10 +13,12 @@ The class prior is estimated from the training labels. The learnt score orders t
 is no probability, so a last step fits its slope and offset on the training labels.
 
 Measures are computed for every document, in one map without a shuffle, and written to
-the shared folder (a few dozen bytes per document). The fit uses about ``sample``
-labelled and as many unlabelled rows (never more than twice as many), chosen by a hash of
-their ids; this documented bound is the only thing that does not grow with the corpus.
-All rows are scored.
+the shared folder (a few dozen bytes per document). Mean and spread of the measures and
+the unlabelled part of the risk are taken over all rows that are not held out: they are
+dealt by a hash into random groups of about ``sample``, each group's risk is minimised by
+one task, and the learnt weights are averaged by the groups' sizes. Only labelled rows are
+sampled, about ``sample`` of them by a hash of the id, one row per id; this documented
+bound does not grow with the corpus. All rows are scored.
 """
 
 from __future__ import annotations
@@ -121,14 +123,16 @@ def fit_pu(
     rounds: int = 600,
     rate: float = 0.05,
     decay: float = 1e-3,
+    moments: tuple[np.ndarray, np.ndarray] | None = None,
 ) -> Scorer:
     """Minimise the non-negative unbiased risk; see the module's text.
 
     Without positives the score is 0 and without unlabelled rows it is the positives' own
-    spread; both are constant after calibration.
+    spread; both are constant after calibration. ``moments`` are the measures' mean and
+    scale, by default those of the rows given.
     """
     every = np.concatenate([positive, unlabelled])
-    mean, scale = every.mean(axis=0), every.std(axis=0) + 1e-9
+    mean, scale = moments or (every.mean(axis=0), every.std(axis=0) + 1e-9)
     scorer = Scorer(mean, scale, np.zeros(2 * every.shape[1] + 1))
     xp, xu = (_expanded((x - mean) / scale) for x in (positive, unlabelled))
     if len(xp) == 0 or len(xu) == 0:
@@ -211,6 +215,38 @@ def label_rows(labels: DataFrame, id_col: str, label_col: str, most: int) -> Dat
     return F.broadcast(chosen) if chosen.count() <= 2 * most else chosen
 
 
+def rows_to_learn(table: DataFrame) -> DataFrame:
+    """The rows of ``table`` that are not held out."""
+    return table.filter(~held_out(F.col("_id")))
+
+
+def labelled_rows(table: DataFrame, chosen: DataFrame) -> DataFrame:
+    """One row (the least) of ``table`` per id of ``chosen``, with its label."""
+    rest = F.struct(*(c for c in table.columns if c != "_id"))
+    one = rows_to_learn(table).join(chosen, "_id").groupBy("_id", "_label").agg(F.min(rest).alias("_least"))
+    return one.select("_label", "_least.*")
+
+
+def mean_over_groups(table: DataFrame, fit, size: int, seed: int = 1) -> np.ndarray | None:
+    """The mean, by rows, of the numbers that ``fit`` (a function of a pandas frame) finds in
+    random groups of about ``size`` rows, which all rows of ``table`` are dealt into; None
+    without rows. Where there are at most ``size`` rows, they are one group."""
+    groups = -(-table.count() // size)
+    if not groups:
+        return None
+    columns = [c for c in table.columns if c != "_id"]
+
+    def found(group: pa.Table) -> pa.Table:
+        frame = group.sort_by("_h").to_pandas()  # rows come in any order; the fit must not depend on it
+        values = np.asarray(fit(frame), float)
+        return pa.table({"k": np.arange(len(values)), "v": values * len(frame), "n": np.full(len(values), len(frame))})
+
+    dealt = table.select(F.xxhash64("_id", *columns, F.lit(seed)).alias("_h"), *columns)
+    sums = dealt.groupBy(F.pmod("_h", F.lit(groups)).alias("_g")).applyInArrow(found, "k long, v double, n long").groupBy("k")
+    rows = sums.agg((F.sum("v") / F.sum("n")).alias("v")).toPandas().sort_values("k")
+    return rows["v"].to_numpy(float)
+
+
 def train(
     table: DataFrame,
     labels: DataFrame,
@@ -220,23 +256,27 @@ def train(
     sample: int = 20_000,
     prior: float | None = None,
 ) -> Scorer:
-    """Fit on at most ``sample`` labelled and ``sample`` unlabelled rows of ``table``
+    """Fit on about ``sample`` labelled rows and all unlabelled rows of ``table``
     (``_id, _x``). Held-out rows are used neither way."""
-    learnable = table.filter(F.col("_id").isNotNull() & ~held_out(F.col("_id")))
-    chosen = learnable.join(label_rows(labels, id_col, label_col, sample), "_id").select("_label", "_x")
-    known = chosen.limit(2 * sample).toPandas()  # ids may repeat in the table
-    web = hash_sample(learnable, sample).select("_x").limit(2 * sample).toPandas()
     width = len(NAMES)
+    known = labelled_rows(table, label_rows(labels, id_col, label_col, sample)).toPandas()
     x = np.array(known["_x"].tolist(), float).reshape(-1, width)
-    u = np.array(web["_x"].tolist(), float).reshape(-1, width)
     y = known["_label"].to_numpy(int)
-    if not len(x) or not len(u):
+    if not len(x):
         return Scorer(np.zeros(width), np.ones(width), np.zeros(2 * width + 1))
     order = np.lexsort(np.c_[x, y].T)  # rows come in any order; the fit must not depend on it
     x, y = x[order], y[order]
-    u = u[np.lexsort(u.T)]
+    web = rows_to_learn(table)
+    found = web.agg(*(f(F.get("_x", F.lit(k))) for f in (F.avg, F.stddev_pop) for k in range(width))).first()
+    mean, scale = np.array(found[:width], float), np.array(found[width:], float) + 1e-9
     share = prior if prior is not None else float((y.sum() + 1) / (len(y) + 2))
-    return calibrate(fit_pu(x[y == 1], u, share), x, y)
+    good = x[y == 1]
+
+    def weights(frame):
+        u = np.array(frame["_x"].tolist(), float).reshape(-1, width)
+        return fit_pu(good, u, share, moments=(mean, scale)).weights
+
+    return calibrate(Scorer(mean, scale, mean_over_groups(web, weights, sample)), x, y)
 
 
 def quality_scores(

@@ -16,9 +16,13 @@ others, so a group of voters that repeat each other counts about once.
 hits' counts and shares, so it also weighs what voters cannot say. Slope and offset of
 its score are then fitted on the training labels.
 
-Mining and fitting use about ``sample`` labelled and as many unlabelled rows, never more
-than twice as many, chosen by a hash of the id (the documented bound). Every text is measured whole and every row is
-scored; measuring is one map without a shuffle and writes a few dozen numbers per row.
+Mining and calibration use about ``sample`` labelled rows, one per id, chosen by a hash of
+the id (the documented bound). The label model and the classifier are fitted on all rows
+that are not held out, dealt by a hash into random groups of about ``sample``: prior,
+accuracies, correlations, mean and spread are the means of the groups' ones, and so are the
+classifier's weights for the posterior of that common model. Every text is measured whole
+and every row is scored; measuring is one map without a shuffle and writes a few dozen
+numbers per row.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm._arrow import text_slices
-from quern.llm.quality import Scorer, _sigmoid, calibrate, hash_sample, held_out, label_rows
+from quern.llm.quality import Scorer, _sigmoid, calibrate, held_out, label_rows, labelled_rows, mean_over_groups, rows_to_learn
 from quern.session import materialize, ship_package
 
 #: Insults of the lexicon voters; the mined patterns extend them.
@@ -195,6 +199,11 @@ class LabelModel:
         return _sigmoid(total + np.log(self.prior / (1 - self.prior)))
 
 
+def _weight(correlation: np.ndarray) -> np.ndarray:
+    others = np.clip(correlation - np.diag(np.diag(correlation)), 0, 1)
+    return 1 / (1 + others.sum(axis=1))
+
+
 def fit_label_model(votes: np.ndarray, rounds: int = 40) -> LabelModel:
     """Expectation maximisation from the start that any toxic vote but the weakest shape
     means toxic; correlations are those of the votes' residuals given the class."""
@@ -212,9 +221,7 @@ def fit_label_model(votes: np.ndarray, rounds: int = 40) -> LabelModel:
         rest = votes - ((1 - p)[:, None] * direction[:, 0] + p[:, None] * direction[:, 1])
         spread = rest.std(axis=0) + 1e-6
         correlation = (rest / spread).T @ (rest / spread) / n
-        others = np.clip(correlation - np.diag(np.diag(correlation)), 0, 1)
-        weight = 1 / (1 + others.sum(axis=1))
-        model = LabelModel(prior, table, weight, correlation)
+        model = LabelModel(prior, table, _weight(correlation), correlation)
         new = model.posterior(votes)
         done = np.abs(new - p).max() < 1e-4
         p = new
@@ -247,9 +254,16 @@ class LinearScorer(Scorer):
         return np.c_[(x - self.mean) / self.scale, np.ones(len(x))] @ self.weights
 
 
-def fit_linear(x: np.ndarray, soft: np.ndarray, rounds: int = 60, decay: float = 1e-2) -> LinearScorer:
-    """Logistic regression on soft labels by Newton's steps."""
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-2
+def fit_linear(
+    x: np.ndarray,
+    soft: np.ndarray,
+    rounds: int = 60,
+    decay: float = 1e-2,
+    moments: tuple[np.ndarray, np.ndarray] | None = None,
+) -> LinearScorer:
+    """Logistic regression on soft labels by Newton's steps; ``moments`` are the features' mean
+    and scale, by default those of the rows given."""
+    mean, scale = moments or (x.mean(axis=0), x.std(axis=0) + 1e-2)
     z = np.c_[(x - mean) / scale, np.ones(len(x))]
     w = np.zeros(z.shape[1])
     for _ in range(rounds):
@@ -278,16 +292,36 @@ def _matrix(frame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return frame["_words"].to_numpy(float), frame["_hits"].to_numpy(float), counts
 
 
-def fit_model(patterns: Patterns, web, known) -> ToxicityModel:
-    """From unlabelled rows and labelled ones (pandas frames of measured rows)."""
+def fit_model(patterns: Patterns, web: DataFrame, known, sample: int) -> ToxicityModel:
+    """From all unlabelled rows (measured, with ``_id``) and a pandas frame of labelled ones."""
     width = len(patterns.terms)
-    n, h, c = (np.concatenate(x) for x in zip(_matrix(web, width), _matrix(known, width)))
-    votes = votes_of(n, h, c)
-    labels = fit_label_model(votes)
-    if len(n) == 0:
+
+    def moments(frame) -> np.ndarray:
+        n, h, c = _matrix(frame, width)
+        model = fit_label_model(votes_of(n, h, c))
+        x = features_of(n, h, c)
+        parts = [model.table.ravel(), model.correlation.ravel(), x.mean(axis=0), (x * x).mean(axis=0)]
+        return np.concatenate([[model.prior], *parts])
+
+    found = mean_over_groups(web, moments, sample)
+    none = np.zeros(0)
+    if found is None:
         zeros = np.zeros(width + 4)
+        labels = fit_label_model(votes_of(none, none, np.zeros((0, width))))
         return ToxicityModel(patterns, labels, LinearScorer(zeros, zeros + 1, np.zeros(width + 5)))
-    scorer = fit_linear(features_of(n, h, c), labels.posterior(votes))
+    m = votes_of(none, none, np.zeros((0, width))).shape[1]
+    cuts = np.cumsum([1, 6 * m, m * m, width + 4])
+    prior, table, correlation, mean, squares = np.split(found, cuts)
+    correlation = correlation.reshape(m, m)
+    labels = LabelModel(float(prior[0]), table.reshape(m, 2, 3), _weight(correlation), correlation)
+    scale = np.sqrt(np.maximum(squares - mean * mean, 0)) + 1e-2
+
+    def weights(frame) -> np.ndarray:
+        n, h, c = _matrix(frame, width)
+        soft = labels.posterior(votes_of(n, h, c))
+        return fit_linear(features_of(n, h, c), soft, moments=(mean, scale)).weights
+
+    scorer = LinearScorer(mean, scale, mean_over_groups(web, weights, sample))
     kn, kh, kc = _matrix(known, width)
     calibrate(scorer, features_of(kn, kh, kc), known["_label"].to_numpy(int))
     return ToxicityModel(patterns, labels, scorer)
@@ -331,13 +365,10 @@ def toxicity_scores(
     table = materialize(
         rows.mapInArrow(measure, f"_id {kind}, _words long, _hits long, _counts array<int>"), "hits"
     )
-    learnable = table.filter(F.col("_id").isNotNull() & ~held_out(F.col("_id")))
-    numbers = ["_words", "_hits", "_counts"]
-    web = hash_sample(learnable, sample).select(*numbers).limit(2 * sample).toPandas()
-    known = learnable.join(chosen, "_id").select("_label", *numbers).limit(2 * sample).toPandas()
+    known = labelled_rows(table, chosen).toPandas()
     # rows come in any order; the fit must not depend on it
-    web, known = (f.iloc[f.astype(str).agg("|".join, axis=1).argsort(kind="stable")] if len(f) else f for f in (web, known))
-    model = fit_model(patterns, web, known)
+    known = known.iloc[known.astype(str).agg("|".join, axis=1).argsort(kind="stable")] if len(known) else known
+    model = fit_model(patterns, rows_to_learn(table), known, sample)
     width = len(patterns.terms)
 
     def score(batches):

@@ -68,6 +68,35 @@ def test_keep_good_agrees_with_the_scores(labelled):
     assert {r.doc_id for r in kept.collect()} == want and kept.columns == docs.columns
 
 
+def test_statistics_are_those_of_all_rows(spark, labelled, monkeypatch):
+    docs, labels = labelled
+    table = quality.measured(docs, "doc_id", "text").cache()
+    web = np.array([r._x for r in quality.rows_to_learn(table).collect()])
+    scorer = quality.train(table, labels, sample=100)
+    assert scorer.mean == pytest.approx(web.mean(axis=0)) and scorer.scale == pytest.approx(web.std(axis=0) + 1e-9)
+    label = {r.doc_id: r.quality for r in labels.collect()}
+    raw = {r._id: scorer.raw(np.array([r._x]))[0] for r in table.collect()}
+    good, bad = ([raw[i] for i in label if label[i] == v] for v in (1, 0))
+    assert np.mean([g > b for g in good for b in bad]) > 0.95
+
+    models = []
+    fit = toxicity.fit_model
+    monkeypatch.setattr(toxicity, "fit_model", lambda *a: models.append((fit(*a), a[0])) or models[-1][0])
+    toxicity.toxicity_scores(docs, labels, sample=100)
+    model, patterns = models[0]
+    count = patterns.counter()
+    rows = [count(r.text) for r in docs.filter(~quality.held_out(F.col("doc_id"))).collect()]
+    n, h, c = (np.array(x, float) for x in zip(*rows))
+    assert model.scorer.mean == pytest.approx(toxicity.features_of(n, h, c).mean(axis=0))
+
+
+def test_one_labelled_row_per_id(spark):
+    table = spark.createDataFrame([(1, [1.0])] * 50 + [(1, [0.5]), (4, [2.0])], "_id long, _x array<double>")
+    chosen = spark.createDataFrame([(1, 1), (4, 0)], "_id long, _label int")
+    assert not any(quality.is_held_out(i) for i in (1, 4))
+    assert sorted(tuple(r) for r in quality.labelled_rows(table, chosen).collect()) == [(0, [2.0]), (1, [0.5])]
+
+
 def test_risk_is_not_negative_and_uses_no_negatives():
     rng = np.random.default_rng(1)
     positive = rng.normal(1.5, 1, (300, 3))
