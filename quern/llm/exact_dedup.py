@@ -114,7 +114,8 @@ def drop_rows(docs: DataFrame, verdicts: DataFrame, id_col: str, text_col: str)
     rows named there go, but one row stays of those with ``_v_stays``. All columns stay."""
     verdicts = materialize(verdicts, "verdicts")
     named = docs[id_col].eqNullSafe(verdicts["_v_id"]) & (text_digest(docs[text_col]) == verdicts["_v_sha"])
-    rest = docs.join(verdicts, named, "left_anti")
+    # a merge join at every size: a broadcast that only small inputs allow would hide what large ones shuffle
+    rest = docs.join(verdicts.hint("merge"), named, "left_anti")
     repeated = verdicts.filter("_v_stays")
     if repeated.isEmpty():
         return rest
