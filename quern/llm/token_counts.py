@@ -133,11 +133,12 @@ def count_tokens(
     """``id, n_bytes, n_tokens`` (and ``over_limit`` if ``limit`` is given) per row.
 
     One map over the rows, without a shuffle. Null text counts as empty (0 bytes and
-    tokens); null ids and repeated rows pass through; an empty table gives an empty
-    table; other columns are ignored.
+    tokens); ids may be of any type; null ids and repeated rows pass through; an empty
+    table gives an empty table; other columns are ignored.
     """
     ship_package(docs.sparkSession)
-    schema = pa.schema([("_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    kind = rows.schema["_id"].dataType.simpleString()
 
     def count(batches):
         counter = token_counter(tokenizer_path)
@@ -145,10 +146,9 @@ def count_tokens(
             texts = texts_of(batch.column(1))
             n_bytes = pa.array([len(x.encode("utf-8")) for x in texts], pa.int64())
             n_tokens = pa.array(counter.counts(texts), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), n_bytes, n_tokens], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), n_bytes, n_tokens], ["_id", "n_bytes", "n_tokens"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    counted = rows.mapInArrow(count, "_id long, n_bytes long, n_tokens long")
+    counted = rows.mapInArrow(count, f"_id {kind}, n_bytes long, n_tokens long")
     columns = [F.col("_id").alias(id_col), "n_bytes", "n_tokens"]
     if limit is not None:
         columns.append((F.col("n_tokens") > limit).alias("over_limit"))
