@@ -38,6 +38,10 @@ class Rule:
     base: bool = False
 
     def spans(self, text: str) -> list[tuple[int, int]]:
+        """The matches' places. ``_LINEAR`` has a way for expressions that a backtracking
+        engine would try again from each letter of a long run."""
+        if self.pattern in _LINEAR:
+            return _LINEAR[self.pattern](text)
         found = _compiled(self.pattern).finditer(text)
         return [m.span() for m in found if m.end(self.group) - m.start(self.group) >= self.least]
 
@@ -56,11 +60,13 @@ BASE_RULES = (
     Rule("hex", r"[0-9a-f]{32,}", base=True),
 )
 #: Further shapes of credentials; they add spans and change nothing about the base.
+_WEB_TOKEN = r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
+_URL_PASSWORD = r"[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/@]+@"
 MORE_RULES = (
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("web_token", _WEB_TOKEN),
     Rule("prefixed_token", r"(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35})"),
-    Rule("url_password", r"[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/@]+@"),
+    Rule("url_password", _URL_PASSWORD),
 )
 RULES = BASE_RULES + MORE_RULES
 
@@ -69,6 +75,44 @@ def _compiled(pattern: str) -> re.Pattern:
     return re.compile(pattern, re.ASCII)
 
 
+def _web_tokens(text: str) -> list[tuple[int, int]]:
+    """Matches of ``_WEB_TOKEN``, each run of token characters tried once: if the leftmost
+    ``eyJ`` of a run fails, the run is too short behind it or goes on wrongly, and so is it
+    for all others of the run."""
+    run, rest = _compiled(r"[A-Za-z0-9_-]*"), _compiled(r"(?:\.[A-Za-z0-9_-]{8,}){2}")
+    out, at = [], text.find("eyJ")
+    while at >= 0:
+        end = run.match(text, at).end()
+        found = rest.match(text, end) if end - at >= 11 else None
+        if found:
+            out.append((at, found.end()))
+            end = found.end()
+        at = text.find("eyJ", end)
+    return out
+
+
+def _url_passwords(text: str) -> list[tuple[int, int]]:
+    """Matches of ``_URL_PASSWORD``, from each ``://`` back to the first letter of the run
+    before it; a run cannot reach over the ``://`` before."""
+    rest = _compiled(r"://[^\s/:@]+:[^\s/@]+@")
+    out, low, at = [], 0, text.find("://")
+    while at >= 0:
+        found = rest.match(text, at)
+        if found:
+            before = text[low:at]
+            run = before[len(before.rstrip("abcdefghijklmnopqrstuvwxyz0123456789+.-")) :]
+            name = run.lstrip("0123456789+.-")
+            if name:
+                out.append((at - len(name), found.end()))
+                at = found.end() - 3
+        low = at + 3
+        at = text.find("://", low)
+    return out
+
+
+_LINEAR = {_WEB_TOKEN: _web_tokens, _URL_PASSWORD: _url_passwords}
+
+
 # --- trigram queries ---------------------------------------------------------------
 # A query is True (anything may match), a trigram, ("and", parts) or ("or", parts).
 
@@ -263,7 +307,7 @@ def scan_secrets(
     by the rules' order; places in code points, ends exclusive.
 
     One map without a shuffle. Null and empty texts have no spans; repeated rows and
-    null ids pass through; other columns are ignored.
+    null ids pass through; an empty table gives an empty table; other columns are ignored.
     """
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))

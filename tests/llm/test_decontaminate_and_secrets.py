@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -128,3 +130,25 @@ def test_digest_columns(make, awkward, empty):
     assert span_digest(scan_secrets(awkward)).count() == len(awkward_rows())
     assert span_digest(scan_secrets(empty)).count() == 0
     assert scan_secrets(awkward).filter(F.size("spans") > 0).count() == 0
+
+
+@pytest.mark.parametrize("kind, parts", [
+    ("web_token", ["eyJ", "eyJabcdefgh", "a", "abcdefgh", ".", "-", " ", "A9_"]),
+    ("url_password", ["://", "a", "9", "+", ".", ":", "@", "/", " ", "b1", "http://u:p@"]),
+])
+def test_linear_rules_equal_their_expressions(kind, parts):
+    rule, rng = next(r for r in RULES if r.kind == kind), random.Random(1)
+    pattern, found = re.compile(rule.pattern, re.ASCII), 0
+    for _ in range(20_000):
+        text = "".join(rng.choices(parts, k=rng.randint(1, 14)))
+        want = [m.span() for m in pattern.finditer(text)]
+        assert rule.spans(text) == want
+        found += len(want)
+    assert found > 20
+
+
+@pytest.mark.parametrize("text", ["a" * 10**6 + "://", "eyJ" * 333_333, "a://" * 250_000, "eyJaaaaaaaaa." * 80_000])
+def test_long_runs_are_scanned_in_linear_time(text):
+    began = time.perf_counter()
+    scanner(RULES)([text])
+    assert time.perf_counter() - began < 5
