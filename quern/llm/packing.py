@@ -111,7 +111,9 @@ def token_pieces(
     """``id, piece, start, length, ids_crc32`` (and ``ids`` if asked) per piece.
 
     A document is its token ids and then ``end_id``; only longer ones are cut. Null text
-    counts as empty (one piece, the end alone). Repeated rows give repeated pieces.
+    counts as empty (one piece, the end alone). Repeated rows give repeated pieces, rows
+    with a null id are cut like any other, an empty table gives an empty table, and other
+    columns are ignored.
     """
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
@@ -190,13 +192,14 @@ def pack_pieces(
 
     Lengths must be from 1 to ``capacity``. A sequence's pieces lie one after another
     from offset 0. ``pieces`` is read twice (to count and to pack), so give a
-    materialized table. An empty table gives an empty table.
+    materialized table. Groups go by the rows' numbers, so repeated rows and null ids are
+    dealt like any others. An empty table gives an empty table.
     """
     ship_package(pieces.sparkSession)
     groups = max(1, round(pieces.count() / group_size))
     length_at = pieces.columns.index("length")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(id_col, "piece", "start"), F.lit(groups)))
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
 
     def pack(table: pa.Table) -> pa.Table:
         order = table.sort_by([(id_col, "ascending"), ("piece", "ascending")])

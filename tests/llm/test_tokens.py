@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from quern.llm._latin import byte_level, is_latin, word_level
-from quern.llm.packing import encoder, pack_documents, sequences, sum_of_squares
+from quern.llm.packing import encoder, pack_documents, pack_pieces, sequences, sum_of_squares
 from quern.llm.queries import tokenizer_path
 from quern.llm.token_counts import STABLE_CHARACTERS, count_tokens, token_counter, whole_tokens
 from tests.llm.conftest import awkward_rows, words
@@ -157,3 +157,18 @@ def test_packing_is_near_the_lower_bound(make):
     packed = pack_documents(make(rows), tokenizer_path(WORDS), capacity=512).collect()
     total = sum(r.length for r in packed)
     assert check_packing(packed, 512) <= -(-total // 512) + 1
+
+
+def test_repeated_rows_are_dealt_over_the_groups(spark, monkeypatch):
+    """Pieces that agree in everything: no group gets far more than its share."""
+    pieces = spark.createDataFrame([(None, 0, 0, 7)] * 4000, "doc_id long, piece int, start long, length long")
+    packed = pack_pieces(pieces, capacity=70, group_size=500)
+    sizes = [r["count"] for r in packed.groupBy((packed.sequence_id % 8).alias("g")).count().collect()]
+    assert len(sizes) == 8 and sum(sizes) == 4000 and max(sizes) < 700
+    assert packed.select("sequence_id").distinct().count() <= 408
+
+
+def test_ids_of_any_type_are_counted(spark):
+    rows = [("a", "x y"), (None, None), ("a", "")]
+    got = count_tokens(spark.createDataFrame(rows, "doc_id string, text string"), tokenizer_path(BYTES)).collect()
+    assert sorted(((r.doc_id or ""), r.n_bytes) for r in got) == [("", 0), ("a", 0), ("a", 3)]
