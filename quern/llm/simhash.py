@@ -4,9 +4,12 @@ Two fingerprints link if they differ in at most ``radius`` bits. If each of two
 within half the radius of a common variant, their balls meet there: every fingerprint
 emits all variants within half the radius, variants are shuffled, and colliding pairs
 are verified. The ball of radius 2 over 64 bits has 2,081 variants, far more data than
-the documents themselves, so the ball is taken over halves: of two fingerprints with at
-most 4 differing bits, one half has at most 2, and there balls of radius 1 meet, with
-2 x 33 variants. No pair is lost; colliding pairs are verified on all 64 bits.
+the documents themselves, so the ball is taken over two thirds of the bits: of two
+fingerprints with at most 4 differing bits, one third has at least 2 of them, so without
+it at most 2 are left, and there balls of radius 1 meet. Each third is left out in turn,
+with 132 variants of 42 or 43 bits in all. No pair is lost; colliding pairs are verified
+on all 64 bits. Chance collisions grow with the square of the number of fingerprints
+over 2^42: below one per fingerprint up to some 10^10 distinct ones.
 
 Equal fingerprints are one point: rows are first grouped by fingerprint. A variant that
 more than ``hot`` fingerprints share is not compared pair by pair: its members emit their
@@ -14,11 +17,13 @@ full balls over 64 bits instead, where all members of a variant are within the r
 each other by the triangle inequality and link to one of them. So no step emits the
 pairs of a group, and the work per fingerprint has a bound.
 
-Variants travel as packed arrays, one row per task and bucket of variants.
+Variants travel as packed arrays of 10 bytes each (the fingerprint and the number of the
+flip, from which the variant is computed again), one row per task and bucket of variants.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -79,9 +84,9 @@ def fingerprints(
     return rows.mapInArrow(compute, f"_id {kind}, _fp long" + (", _sha string" if digest else ""))
 
 
-def _masks(bits: int, radius: int) -> np.ndarray:
-    """All bit patterns of at most ``radius`` ones."""
-    ones = [sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(bits), r)]
+def _masks(places, radius: int) -> np.ndarray:
+    """All bit patterns of at most ``radius`` ones at the places."""
+    ones = [sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(places, r)]
     return np.array(ones, np.uint64)
 
 
@@ -91,37 +96,59 @@ def _mixed(keys: np.ndarray) -> np.ndarray:
     return keys ^ (keys >> np.uint64(29))
 
 
-def half_variants(fps: np.ndarray, radius: int) -> np.ndarray:
-    """Keys (fingerprint x variant): the balls of a quarter of the radius over each half,
-    with the half's number in bit 32."""
-    masks = _masks(32, radius // 4)
-    high, low = fps >> np.uint64(32), fps & np.uint64(0xFFFFFFFF)
-    return np.concatenate([low[:, None] ^ masks, (high[:, None] ^ masks) | np.uint64(1 << 32)], axis=1)
+@dataclass(frozen=True)
+class Ball:
+    """Variants of a fingerprint: some of its bits, with each of the flips applied."""
 
+    bits: np.uint64
+    flips: np.ndarray
 
-def full_variants(fps: np.ndarray, radius: int) -> np.ndarray:
-    return fps[:, None] ^ _masks(64, radius // 2)
+    def variants(self, fps: np.ndarray, flip: np.ndarray) -> np.ndarray:
+        return (fps & self.bits) ^ self.flips[flip]
 
 
-def _emit(variants, buckets: int, radius: int, at_once: int):
-    """A function over batches of (fp, rep) that packs (variant, fp, rep) by bucket."""
+def part_balls(radius: int, parts: int = 3) -> list[Ball]:
+    """Balls over the bits outside each of ``parts`` parts. Without the part that holds the
+    most of at most ``radius`` differing bits, ``radius * (parts - 1) // parts`` are left at
+    most, and half of that is the balls' radius."""
+    reach = -(-(radius * (parts - 1) // parts) // 2)
+    cuts = [64 * k // parts for k in range(parts + 1)]
+    balls = []
+    for low, high in zip(cuts, cuts[1:]):
+        places = [b for b in range(64) if not low <= b < high]
+        bits = np.uint64(sum(1 << b for b in places))
+        balls.append(Ball(bits, _masks(places, reach)))
+    return balls
+
+
+def full_ball(radius: int) -> list[Ball]:
+    return [Ball(np.uint64(0xFFFFFFFFFFFFFFFF), _masks(range(64), radius // 2))]
+
+
+#: A variant: its fingerprint and the number of its flip.
+VARIANT = np.dtype([("fp", "<u8"), ("flip", "<u2")])
+
+
+def _emit(balls: list[Ball], buckets: int, at_once: int):
+    """A function over batches of fingerprints that packs their variants by bucket; the
+    buckets of ball k are k * buckets and following."""
 
     def emit(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, at_once):
-                part = batch.slice(start, at_once)
-                fps = part.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-                reps = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-                keys = variants(fps, radius)
-                width, keys = keys.shape[1], keys.ravel()
-                bucket = (_mixed(keys) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                rows = np.stack([keys[order], fps[order // width], reps.view(np.uint64)[order // width]], axis=1)
-                a, b = runs(bucket[order])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[order][a]), pa.array([rows[i:j].tobytes() for i, j in zip(a, b)], pa.binary())],
-                    ["bucket", "packed"],
-                )
+                fps = batch.column(0).slice(start, at_once).to_numpy(zero_copy_only=False).view(np.uint64)
+                for k, ball in enumerate(balls):
+                    rows = np.zeros((len(fps), len(ball.flips)), VARIANT)
+                    rows["fp"], rows["flip"] = fps[:, None], np.arange(len(ball.flips))
+                    rows = rows.ravel()
+                    bucket = (_mixed(ball.variants(rows["fp"], rows["flip"])) % np.uint64(buckets)).astype(np.int64)
+                    order = np.argsort(bucket, kind="stable")
+                    rows, bucket = rows[order], bucket[order]
+                    a, b = runs(bucket)
+                    packed = [rows[i:j].tobytes() for i, j in zip(a, b)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(bucket[a] + k * buckets), pa.array(packed, pa.binary())], ["bucket", "packed"]
+                    )
 
     return emit
 
@@ -146,89 +173,103 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def _sorted_rows(table: pa.Table) -> np.ndarray:
-    data = b"".join(table.column("packed").to_pylist())
-    rows = np.frombuffer(data, np.uint64).reshape(-1, 3)
-    return rows[np.lexsort((rows[:, 2], rows[:, 0]))]
+def _sorted_variants(ball: Ball, table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The variants of a bucket in order, and their fingerprints."""
+    rows = np.frombuffer(b"".join(table.column("packed").to_pylist()), VARIANT)
+    fps = rows["fp"].copy()
+    variants = ball.variants(fps, rows["flip"])
+    order = np.lexsort((fps, variants))
+    return variants[order], fps[order]
 
 
-def _links(a: np.ndarray, b: np.ndarray, hot_fp: np.ndarray, hot_rep: np.ndarray) -> pa.Table:
-    n, m = len(a), len(hot_fp)
+def _links(a: np.ndarray, b: np.ndarray, hot: np.ndarray) -> pa.Table:
+    """Links between fingerprints (a > b as signed numbers), and members of hot variants."""
+    m = len(hot)
     return pa.table(
         {
-            "a": pa.array(np.r_[a.astype(np.int64), hot_rep.view(np.int64)]),
-            "b": pa.array(np.r_[b.astype(np.int64), np.zeros(m, np.int64)]),
-            "fp": pa.array(np.r_[np.zeros(n, np.int64), hot_fp.view(np.int64)]),
-            "hot": pa.array(np.r_[np.zeros(n, bool), np.ones(m, bool)]),
+            "a": pa.array(np.r_[a.view(np.int64), hot.view(np.int64)]),
+            "b": pa.array(np.r_[b.view(np.int64), np.zeros(m, np.int64)]),
+            "hot": pa.array(np.r_[np.zeros(len(a), bool), np.ones(m, bool)]),
         }
     )
 
 
-def _verify(radius: int, hot: int):
+def _verify(balls: list[Ball], buckets: int, radius: int, hot: int):
     """Links of one bucket: colliding pairs that are near on all bits, as a forest; and
     the members of hot variants."""
 
-    def verify(table: pa.Table) -> pa.Table:
-        rows = _sorted_rows(table)
-        key, fp, rep = rows[:, 0], rows[:, 1], rows[:, 2].view(np.int64)
-        starts, ends = runs(key)
+    def verify(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        variants, fp = _sorted_variants(balls[key[0].as_py() // buckets], table)
+        starts, ends = runs(variants)
         sizes = ends - starts
-        is_hot = np.repeat(sizes > hot, sizes)
-        members = np.unique(np.stack([fp[is_hot], rep[is_hot].view(np.uint64)], axis=1), axis=0)
+        members = np.unique(fp[np.repeat(sizes > hot, sizes)])
         at = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= hot), sizes))
         left, right, step, held = [], [], 1, 0
         while len(at):
-            at = at[at + step < len(key)]
-            at = at[key[at] == key[at + step]]
-            near = np.bitwise_count(fp[at] ^ fp[at + step]) <= radius
-            left.append(rep[at[near]])
-            right.append(rep[at[near] + step])
-            step, held = step + 1, held + int(near.sum())
+            at = at[at + step < len(fp)]
+            at = at[variants[at] == variants[at + step]]
+            near = at[np.bitwise_count(fp[at] ^ fp[at + step]) <= radius]
+            left.append(fp[near].view(np.int64))
+            right.append(fp[near + step].view(np.int64))
+            step, held = step + 1, held + len(near)
             if held > 1 << 20:
                 a, b = forest(np.concatenate(left), np.concatenate(right))
                 left, right, held = [a], [b], 0
-        a, b = forest(np.concatenate(left), np.concatenate(right)) if left else (rep[:0], rep[:0])
-        return _links(a, b, members[:, 0], members[:, 1])
+        none = np.zeros(0, np.int64)
+        a, b = forest(np.concatenate(left), np.concatenate(right)) if left else (none, none)
+        return _links(a, b, members)
 
     return verify
 
 
-def _join_cliques(table: pa.Table) -> pa.Table:
-    """All members of a full variant link to the first."""
-    rows = _sorted_rows(table)
-    starts, ends = runs(rows[:, 0])
-    first = np.repeat(starts, ends - starts)
-    rest = np.flatnonzero(first != np.arange(len(rows)))
-    a, b = rows[rest, 2].view(np.int64), rows[first[rest], 2].view(np.int64)
-    a, b = forest(a, b)
-    return _links(a, b, rows[:0, 1], rows[:0, 2])
+def _join_cliques(ball: Ball):
+    def join(table: pa.Table) -> pa.Table:
+        """All members of a full variant link to the first."""
+        variants, fp = _sorted_variants(ball, table)
+        starts, ends = runs(variants)
+        first = np.repeat(starts, ends - starts)
+        rest = np.flatnonzero(first != np.arange(len(fp)))
+        a, b = forest(fp[rest].view(np.int64), fp[first[rest]].view(np.int64))
+        return _links(a, b, fp[:0])
 
+    return join
 
-_LINKS = "a long, b long, fp long, hot boolean"
 
+_LINKS = "a long, b long, hot boolean"
 
-def links(points: DataFrame, radius: int = 4, hot: int = 4096) -> DataFrame:
-    """``a, b`` (ids, a > b): links whose components are those of all pairs of
-    ``points`` (``_fp, _rep``, distinct fingerprints) within ``radius`` bits."""
-    if radius % 4:
-        raise ValueError("the radius must be a multiple of 4: two halves, two balls each")
+
+def links(points: DataFrame, radius: int = 4, hot: int = 4096, parts: int = 3) -> DataFrame:
+    """``a, b`` (a > b): links whose components are those of all pairs of ``points``
+    (``_fp``, distinct fingerprints) within ``radius`` bits. Nodes are fingerprints or, if
+    the points have one, their ``_rep``."""
+    if radius % 2 or radius < 2:
+        raise ValueError("the radius must be even: two balls of half of it meet")
     spark = points.sparkSession
-    per_point = 2 * len(_masks(32, radius // 4))
-    buckets = max(2 * shuffle_partitions(spark), points.count() * per_point >> 18)
+    fps, balls = points.select("_fp"), part_balls(radius, parts)
+    buckets = max(shuffle_partitions(spark), points.count() * len(balls[0].flips) >> 18)
     found = materialize(
-        points.mapInArrow(_emit(half_variants, buckets, radius, 4096), "bucket long, packed binary")
+        fps.mapInArrow(_emit(balls, buckets, 4096), "bucket long, packed binary")
         .groupBy("bucket")
-        .applyInArrow(_verify(radius, hot), _LINKS),
+        .applyInArrow(_verify(balls, buckets, radius, hot), _LINKS),
         "near",
     )
-    members = found.filter("hot").select("fp", "a").distinct()
-    full = (
-        members.mapInArrow(_emit(full_variants, 8 * buckets, radius, 256), "bucket long, packed binary")
-        .groupBy("bucket")
-        .applyInArrow(_join_cliques, _LINKS)
-    )
-    plain = found.filter("not hot").select("a", "b")
-    return plain if members.isEmpty() else plain.unionByName(full.select("a", "b"))
+    linked, members = found.filter("not hot").select("a", "b"), found.filter("hot").select("a").distinct()
+    if not members.isEmpty():
+        ball = full_ball(radius)
+        full = (
+            members.mapInArrow(_emit(ball, 8 * buckets, 256), "bucket long, packed binary")
+            .groupBy("bucket")
+            .applyInArrow(_join_cliques(ball[0]), _LINKS)
+        )
+        linked = linked.unionByName(full.select("a", "b"))
+    linked = linked.distinct()
+    if "_rep" not in points.columns:
+        return linked
+    linked = materialize(linked, "near")
+    for end in ("a", "b"):  # from fingerprints to the points' ids
+        ids = points.select(F.col("_fp").alias("_f"), F.col("_rep").alias("_id"))
+        linked = linked.join(ids, linked[end] == ids["_f"]).drop(end, "_f").withColumnRenamed("_id", end)
+    return linked.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
 def near_duplicates(
@@ -245,8 +286,10 @@ def near_duplicates(
     Fingerprints link at ``radius`` or fewer differing bits; ``component_id`` is the
     smallest id reachable. Defined results: null and wordless texts have fingerprint zero
     and are linked like any other; rows with a null id have their fingerprint's component
-    (null if no row of the fingerprint has an id); repeated rows repeat in the result; an
-    empty table gives an empty table; other columns are ignored.
+    (null if no row of the fingerprint has an id); repeated rows repeat in the result; rows
+    that share an id but not the text are each in their own fingerprint's component, which
+    the id names without joining them; an empty table gives an empty table; other columns
+    are ignored.
     """
     prints = materialize(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
     return _classified(prints, radius, hot).select(
@@ -257,18 +300,28 @@ def near_duplicates(
 
 
 def _classified(prints: DataFrame, radius: int, hot: int) -> DataFrame:
-    """``prints`` with each row's ``_component``."""
-    points = materialize(
-        prints.groupBy("_fp").agg(F.min("_id").cast("long").alias("_rep")).filter("_rep is not null"), "points"
+    """``prints`` with each row's ``_class``, the least fingerprint (as a signed number) of
+    its component, and ``_component``, the component's smallest id. A fingerprint without
+    any id links to nothing."""
+    points = materialize(prints.groupBy("_fp").agg(F.min("_id").alias("_least")), "points")
+    known = points.filter("_least is not null")
+    roots = components(links(known.select("_fp"), radius, hot))
+    nodes = materialize(
+        points.join(roots, points["_fp"] == roots["node"], "left").select(
+            "_fp", F.coalesce("root", "_fp").alias("_class"), "_least"
+        ),
+        "nodes",
     )
-    roots = components(links(points, radius, hot))
+    # only components of several fingerprints need the least of their ids
+    several = nodes.join(roots.select("root").distinct(), nodes["_class"] == F.col("root"), "left_semi")
+    least = materialize(several.groupBy(F.col("_class").alias("_c")).agg(F.min("_least").alias("_component")), "least")
     classes = materialize(
-        points.join(roots, points["_rep"] == roots["node"], "left").select(
-            "_fp", F.coalesce("root", "_rep").alias("_component")
+        nodes.join(least, nodes["_class"] == least["_c"], "left").select(
+            F.col("_fp").alias("_f"), "_class", F.coalesce("_component", "_least").alias("_component")
         ),
         "classes",
     )
-    return prints.join(classes, "_fp", "left")
+    return prints.join(classes, prints["_fp"] == classes["_f"], "left").drop("_f")
 
 
 def drop_near_copies(
@@ -282,26 +335,24 @@ def drop_near_copies(
 ) -> DataFrame:
     """``docs`` with one row of each component, one of the smallest id; all columns stay.
 
-    Rows that share an id but not the text are told apart: of those within the component whose
-    smallest id they share, the least text digest stays, and of rows that repeat id and text any
-    one. Rows with a null id go with a component that has an id; where all ids of a fingerprint
-    are null, one row of the fingerprint stays.
+    Rows that share an id but not the text are told apart: of those that share the component's
+    smallest id, the least text digest stays, and of rows that repeat id and text any one. Rows
+    with a null id go with a component that has an id; where all ids of a fingerprint are null,
+    one row of the fingerprint stays. An empty table stays empty.
     """
     prints = materialize(fingerprints(docs, id_col, text_col, shingle_words, digest=True), "fingerprints")
-    rows = materialize(_classified(prints, radius, hot), "classified")
-    first = F.col("_id").eqNullSafe(F.col("_component"))
-    alone = F.when(F.col("_component").isNull(), F.col("_fp"))
-    copies = rows.filter(~first).select(F.col("_id").alias("_v_id"), F.col("_sha").alias("_v_sha"))
-    heads = rows.filter(first).groupBy("_id", alone.alias("_alone"), "_sha").agg(F.count(F.lit(1)).alias("_n"))
-    several = materialize(
-        heads.groupBy("_id", "_alone")
-        .agg(F.sort_array(F.collect_list(F.struct("_sha", "_n"))).alias("_texts"))
-        .filter("size(_texts) > 1 or _texts[0]._n > 1")
-        .select("_id", F.posexplode("_texts").alias("_at", "_t")),
-        "heads",
+    pairs = materialize(
+        _classified(prints, radius, hot).groupBy("_class", "_id", "_sha").agg(F.count(F.lit(1)).alias("_n")), "pairs"
+    )
+    first = F.struct(F.col("_id").isNull().alias("unknown"), F.col("_id").alias("id"), F.col("_sha").alias("sha"))
+    winners = materialize(
+        pairs.groupBy(F.col("_class").alias("_c")).agg(F.min(first).alias("_w"), F.sum("_n").alias("_rows")).filter("_rows > 1"),
+        "winners",
     )
-    repeats = several.filter("_at > 0 or _t._n > 1").select(
-        F.col("_id").alias("_v_id"), F.col("_t._sha").alias("_v_sha"), (F.col("_at") == 0).alias("_v_stays")
+    stays = F.col("_id").eqNullSafe(F.col("_w.id")) & (F.col("_sha") == F.col("_w.sha"))
+    verdicts = (
+        pairs.join(winners, pairs["_class"] == winners["_c"])
+        .filter(~stays | (F.col("_n") > 1))
+        .select(F.col("_id").alias("_v_id"), F.col("_sha").alias("_v_sha"), stays.alias("_v_stays"))
     )
-    gone = copies.distinct().withColumn("_v_stays", F.lit(False))
-    return drop_rows(docs, gone.unionByName(repeats), id_col, text_col)
+    return drop_rows(docs, verdicts, id_col, text_col)

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quern.llm.components import components
-from quern.llm.simhash import drop_near_copies, fingerprint, forest, links, near_duplicates
+from quern.llm.simhash import drop_near_copies, fingerprint, forest, links, near_duplicates, part_balls
 from tests.llm.conftest import awkward_rows, words
 
 
@@ -110,3 +110,39 @@ def test_drop_tells_texts_of_one_id_apart_and_keeps_one_row_of_each(make):
     kept = drop_near_copies(make(rows))
     got = sorted((r.doc_id or 0, r.text.lower()) for r in kept.collect())
     assert got == sorted([(1, a), (2, b), (3, c), (0, d)]) and kept.columns == make([]).columns
+
+
+@pytest.mark.parametrize("radius, parts", [(4, 2), (4, 3), (2, 3), (6, 4), (8, 3)])
+def test_near_pairs_share_a_variant(radius, parts):
+    rng = random.Random(radius * 10 + parts)
+    balls = part_balls(radius, parts)
+    for _ in range(60):
+        a = rng.getrandbits(64)
+        b = a
+        for bit in rng.sample(range(64), radius):
+            b ^= 1 << bit
+        met = 0
+        for ball in balls:
+            x, y = (set(ball.variants(np.full(len(ball.flips), f, np.uint64), np.arange(len(ball.flips))).tolist()) for f in (a, b))
+            met += bool(x & y)
+        assert met
+
+
+def test_rows_of_one_id_join_no_components(make):
+    a, b, c = (words(k, 200) for k in range(3))
+    got = near_duplicates(make([(5, a), (5, b), (7, b), (6, c), (None, a)])).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.fingerprint, set()).add(r.component_id)
+    assert all(len(x) == 1 for x in by.values())
+    kept = drop_near_copies(make([(5, a), (5, b), (7, b), (6, c), (None, a)]))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(5, a), (5, b), (6, c)])
+
+
+def test_fingerprints_at_the_hot_boundary(spark):
+    """A variant with one member more than ``hot`` takes the other way; both find the same classes."""
+    fps = [1 << k for k in range(7)] + [0]
+    points = spark.createDataFrame([(f, k) for k, f in enumerate(fps)], "_fp long, _rep long")
+    for hot in (len(fps) - 1, len(fps)):
+        found = [(r.a, r.b) for r in links(points, 4, hot).collect()]
+        assert classes(len(fps), found) == [0] * len(fps)
