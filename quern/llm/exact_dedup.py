@@ -2,10 +2,10 @@
 
 Three steps, each comparing the whole text and not only its digest:
 
-1. *locally*: a map-side partial aggregate merges equal texts of one task before
-   anything moves;
-2. *per salt*: the shuffle key is (digest, check, text, salt), so a text that holds a
-   third of all rows is dealt over as many tasks as there are salts;
+1. *locally*: the salt is the number of the reading task, so the map-side partial
+   aggregate merges all equal texts of a task before anything moves;
+2. *per salt*: the shuffle key is (digest, check, text, salt), so the tasks' winners of a
+   text that holds a third of all rows are dealt over as many tasks as there are salts;
 3. *globally*: the winners of the salts, at most one per salt and text, are merged by
    (digest, check, text).
 
@@ -32,6 +32,13 @@ def sha256_digest(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+def task_salt(salts: int) -> Column:
+    """The reading task's number as a salt: equal texts of one task share it, so they are
+    merged before the shuffle, and the tasks' winners of one text part. A task that runs
+    again after a loss has the same number."""
+    return F.pmod(F.spark_partition_id(), F.lit(salts))
+
+
 def exact_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -64,7 +71,7 @@ def exact_groups(
         text.alias("_text"),
     )
     per_salt = (
-        keyed.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(salts)))
+        keyed.withColumn("_salt", task_salt(salts))
         .groupBy("_digest", "_check", "_text", "_salt")
         .agg(F.max("_id").alias("_keep"), F.count(F.lit(1)).alias("_n"))
     )
