@@ -21,10 +21,17 @@ may share a window with another:
 5. *Removal.* Reported windows go back to their documents.
 
 Equal segments, which is what longer copies are made of, are reduced to the first before
-refinement. A q-gram with more than ``hot`` occurrences is reduced within each group of
-documents first; what is left of it travels as single windows, bucketed by their whole
-content, so that no task receives a hot passage. Arrays are packed into one row per group
-and bucket, and long documents are read in blocks, so memory is bounded everywhere.
+refinement. Segments of a q-gram with more than ``hot`` occurrences are first reduced
+within each group of documents; what is left of them is cut into *pieces* of at most
+``_PIECE`` windows, which are bucketed by all bytes that these windows share, so a frequent
+phrase in many contexts is dealt by its contexts. A piece that is the same everywhere
+reaches a task once per group of documents, and from more than ``fan_in`` groups in two
+steps: sets of groups first, then what each set has left. Arrays are packed into one row
+per group and bucket, and long documents are read in blocks, so memory is bounded
+everywhere.
+
+Documents are known by a unique number in their order: the id or, where ids repeat or are
+null, the row's place among all rows sorted by id.
 """
 
 from __future__ import annotations
@@ -38,12 +45,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm._arrow import runs
-from quern.session import ship_package, shuffle_partitions
+from quern.session import materialize, ship_package, shuffle_partitions
 
 Q = 32  # bytes of a q-gram
 _BLOCK = 1 << 20
 _LOW = np.uint64((1 << 24) - 1)
-_TIE = 40  # bits of a place within a document; above them, the number among equal ids
+_PIECE = 9  # windows of a hot q-gram that travel together
 SEGMENT = np.dtype([("h", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("anchor", "<u4"), ("size", "<u4")])
 WINDOWS = np.dtype([("doc", "<i8"), ("start", "<i8"), ("last", "<i8")])
 
@@ -106,18 +113,15 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int):
 
 
 class Group:
-    """The documents of a group, by id (rows of one id by text), as one byte array."""
+    """The documents of a group, in the order of their numbers, as one byte array."""
 
     def __init__(self, table: pa.Table):
-        ids = [(i is not None, i or 0) for i in table.column("_id").to_pylist()]
+        keys = table.column("_key").to_numpy()
+        order = np.argsort(keys, kind="stable")
         texts = [(t or "").encode("utf-8") for t in table.column("_text").to_pylist()]
-        order = sorted(range(len(ids)), key=lambda k: (ids[k], texts[k]))
-        self.ids = [ids[k][1] if ids[k][0] else None for k in order]
-        self.texts = [texts[k] for k in order]
-        #: a null id comes before all others
-        self.keys = np.array([np.iinfo(np.int64).min if i is None else i for i in self.ids], np.int64)
-        a, b = runs(self.keys)
-        self.tie = np.arange(len(self.keys)) - np.repeat(a, b - a)
+        self.keys = keys[order]
+        self.ids = table.column("_id").take(pa.array(order)).combine_chunks()
+        self.texts = [texts[k] for k in order.tolist()]
         self.bounds = np.cumsum([0, *map(len, self.texts)])
         self.data = np.frombuffer(b"".join(self.texts), np.uint8)
 
@@ -291,8 +295,8 @@ def _member(values: np.ndarray, of: np.ndarray) -> np.ndarray:
     return of[np.minimum(np.searchsorted(of, values), len(of) - 1)] == values
 
 
-def _window_hashes(text: np.ndarray, n: int, length: int) -> np.ndarray:
-    """A hash of each of the ``n`` windows laid one after another."""
+def _hashes(text: np.ndarray, n: int, length: int) -> np.ndarray:
+    """A hash of each of the ``n`` strings of ``length`` bytes laid one after another."""
     rows = np.zeros((n, -(-length // 8) * 8), np.uint8)
     rows[:, :length] = text.reshape(n, length)
     h = np.zeros(n, np.uint64)
@@ -302,21 +306,58 @@ def _window_hashes(text: np.ndarray, n: int, length: int) -> np.ndarray:
     return h
 
 
+def pieces(meta: np.ndarray, segment: np.ndarray, chosen: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The chosen windows of the segments as pieces: runs of windows whose places before
+    the anchor have the same quotient by ``_PIECE``. Equal windows are in pieces of one
+    quotient, which share the bytes from ``quotient * _PIECE`` before the anchor on.
+
+    Returns the pieces (``h`` not set yet, ``start`` as in ``meta``) and where these bytes
+    begin.
+    """
+    n_windows = meta["size"].astype(np.int64) - length + 1
+    inner = np.arange(len(segment)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
+    at = np.flatnonzero(chosen)
+    owner, inner = segment[at], inner[at]
+    before = meta["anchor"].astype(np.int64)[owner] - inner
+    quotient = before // _PIECE
+    if len(at):
+        same = (owner[1:] == owner[:-1]) & (inner[1:] == inner[:-1] + 1) & (quotient[1:] == quotient[:-1])
+        a = np.flatnonzero(np.r_[True, ~same])
+    else:
+        a = np.zeros(0, np.int64)
+    n = np.diff(np.r_[a, len(at)])
+    out = np.zeros(len(a), SEGMENT)
+    out["doc"], out["start"] = meta["doc"][owner[a]], meta["start"][owner[a]] + inner[a]
+    out["anchor"], out["size"] = before[a], n + length - 1
+    return out, out["start"] + before[a] - quotient[a] * _PIECE
+
+
 _SEGMENTS = "bucket long, g long, meta binary, bytes binary"
 
 
-def _segments(length: int, buckets: int):
-    names = ["bucket", "g", "meta", "bytes"]
+def _pack(meta: np.ndarray, text: np.ndarray, bucket: np.ndarray, g: np.ndarray, rows: list) -> None:
+    """One row per bucket and group."""
+    order = np.lexsort((g, bucket))
+    sizes = meta["size"].astype(np.int64)
+    starts = np.cumsum(sizes) - sizes
+    text = _gather(text, starts[order], sizes[order])
+    meta, bucket, g, ends = meta[order], bucket[order], g[order], np.cumsum(sizes[order])
+    if len(order):
+        a = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (g[1:] != g[:-1])])
+        for i, j in zip(a, np.r_[a[1:], len(order)]):
+            low = int(ends[i] - meta["size"][i])
+            rows.append((int(bucket[i]), int(g[i]), meta[i:j].tobytes(), text[low : int(ends[j - 1])].tobytes()))
+
+
+def _as_table(rows: list) -> pa.Table:
+    cells = list(zip(*rows)) if rows else [[], [], [], []]
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cells, kinds)], ["bucket", "g", "meta", "bytes"])
 
-    def pack(meta: np.ndarray, text: np.ndarray, bucket: np.ndarray, g: int, rows: list) -> None:
-        order = np.argsort(bucket, kind="stable")
-        sizes = meta["size"].astype(np.int64)
-        starts = np.cumsum(sizes) - sizes
-        text = _gather(text, starts[order], sizes[order])
-        meta, ends = meta[order], np.cumsum(sizes[order])
-        for a, b in zip(*runs(bucket[order])):
-            low = int(ends[a] - sizes[order[a]])
-            rows.append((int(bucket[order[a]]), g, meta[a:b].tobytes(), text[low : int(ends[b - 1])].tobytes()))
+
+def _segments(length: int, buckets: int, sets: int):
+    """Segments of a group of documents by bucket. Pieces of hot q-grams have buckets of
+    their own from ``buckets`` on, each ``sets`` times, one for each set of groups."""
 
     def segments(key: tuple[pa.Scalar, ...], docs: pa.Table, replies: pa.Table) -> pa.Table:
         g, rows = key[0].as_py(), []
@@ -328,69 +369,75 @@ def _segments(length: int, buckets: int):
 
             def cut(chosen):
                 h_, place_, first_, last_ = h[chosen], place[chosen], first[chosen], last[chosen]
-                doc = group.documents(first_)
                 meta = np.zeros(len(h_), SEGMENT)
-                meta["h"], meta["doc"], meta["anchor"] = h_, group.keys[doc], place_ - first_
-                meta["start"] = first_ - group.bounds[doc] + (group.tie[doc] << _TIE)
+                meta["h"], meta["anchor"] = h_, place_ - first_
+                meta["doc"] = group.documents(first_)
+                meta["start"] = first_  # within the group; both are made global below
                 meta["size"] = last_ - first_ + length
                 return meta, _gather(group.data, first_, meta["size"].astype(np.int64))
 
+            def named(found: np.ndarray) -> np.ndarray:
+                doc = found["doc"].copy()
+                found["start"] -= group.bounds[doc]
+                if "last" in found.dtype.names:
+                    found["last"] -= group.bounds[doc]
+                found["doc"] = group.keys[doc]
+                return found
+
             if len(plain):
-                chosen = np.flatnonzero(_member(h, plain))
-                meta, text = cut(chosen)
-                pack(meta, text, _bucket(meta["h"], buckets), g, rows)
+                meta, text = cut(np.flatnonzero(_member(h, plain)))
+                _pack(named(meta), text, _bucket(meta["h"], buckets), np.full(len(meta), g), rows)
             if len(hot):
                 meta, text = cut(np.flatnonzero(_member(h, hot)))
                 segment, later = later_windows(meta, text, length)
                 known = _as_ranges(meta, segment, later, length)
                 if len(known):  # already known to be removed: passed on as they are
-                    rows.append((g % buckets, g, b"", known.tobytes()))
-                single = _as_ranges(meta, segment, ~later, length)
-                counts = single["last"] - single["start"] + 1
-                windows = np.zeros(int(counts.sum()), SEGMENT)
-                inner = np.arange(len(windows)) - np.repeat(np.cumsum(counts) - counts, counts)
-                windows["doc"] = np.repeat(single["doc"], counts)
-                windows["start"] = np.repeat(single["start"], counts) + inner
-                windows["size"] = length
-                row = {(k, t): d for d, (k, t) in enumerate(zip(group.keys.tolist(), group.tie.tolist()))}
-                doc = np.array(
-                    [row[k, t] for k, t in zip(windows["doc"].tolist(), (windows["start"] >> _TIE).tolist())], np.int64
-                )
-                inside = windows["start"] & ((1 << _TIE) - 1)
-                text = _gather(group.data, group.bounds[doc] + inside, windows["size"].astype(np.int64))
-                windows["h"] = _window_hashes(text, len(windows), length)
-                pack(windows, text, _bucket(windows["h"], buckets), g, rows)
-        cells = list(zip(*rows)) if rows else [[], [], [], []]
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cells, kinds)], names)
+                    rows.append((g % buckets, g, b"", named(known).tobytes()))
+                part, shared = pieces(meta, segment, ~later, length)
+                common = length - _PIECE + 1
+                part["h"] = _hashes(_gather(group.data, shared, np.full(len(part), common)), len(part), common)
+                text = _gather(group.data, part["start"], part["size"].astype(np.int64))
+                bucket = buckets + _bucket(part["h"], _HOT_BUCKETS * buckets) * sets + g % sets
+                _pack(named(part), text, bucket, np.full(len(part), g), rows)
+        return _as_table(rows)
 
     return segments
 
 
-def _refine(length: int):
-    def refine(table: pa.Table) -> pa.Table:
-        groups, found = [], []
-        parts = []
+_HOT_BUCKETS = 16  # buckets of pieces for each plain one
+
+
+def _refine(length: int, buckets: int, sets: int, last: bool):
+    """Rows of a bucket to the removed windows of each group, in rows without ``meta``.
+    Of a set's pieces, if another step follows, those with a window left go on."""
+
+    def refine(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        bucket = key[0].as_py()
+        rows, parts = [], []
         for g, meta, data in zip(*(table.column(c).to_pylist() for c in ("g", "meta", "bytes"))):
             if meta:
                 parts.append((g, np.frombuffer(meta, SEGMENT), np.frombuffer(data, np.uint8)))
             else:
-                groups.append(g)
-                found.append(data)
+                rows.append((g % buckets, g, b"", data))
         if parts:
             meta = np.concatenate([p[1] for p in parts])
             text = np.concatenate([p[2] for p in parts])
             segment, later = later_windows(meta, text, length)
             cuts = np.cumsum([0, *(len(p[1]) for p in parts)])
             n_windows = meta["size"].astype(np.int64) - length + 1
-            ends = np.r_[0, np.cumsum(n_windows)][cuts]
+            ends = np.r_[0, np.cumsum(n_windows)]
             for k, (g, own, _) in enumerate(parts):
-                low, high = int(ends[k]), int(ends[k + 1])
+                low, high = int(ends[cuts[k]]), int(ends[cuts[k + 1]])
                 ranges = _as_ranges(own, segment[low:high] - cuts[k], later[low:high], length)
                 if len(ranges):
-                    groups.append(g)
-                    found.append(ranges.tobytes())
-        return pa.table([pa.array(groups, pa.int64()), pa.array(found, pa.binary())], ["g", "ranges"])
+                    rows.append((g % buckets, g, b"", ranges.tobytes()))
+            if not last and bucket >= buckets:
+                stays = np.add.reduceat(~later, ends[:-1]) > 0
+                sizes = meta["size"].astype(np.int64)
+                text = _gather(text, (np.cumsum(sizes) - sizes)[stays], sizes[stays])
+                group = np.repeat([p[0] for p in parts], [len(p[1]) for p in parts])[stays]
+                _pack(meta[stays], text, np.full(int(stays.sum()), buckets + (bucket - buckets) // sets * sets), group, rows)
+        return _as_table(rows)
 
     return refine
 
@@ -415,22 +462,17 @@ def _remove(length: int):
     def remove(docs: pa.Table, removals: pa.Table) -> pa.Table:
         group = Group(docs) if docs.num_rows else None
         n_bytes, n_removed, n_spans, digests, kept, spans = [], [], [], [], [], []
-        ranges = np.frombuffer(b"".join(removals.column("ranges").to_pylist()), WINDOWS)
+        ranges = np.frombuffer(b"".join(removals.column("bytes").to_pylist()), WINDOWS)
         ranges = ranges[np.lexsort((ranges["start"], ranges["doc"]))]
         for k, text in enumerate(group.texts if group else ()):
-            low, high = np.searchsorted(ranges["doc"], group.keys[k], "left"), 0
-            high = np.searchsorted(ranges["doc"], group.keys[k], "right")
-            own = ranges[low:high]
-            own = own[(own["start"] >> _TIE) == group.tie[k]].copy()
-            own["start"] &= (1 << _TIE) - 1
-            own["last"] &= (1 << _TIE) - 1
-            cut = _removed_runs(own, length)
-            pieces, at = [], 0
+            low, high = (np.searchsorted(ranges["doc"], group.keys[k], side) for side in ("left", "right"))
+            cut = _removed_runs(ranges[low:high], length)
+            parts, at = [], 0
             for a, b in cut:
-                pieces.append(text[at:a])
+                parts.append(text[at:a])
                 at = b
-            pieces.append(text[at:])
-            rest = b"".join(pieces)
+            parts.append(text[at:])
+            rest = b"".join(parts)
             n_bytes.append(len(text))
             n_removed.append(len(text) - len(rest))
             n_spans.append(len(cut))
@@ -439,7 +481,7 @@ def _remove(length: int):
             spans.append([{"start": a, "stop": b} for a, b in cut])
         return pa.Table.from_arrays(
             [
-                pa.array(group.ids if group else [], pa.int64()),
+                group.ids if group else pa.array([], pa.int64()),
                 *(pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)),
                 pa.array(digests, pa.string()),
                 pa.array(spans, pa.list_(span)),
@@ -451,46 +493,72 @@ def _remove(length: int):
     return remove
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` (``_id, _text``) with ``_key``, a unique number in the order of the ids.
+
+    Where no id repeats or is null it is the id. Else rows are sorted by id (null first),
+    hash of the text and a number of the row as it was read, so that a range of equal ids
+    can part, and their place in that order is the key; the sorted rows are written once.
+    """
+    repeated = rows.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or _id is null")
+    if repeated.isEmpty():
+        return rows.withColumn("_key", F.col("_id"))
+    order = ["_id", "_h", "_n"]
+    marked = rows.select("_id", "_text", F.xxhash64("_text").alias("_h"), F.monotonically_increasing_id().alias("_n"))
+    most = shuffle_partitions(rows.sparkSession)
+    ordered = marked.repartitionByRange(most, *order).sortWithinPartitions(*order)
+    return materialize(ordered.select("_id", "_text", F.monotonically_increasing_id().alias("_key")), "numbered")
+
+
 def remove_repeats(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     *,
     length: int = 100,
-    hot: int = 1000,
+    hot: int = 1 << 14,
     group_bytes: int = 2 << 20,
+    fan_in: int = 1 << 16,
 ) -> DataFrame:
     """Per row: ``id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept`` where
     ``spans`` are the maximal removed runs in bytes and ``kept`` the remaining bytes.
 
     Ids must be integers. Defined results: null text counts as empty; texts shorter than
     ``length`` lose nothing; a null id comes before all others; rows that repeat an id are
-    taken in the order of their texts, a later one after an earlier; an empty table gives
-    an empty table; other columns are ignored.
+    taken one after another, in the order of a hash of their texts, and are dealt like any
+    others; an empty table gives an empty table; other columns are ignored.
+
+    ``hot`` bounds what a task holds of one q-gram (about 200 bytes for each occurrence) and
+    ``fan_in`` from how many groups of about ``group_bytes`` a task takes the same piece;
+    neither changes the result.
     """
     if length < Q + 8:
         raise ValueError(f"windows need at least {Q + 8} bytes")
     spark = docs.sparkSession
     ship_package(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = numbered(docs.select(F.col(id_col).cast("long").alias("_id"), text.alias("_text")))
     size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     least = shuffle_partitions(spark)
     groups = max(least, size // group_bytes)
     buckets = max(least, size * 2 // (length - Q + 2) >> 17)
-    dealt = rows.select(F.pmod(F.xxhash64("_id"), F.lit(groups)).alias("g"), "_id", "_text")
+    sets = -(-groups // fan_in)
+    dealt = rows.select(F.pmod(F.xxhash64("_key"), F.lit(groups)).alias("g"), "_id", "_key", "_text")
     counted = dealt.groupBy("g").applyInArrow(
         _count(length, buckets), "bucket long, g long, hashes binary, counts binary"
     )
     replies = counted.groupBy("bucket").applyInArrow(_repeated(hot), "g long, plain binary, hot binary")
-    segments = dealt.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(_segments(length, buckets), _SEGMENTS)
-    ranges = segments.groupBy("bucket").applyInArrow(_refine(length), "g long, ranges binary")
+    segments = dealt.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(_segments(length, buckets, sets), _SEGMENTS)
+    ranges = segments.groupBy("bucket").applyInArrow(_refine(length, buckets, sets, sets == 1), _SEGMENTS)
+    if sets > 1:
+        ranges = ranges.groupBy("bucket").applyInArrow(_refine(length, buckets, 1, True), _SEGMENTS)
     schema = (
         "_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
         "spans array<struct<start:bigint,stop:bigint>>, kept binary"
     )
     return (
         dealt.groupBy("g")
-        .cogroup(ranges.groupBy("g"))
+        .cogroup(ranges.select("g", "bytes").groupBy("g"))
         .applyInArrow(_remove(length), schema)
         .withColumnRenamed("_id", id_col)
     )

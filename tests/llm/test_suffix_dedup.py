@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from quern.llm.suffix_dedup import Q, anchors, refined_buckets, remove_repeats
+from quern.llm.suffix_dedup import _PIECE, Q, SEGMENT, anchors, numbered, pieces, refined_buckets, remove_repeats
 from tests.llm.conftest import awkward_rows, words
 
 
@@ -33,8 +33,8 @@ def result(df, **options):
     ]
 
 
-@pytest.mark.parametrize("hot", [1000, 2])
-def test_repeats_match_brute_force(make, hot):
+@pytest.mark.parametrize("hot, fan_in", [(1000, 1 << 16), (2, 1 << 16), (2, 2), (0, 3)])
+def test_repeats_match_brute_force(make, hot, fan_in):
     rng = random.Random(5)
     shared = [words(1000 + k, 60) for k in range(4)]
     rows = []
@@ -46,7 +46,7 @@ def test_repeats_match_brute_force(make, hot):
             parts += [s[a : a + rng.randint(50, 300)], words(rng.randint(0, 9999), rng.randint(1, 20))]
         rows.append((k, "é".join(parts)))
     rows += [(50, None), (51, ""), (52, "z" * 700), (53, "ab" * 400), (54, "z" * 99), (55, "z" * 100)]
-    assert sorted(result(make(rows), hot=hot, group_bytes=2000)) == brute(rows, 100)
+    assert sorted(result(make(rows), hot=hot, group_bytes=2000, fan_in=fan_in)) == brute(rows, 100)
 
 
 def test_awkward_rows(awkward):
@@ -84,3 +84,31 @@ def test_refined_buckets_are_a_partial_suffix_array():
         for p, q in zip(places, places[1:]):
             assert (pointer[p] == pointer[q]) == (keys[p] == keys[q])
             assert (pointer[p] < pointer[q]) == (keys[p] < keys[q])
+
+
+def test_rows_without_ids_are_dealt_like_others(spark, make):
+    """A third of the rows have no id and some repeat one: no group holds them all."""
+    passage = words(7, 40)
+    rows = [(None if k % 3 == 0 else k // 2, f"{words(k, 30)} {passage}") for k in range(300)]
+    df = make(rows)
+    keyed = numbered(df.selectExpr("doc_id _id", "text _text")).collect()
+    assert len({r._key for r in keyed}) == 300
+    in_order = [r._id for r in sorted(keyed, key=lambda r: r._key)]
+    assert in_order == sorted(in_order, key=lambda i: (i is not None, i or 0))
+    kept = result(df, group_bytes=1000)
+    assert sum(n > 0 for _, _, n, _, _ in kept) == 299 and len(kept) == 300
+
+
+def test_pieces_of_equal_windows_share_their_bytes():
+    text = np.frombuffer(words(3, 400).encode(), np.uint8)
+    h, place, first, last = anchors(text, np.array([0, len(text)]), 100)
+    meta = np.zeros(len(h), SEGMENT)
+    meta["h"], meta["anchor"], meta["start"], meta["size"] = h, place - first, first, last - first + 100
+    segment = np.repeat(np.arange(len(h)), last - first + 1)
+    rng = np.random.default_rng(1)
+    chosen = rng.random(len(segment)) < 0.9
+    found, shared = pieces(meta, segment, chosen, 100)
+    assert int((found["size"].astype(int) - 99).sum()) == int(chosen.sum()) and found["size"].max() <= 100 + _PIECE - 1
+    for piece, at in zip(found, shared):
+        start, n = int(piece["start"]), int(piece["size"]) - 99
+        assert start + n - 1 <= at and at + 100 - _PIECE + 1 <= start + 100
