@@ -154,21 +154,26 @@ bw AS (
     'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 bl AS (SELECT item_id, w, least(13, len(w)) AS n FROM bw WHERE len(w) > 0),
 win AS (
-  SELECT DISTINCT item_id, n, array_to_string(w[j:j + n - 1], ' ') AS g
+  SELECT DISTINCT item_id, n, j - 1 AS k, array_to_string(w[j:j + n - 1], ' ') AS g
   FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS j FROM bl)),
 sizes AS (SELECT DISTINCT n FROM win),
 grams AS (
   SELECT doc_id, n, j, array_to_string(w[j:j + n - 1], ' ') AS g
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS j FROM dw, sizes WHERE len(w) >= n)),
-hit AS (SELECT doc_id, item_id, n, j FROM grams JOIN win USING (n, g)),
+hit AS (SELECT doc_id, item_id, n, j, k FROM grams JOIN win USING (n, g)),
 words AS (SELECT doc_id, count(DISTINCT p) AS n_hit
   FROM (SELECT doc_id, unnest(range(j, j + n)) AS p FROM hit) GROUP BY doc_id),
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
-  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hit) GROUP BY doc_id)
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hit) GROUP BY doc_id),
+runs AS (SELECT doc_id, item_id::VARCHAR AS i, min(j) - 1 AS a, min(k) AS b, count(*) + n - 1 AS m FROM (
+    SELECT *, j - row_number() OVER (PARTITION BY doc_id, item_id, n, j - k ORDER BY j) AS run FROM hit)
+  GROUP BY doc_id, item_id, n, j - k, run),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY m DESC, a, i, b) = 1)
 SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
   coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(m, 0)::BIGINT AS longest_words,
+  a::BIGINT AS longest_at, i AS longest_item, b::BIGINT AS longest_item_at
+FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN best USING (doc_id)
 """
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import pickle
 import random
 import re
 import time
@@ -8,7 +9,10 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm.decontaminate import contamination, drop_contaminated, verbatim_matches, words_of
+from quern.llm import decontaminate
+from quern.llm.decontaminate import (
+    TestWindows, by_document, contamination, covered, drop_contaminated, verbatim_matches, words_of,
+)
 from quern.llm.secret_scan import BASE_RULES, RULES, scan_secrets, scanner, span_digest, trigram_query
 from tests.llm.conftest import awkward_rows, words
 
@@ -38,6 +42,20 @@ def brute(text):
     return len(w), len(hit), len(items), digest, bool(hit) and 20 * len(hit) >= len(w)
 
 
+def brute_longest(text):
+    w, best = plain_words(text), (0, 0, "", 0)
+    for item, t in ITEMS:
+        v = plain_words(t)
+        for i in range(len(w)):
+            for j in range(len(v)):
+                n = 0
+                while i + n < len(w) and j + n < len(v) and w[i + n] == v[j + n]:
+                    n += 1
+                if n >= min(13, len(v)):
+                    best = min(best, (-n, i, str(item), j))
+    return (-best[0], *best[1:]) if best[0] else (0, None, None, None)
+
+
 def texts():
     a, b = ITEMS[0][1], ITEMS[1][1]
     return [
@@ -56,6 +74,8 @@ def test_contamination_matches_brute_force(spark, make, block_bytes):
         for r in contamination(make(rows), benchmark, block_bytes=block_bytes).collect()
     }
     assert got == {i: brute(t) for i, t in rows}
+    best = {r.doc_id: r[6:] for r in contamination(make(rows), benchmark, block_bytes=block_bytes).collect()}
+    assert best == {i: brute_longest(t) for i, t in rows}
     kept = drop_contaminated(make(rows), benchmark, block_bytes=block_bytes)
     assert sorted(r.doc_id for r in kept.collect()) == [i for i, t in rows if not brute(t)[4]]
     assert kept.columns == make([]).columns
@@ -152,3 +172,22 @@ def test_long_runs_are_scanned_in_linear_time(text):
     began = time.perf_counter()
     scanner(RULES)([text])
     assert time.perf_counter() - began < 5
+
+
+def test_blocks_hold_little_more_than_their_text():
+    rng = random.Random(4)
+    items = [(str(k), " ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=12)) + f" w{k} " + words(k, 400)) for k in range(700)]
+    size = sum(len(t) for _, t in items)
+    tests = TestWindows(items)
+    held = sum(a.nbytes for _, *arrays in tests.searches for a in arrays)
+    assert held + sum(a.nbytes for a in (tests.words.starts, tests.words.ends, tests.words.doc)) < 12 * size + (32 << 20)
+    assert len(pickle.dumps(tests)) < 12 * size + (32 << 20)
+
+
+def test_many_pairs_are_joined_in_turns(spark, make, monkeypatch):
+    monkeypatch.setattr(decontaminate, "_PAIRS", 50)
+    tests = TestWindows([(str(i), t) for i, t in ITEMS])
+    n_words, found = by_document(tests, texts())
+    assert n_words.tolist() == [len(plain_words(t)) for t in texts()]
+    for k, t in enumerate(texts()):
+        assert (sum(b - a for a, b in covered(found[k])) if k in found else 0) == brute(t)[1]
