@@ -7,22 +7,23 @@ shape voters (several different hits, a high share of hits, no hit, one hit in a
 text).
 
 *Label model.* A generative model of the votes is fitted by expectation maximisation
-without labels: how often each voter votes which way for toxic and for clean texts (its
-accuracy), and how far voters still go together when the class is known (their
-correlations). A voter's evidence is divided by one plus its correlations with the
-others, so a group of voters that repeat each other counts about once.
+without labels. Given the class, a voter's vote depends on the vote of one other voter, its
+parent in the tree of the strongest correlations (the spanning tree of greatest
+conditional mutual information). The model so has each voter's accuracy, how often it votes
+which way for toxic and for clean texts, and how voters go together beyond that: a
+voter that repeats its parent adds no evidence.
 
 *Classifier.* A linear classifier is trained on the model's posterior labels, over the
 hits' counts and shares, so it also weighs what voters cannot say. Slope and offset of
 its score are then fitted on the training labels.
 
 Mining and calibration use about ``sample`` labelled rows, one per id, chosen by a hash of
-the id (the documented bound). The label model and the classifier are fitted on all rows
-that are not held out, dealt by a hash into random groups of about ``sample``: prior,
-accuracies, correlations, mean and spread are the means of the groups' ones, and so are the
-classifier's weights for the posterior of that common model. Every text is measured whole
-and every row is scored; measuring is one map without a shuffle and writes a few dozen
-numbers per row.
+the id (the documented bound); every term in them is a candidate. The label model and the
+classifier are fitted on all rows that are not held out, dealt by a hash into random groups
+of about ``sample``: correlations, prior, vote tables, mean and spread are the means of the
+groups' ones, and so are the classifier's weights for the posterior of that common model.
+Every text is measured whole and every row is scored; measuring is one map without a
+shuffle and writes a few dozen numbers per row.
 """
 
 from __future__ import annotations
@@ -98,65 +99,61 @@ class Patterns:
 # --- mining ------------------------------------------------------------------------------
 
 
-def _term_counts(texts: DataFrame, only: frozenset[str] | None) -> DataFrame:
-    """``term, n``: in how many rows of ``texts`` (``_text``) each term occurs."""
+def _term_counts(labelled: DataFrame) -> DataFrame:
+    """``term, a, b``: in how many toxic and clean rows (``_text, _label``) a term occurs."""
 
     def count(batches):
         for batch in text_slices(batches, 0):
-            seen: Counter[str] = Counter()
-            for text in batch.column(0).to_pylist():
-                terms = beginnings(words_of(text))
-                seen.update(terms if only is None else terms & only)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"]
-            )
+            seen: tuple[Counter[str], Counter[str]] = Counter(), Counter()
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                seen[label].update(beginnings(words_of(text)))
+            terms = list(seen[0] | seen[1])
+            columns = [pa.array([seen[k][t] for t in terms], pa.int64()) for k in (1, 0)]
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *columns], ["term", "a", "b"])
 
-    return texts.mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    rows = labelled.select("_text", F.col("_label").cast("int"))
+    return rows.mapInArrow(count, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
-def _surprise(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> np.ndarray:
-    """The log-likelihood ratio of a term's share of toxic rows against the overall one,
-    zero for terms that toxic rows do not favour."""
-    share, total = n_a / (n_a + n_b), a + b
-    expected_a, expected_b = total * share, total * (1 - share)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        g = 2 * (np.where(a > 0, a * np.log(a / expected_a), 0) + np.where(b > 0, b * np.log(b / expected_b), 0))
-    return np.where(a > expected_a, g, 0.0)
+def _surprise(n_toxic: int, n_clean: int):
+    """The log-likelihood ratio of a term's share (``a`` toxic, ``b`` clean rows) of toxic
+    rows against the overall one, zero for terms that toxic rows do not favour."""
+    a, b, share = F.col("a"), F.col("b"), n_toxic / (n_toxic + n_clean)
+    expected = (a + b) * share
+    rest = F.when(b > 0, b * F.log(b / ((a + b) * (1 - share)))).otherwise(0.0)
+    return F.when(a > expected, 2 * (a * F.log(a / expected) + rest)).otherwise(0.0)
 
 
 def mine_patterns(
-    labelled: DataFrame, *, most_terms: int = 64, most_candidates: int = 50_000, least_surprise: float = 20.0
+    labelled: DataFrame, *, most_terms: int = 64, least_rows: int = 4, least_surprise: float = 20.0
 ) -> Patterns:
     """Terms that go with toxic rows of ``labelled`` (``_text, _label``), most surprising
     first; a term that says the same as a chosen one (of one pair one begins the other) is
-    left out."""
+    left out.
+
+    Every term of the rows is a candidate. ``most_terms`` is the size of the model, the
+    number of its pattern voters; a term needs ``least_rows`` toxic rows and
+    ``least_surprise``, about the square of 4.5 standard deviations.
+    """
     sizes = {r["_label"]: r["count"] for r in labelled.groupBy("_label").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
         return Patterns(LEXICON)
-    toxic = (
-        _term_counts(labelled.filter("_label = 1").select("_text"), None)
-        .filter("n >= 4")
-        .orderBy(F.desc("n"), "term")
-        .limit(most_candidates)
-        .collect()
+    surprising = (
+        _term_counts(labelled)
+        .filter((F.col("a") >= least_rows) & (F.col("a") >= 2 * F.col("b")))
+        .withColumn("g", F.round(_surprise(n_toxic, n_clean), 9))
+        .filter(F.col("g") >= least_surprise)
     )
-    in_toxic = {r["term"]: r["n"] for r in toxic}
-    clean = _term_counts(labelled.filter("_label = 0").select("_text"), frozenset(in_toxic)).collect()
-    in_clean = {r["term"]: r["n"] for r in clean}
-    terms = sorted(in_toxic)
-    a = np.array([in_toxic[t] for t in terms], float)
-    b = np.array([in_clean.get(t, 0) for t in terms], float)
-    g = _surprise(a, b, n_toxic, n_clean)
     chosen: list[str] = list(LEXICON)
     # of equal surprise, the longer beginning and then the whole word says more precisely what was seen
-    for k in sorted(range(len(terms)), key=lambda k: (-g[k], -len(terms[k]), terms[k])):
-        if g[k] < least_surprise or len(chosen) >= len(LEXICON) + most_terms:
+    ordered = surprising.select("term").orderBy(F.desc("g"), F.desc(F.length("term")), "term")
+    for row in ordered.toLocalIterator():
+        if len(chosen) >= len(LEXICON) + most_terms:
             break
-        bare = terms[k].rstrip("$")
-        if a[k] < 2 * b[k] or any(bare.startswith(c.rstrip("$")) or c.rstrip("$").startswith(bare) for c in chosen):
-            continue
-        chosen.append(terms[k])
+        bare = row.term.rstrip("$")
+        if not any(bare.startswith(c.rstrip("$")) or c.rstrip("$").startswith(bare) for c in chosen):
+            chosen.append(row.term)
     return Patterns(tuple(chosen))
 
 
@@ -184,52 +181,119 @@ def votes_of(n_words: np.ndarray, hits: np.ndarray, counts: np.ndarray) -> np.nd
 
 @dataclass
 class LabelModel:
-    """P(vote | class) per voter, the class prior, and the voters' weights."""
+    """The class prior, P(vote | class) per voter, each voter's parent (-1 for the root) and
+    P(vote | class, parent's vote)."""
 
     prior: float
     table: np.ndarray  # voters x (clean, toxic) x (-1, 0, 1)
-    weight: np.ndarray
-    correlation: np.ndarray
+    parent: np.ndarray
+    given: np.ndarray  # voters x (clean, toxic) x parent's (-1, 0, 1) x own (-1, 0, 1)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        evidence = np.log(self.table[:, 1] / self.table[:, 0])  # voters x votes
-        total = np.zeros(len(votes))
-        for j, w in enumerate(self.weight):
-            total += w * evidence[j, votes[:, j].astype(int) + 1]
+        evidence = np.log(self.given[:, 1] / self.given[:, 0]).reshape(len(self.parent), 9)
+        total = evidence[np.arange(len(self.parent)), _states(votes, self.parent)].sum(axis=1)
         return _sigmoid(total + np.log(self.prior / (1 - self.prior)))
 
 
-def _weight(correlation: np.ndarray) -> np.ndarray:
-    others = np.clip(correlation - np.diag(np.diag(correlation)), 0, 1)
-    return 1 / (1 + others.sum(axis=1))
+_SMOOTH = 0.3  # rows of each vote, and of the voter's own table for each vote of its parent, that are taken as seen
 
 
-def fit_label_model(votes: np.ndarray, rounds: int = 40) -> LabelModel:
-    """Expectation maximisation from the start that any toxic vote but the weakest shape
-    means toxic; correlations are those of the votes' residuals given the class."""
-    n, m = votes.shape
-    start = ((votes == 1).sum(axis=1) >= 2).astype(float)
-    p = 0.02 + 0.96 * start if n else start
-    onehot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)  # rows x voters x votes
-    weight, correlation = np.ones(m), np.zeros((m, m))
-    model = LabelModel(0.1, np.full((m, 2, 3), 1 / 3), weight, correlation)
-    for _ in range(rounds if n else 0):
-        prior = float(np.clip(p.mean(), 1e-3, 0.5))
-        table = np.stack([np.einsum("n,njv->jv", q, onehot) + 0.3 for q in (1 - p, p)], axis=1)
-        table /= table.sum(axis=2, keepdims=True)
-        direction = table @ np.array([-1.0, 0.0, 1.0])  # voters x class
-        rest = votes - ((1 - p)[:, None] * direction[:, 0] + p[:, None] * direction[:, 1])
-        spread = rest.std(axis=0) + 1e-6
-        correlation = (rest / spread).T @ (rest / spread) / n
-        model = LabelModel(prior, table, _weight(correlation), correlation)
+def _states(votes: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """3 * parent's vote + own vote, votes counted from 0; a root's parent votes 0."""
+    own = votes.astype(np.int64) + 1
+    return 3 * np.where(parent >= 0, own[:, parent], 1) + own
+
+
+def _model(votes: np.ndarray, weight: np.ndarray, p: np.ndarray, parent: np.ndarray) -> LabelModel:
+    """The model of greatest likelihood if row k is toxic with probability p[k]."""
+    m, states = votes.shape[1], _states(votes, parent)
+    cell = (np.arange(m) * 9 + states).ravel()
+    counts = np.stack(
+        [np.bincount(cell, np.repeat(q * weight, m), 9 * m).reshape(m, 3, 3) for q in (1 - p, p)], axis=1
+    )
+    table = counts.sum(axis=2) + _SMOOTH
+    table /= table.sum(axis=2, keepdims=True)
+    given = counts + _SMOOTH * table[:, :, None, :]
+    given /= given.sum(axis=3, keepdims=True)
+    prior = float(np.clip((p * weight).sum() / weight.sum(), 1e-3, 0.5))
+    return LabelModel(prior, table, parent, given)
+
+
+def _rows(votes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows of votes and how often each occurs."""
+    if not len(votes):
+        return votes, np.zeros(0)
+    rows, counts = np.unique(votes, axis=0, return_counts=True)
+    return rows, counts.astype(float)
+
+
+def expectation_maximisation(
+    votes: np.ndarray, parent: np.ndarray, p: np.ndarray, weight: np.ndarray, rounds: int = 40
+) -> LabelModel:
+    """From the rows' first probabilities of being toxic."""
+    model = None
+    for _ in range(rounds):
+        model = _model(votes, weight, p, parent)
         new = model.posterior(votes)
-        done = np.abs(new - p).max() < 1e-4
-        p = new
+        done, p = np.abs(new - p).max() < 1e-6, new
         if done:
             break
     return model
 
 
+def no_parents(m: int) -> np.ndarray:
+    return np.full(m, -1)
+
+
+def unfitted(m: int) -> LabelModel:
+    return LabelModel(0.1, np.full((m, 2, 3), 1 / 3), no_parents(m), np.full((m, 2, 3, 3), 1 / 3))
+
+
+def first_guess(votes: np.ndarray) -> np.ndarray:
+    """The start: two toxic votes mean toxic."""
+    return 0.02 + 0.96 * ((votes == 1).sum(axis=1) >= 2)
+
+
+def correlations(votes: np.ndarray, weight: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The mutual information of each two voters' votes given the class, in nats."""
+    n, m = votes.shape
+    seen = (votes[:, :, None] == np.array([-1, 0, 1])).reshape(n, 3 * m).astype(float)
+    total = np.zeros((m, m))
+    for q in (1 - p, p):
+        own = (q * weight).sum()
+        both = (seen * (q * weight)[:, None]).T @ seen
+        alone = np.diag(both)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            part = np.where(both > 0, both * np.log(both * own / np.outer(alone, alone)), 0)
+        total += part.reshape(m, 3, m, 3).sum(axis=(1, 3)) / max(weight.sum(), 1)
+    return total
+
+
+def spanning_tree(information: np.ndarray) -> np.ndarray:
+    """Each voter's parent in the tree of greatest information, grown from voter 0; of
+    equals (to 9 digits) the voter, then the parent, of the smallest number."""
+    information = np.round(information, 9)
+    m = len(information)
+    parent, best = no_parents(m), information[0].copy() if m else np.zeros(0)
+    link, outside = np.zeros(m, int), np.arange(m) > 0
+    while outside.any():
+        j = int(np.argmax(np.where(outside, best, -np.inf)))
+        parent[j], outside[j] = link[j], False
+        closer = outside & ((information[j] > best) | ((information[j] == best) & (j < link)))
+        best, link = np.where(closer, information[j], best), np.where(closer, j, link)
+    return parent
+
+
+def fit_label_model(votes: np.ndarray) -> LabelModel:
+    """Of one group of rows. The tree is that of the start: a class that is fitted without
+    it would follow voters that repeat each other, and so hide that they do."""
+    rows, weight = _rows(votes)
+    if not len(rows):
+        return unfitted(votes.shape[1])
+    p = first_guess(rows)
+    return expectation_maximisation(rows, spanning_tree(correlations(rows, weight, p)), p, weight)
+
+
 # --- the classifier ------------------------------------------------------------------------
 
 
@@ -293,29 +357,37 @@ def _matrix(frame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def fit_model(patterns: Patterns, web: DataFrame, known, sample: int) -> ToxicityModel:
-    """From all unlabelled rows (measured, with ``_id``) and a pandas frame of labelled ones."""
+    """From all unlabelled rows (measured, with ``_id``) and a pandas frame of labelled ones.
+
+    Three passes over the measures, each the mean over random groups: the voters'
+    correlations; the model along their tree; the classifier.
+    """
     width = len(patterns.terms)
+    m = votes_of(np.zeros(0), np.zeros(0), np.zeros((0, width))).shape[1]
 
-    def moments(frame) -> np.ndarray:
+    def voters(frame) -> np.ndarray:
         n, h, c = _matrix(frame, width)
-        model = fit_label_model(votes_of(n, h, c))
+        rows, weight = _rows(votes_of(n, h, c))
         x = features_of(n, h, c)
-        parts = [model.table.ravel(), model.correlation.ravel(), x.mean(axis=0), (x * x).mean(axis=0)]
-        return np.concatenate([[model.prior], *parts])
+        together = correlations(rows, weight, first_guess(rows))
+        return np.concatenate([together.ravel(), x.mean(axis=0), (x * x).mean(axis=0)])
 
-    found = mean_over_groups(web, moments, sample)
-    none = np.zeros(0)
+    found = mean_over_groups(web, voters, sample)
     if found is None:
         zeros = np.zeros(width + 4)
-        labels = fit_label_model(votes_of(none, none, np.zeros((0, width))))
-        return ToxicityModel(patterns, labels, LinearScorer(zeros, zeros + 1, np.zeros(width + 5)))
-    m = votes_of(none, none, np.zeros((0, width))).shape[1]
-    cuts = np.cumsum([1, 6 * m, m * m, width + 4])
-    prior, table, correlation, mean, squares = np.split(found, cuts)
-    correlation = correlation.reshape(m, m)
-    labels = LabelModel(float(prior[0]), table.reshape(m, 2, 3), _weight(correlation), correlation)
+        return ToxicityModel(patterns, unfitted(m), LinearScorer(zeros, zeros + 1, np.zeros(width + 5)))
+    together, mean, squares = np.split(found, np.cumsum([m * m, width + 4]))
+    parent = spanning_tree(together.reshape(m, m))
     scale = np.sqrt(np.maximum(squares - mean * mean, 0)) + 1e-2
 
+    def tables(frame) -> np.ndarray:
+        rows, weight = _rows(votes_of(*_matrix(frame, width)))
+        model = expectation_maximisation(rows, parent, first_guess(rows), weight)
+        return np.concatenate([[model.prior], model.table.ravel(), model.given.ravel()])
+
+    prior, table, given = np.split(mean_over_groups(web, tables, sample), np.cumsum([1, 6 * m]))
+    labels = LabelModel(float(prior[0]), table.reshape(m, 2, 3), parent, given.reshape(m, 2, 3, 3))
+
     def weights(frame) -> np.ndarray:
         n, h, c = _matrix(frame, width)
         soft = labels.posterior(votes_of(n, h, c))

@@ -128,7 +128,7 @@ def test_whole_words_of_any_length_vote(mark):
     assert toxicity.Patterns(tuple(terms)).counter()(f"a {mark} b {mark}s")[1:] == ((1, [1]) if len(mark) < 3 else (2, [2]))
 
 
-def test_label_model_discounts_repeating_voters():
+def test_label_model_counts_repeating_voters_once():
     rng = np.random.default_rng(2)
     truth = rng.random(4000) < 0.2
 
@@ -139,8 +139,29 @@ def test_label_model_discounts_repeating_voters():
     repeated = voter(0.6, 0.1)
     votes = np.stack([voter(0.8, 0.05), voter(0.7, 0.05), voter(0.75, 0.05), repeated, repeated, repeated], axis=1)
     model = toxicity.fit_label_model(votes)
-    assert model.weight[3:].max() < 0.5 < model.weight[:3].min()
     assert ((model.posterior(votes) > 0.5) == truth).mean() > 0.9
+    # of the three equal voters one speaks and two repeat it: their evidence is that of one
+    tree = {frozenset(x) for x in enumerate(model.parent.tolist())}
+    assert len(tree & {frozenset(x) for x in ((3, 4), (3, 5), (4, 5))}) == 2
+    evidence = np.log(model.given[:, 1] / model.given[:, 0]).reshape(6, 9)
+    states = toxicity._states(np.array([[0, 0, 0, 1, 1, 1]]), model.parent)[0]
+    spoken = sorted(abs(evidence[j, states[j]]) for j in (3, 4, 5))
+    assert spoken[1] < 0.05 < 1 < spoken[2]
+    assert model.table[:3, 1, 2] == pytest.approx([0.8, 0.7, 0.75], abs=0.05)  # the accuracies
+
+
+def test_tree_of_greatest_information():
+    rng = np.random.default_rng(3)
+    x = rng.random((7, 7))
+    x = x + x.T
+    edges, label = [], list(range(7))
+    for i, j in sorted(((i, j) for i in range(7) for j in range(i)), key=lambda e: -x[e]):
+        if label[i] != label[j]:
+            edges.append({i, j})
+            label = [label[i] if v == label[j] else v for v in label]
+    parent = toxicity.spanning_tree(x)
+    assert parent[0] == -1 and all({j, int(parent[j])} in edges for j in range(1, 7))
+    assert toxicity.spanning_tree(np.zeros((3, 3))).tolist() == [-1, 0, 0]
 
 
 @pytest.mark.parametrize("module, run", [(quality, quality.quality_scores), (toxicity, toxicity.toxicity_scores)])
