@@ -133,19 +133,39 @@ def drop_rows(docs: DataFrame, verdicts: DataFrame, id_col: str, text_col: str)
     return rest.unionByName(one.select("_v_row.*"))
 
 
-def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def drop_exact_copies(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    *,
+    digest=sha256_digest,
+    salts: int | None = None,
+) -> DataFrame:
     """``docs`` with one row of each group of equal texts, one of the largest id; all columns
     stay.
 
-    A null id stays only if its group has no other. Of rows that repeat id and text any one
-    stays; rows that share an id but not the text are told apart.
+    The same three steps as ``exact_groups``, but the winner of a group carries its other
+    columns along, so no join brings them back and a text moves twice in all. A null id
+    stays only if its group has no other. Of rows that repeat id and text any one stays;
+    rows that share an id but not the text are told apart; null and empty texts are equal,
+    and the winner keeps its own.
     """
-    wins = F.col(id_col).eqNullSafe(F.col("keep_id"))
-    verdicts = (
-        exact_groups(docs, id_col, text_col, **options)
-        .filter("group_size > 1")
-        .groupBy(F.col(id_col).alias("_v_id"), F.col("text_sha256").alias("_v_sha"), wins.alias("_wins"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter("not _wins or _n > 1")
+    salts = salts or shuffle_partitions(docs.sparkSession)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    others = [c for c in docs.columns if c != text_col]
+    row = F.struct(F.col(text_col).isNull().alias("no_text"), F.struct(*(F.col(c) for c in others)).alias("others"))
+    keyed = docs.select(
+        digest(text).alias("_digest"),
+        F.unhex(F.md5(text)).alias("_check"),
+        text.alias("_text"),
+        task_salt(salts).alias("_salt"),
+        F.struct(F.col(id_col).isNotNull().alias("known"), F.col(id_col).alias("id")).alias("_order"),
+        row.alias("_row"),
+    )
+    best = (F.max_by("_row", "_order").alias("_row"), F.max("_order").alias("_order"))
+    per_salt = keyed.groupBy("_digest", "_check", "_text", "_salt").agg(*best)
+    winners = per_salt.groupBy("_digest", "_check", "_text").agg(*best)
+    kept_text = F.when(~F.col("_row.no_text"), F.col("_text").cast(docs.schema[text_col].dataType))
+    return winners.select(
+        *(kept_text.alias(c) if c == text_col else F.col("_row.others")[c].alias(c) for c in docs.columns)
     )
-    return drop_rows(docs, verdicts.select("_v_id", "_v_sha", F.col("_wins").alias("_v_stays")), id_col, text_col)
