@@ -9,16 +9,19 @@ before (in a document of smaller id, or earlier in the same one) are removed.
 Chunks are grouped by digest *and* bytes, with map-side combining, so a passage that a
 third of the documents share reaches a task as one row per map task. Only digests that
 the byte comparison finds twice go on, and from there on only numbers move until the
-removed chunks meet their documents. Should one digest ever stand for two texts, the
-query stops with an error.
-
-Chunks are disjoint, so a repeated passage whose chunks also hold the neighbours' lines
-stays. ``dedup_passages`` misses none: it compares *windows* that overlap, from every line
-the shortest run of lines with more than ``least_words`` words that starts there and the
-shortest that ends there. A repeated run of that many words is the union of such windows
-(each of its lines has enough words after it in the run, or else lies in the window that
-ends with the run), so what goes is every line of every such run, single long lines
-included. Windows are compared by SHA-256 of their bytes; only numbers and digests move.
+removed lines meet their documents. What the digests' join finds is written before it is
+grouped by document: so the join is the last step of its job, and adaptive execution can
+split a hot digest. Should one digest ever stand for two texts, its chunks stay.
+
+Chunks are disjoint, so the ends of a repeated passage, and a passage of a few lines as a
+whole, lie in chunks that also hold the neighbours' lines. With ``least_words`` these are
+found by *windows* that overlap: from every line the shortest run of lines with more than
+that many words that starts there and the shortest that ends there. A repeated run of
+that many words is the union of such windows (each of its lines has enough words after it
+in the run, or else lies in the window that ends with the run), so every line of every
+such run goes, single long lines included. Windows are compared by SHA-256 of their
+bytes; only numbers and digests move. Both rules judge the input, not what the other
+leaves; what either removes stands at an earlier place, so of every line the first stays.
 
 Everything is DataFrame functions; no Python runs on the executors.
 """
@@ -39,7 +42,7 @@ def _let(value: Column, body) -> Column:
 
 
 def chunks(text: Column, window: int = 3, modulus: int = 4) -> Column:
-    """``array<struct<no, n_lines, text>>``: the chunks of a text, in order.
+    """``array<struct<no, start, n_lines, text>>``: the chunks of a text, in order.
 
     Line hashes are the first 32 bits of MD5; the rolling hash after a line is the sum of
     the last ``window`` line hashes, each multiplied by 31 once per line it lies back.
@@ -65,7 +68,7 @@ def chunks(text: Column, window: int = 3, modulus: int = 4) -> Column:
             start = F.when(k == 0, 0).otherwise(F.element_at(ends, F.greatest(k, F.lit(1))))
             own = F.slice(lines, start + 1, end - start)
             return F.struct(
-                k.alias("no"), (end - start).alias("n_lines"), F.array_join(own, "\n").alias("text")
+                k.alias("no"), start.alias("start"), (end - start).alias("n_lines"), F.array_join(own, "\n").alias("text")
             )
 
         return F.transform(ends, chunk)
@@ -73,81 +76,87 @@ def chunks(text: Column, window: int = 3, modulus: int = 4) -> Column:
     return _let(F.split(text, "\n", -1), of_lines)
 
 
-def dedup_lines(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    *,
-    window: int = 3,
-    modulus: int = 4,
-    least_lines: int = 2,
-) -> DataFrame:
-    """Per row: ``id, text, n_lines, n_chunks, n_removed_chunks, n_removed_lines,
-    kept_sha256`` where ``text`` is what remains, chunks joined by line ends.
+def sha256_digest(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
 
-    Ids must be integers. Defined results: null text counts as empty (one empty line, one
-    chunk of one line, never removed); a null id comes after all others, and rows that
-    share an id are one document seen twice: the first occurrence stays in each of them; an
-    empty table gives an empty table; other columns are ignored.
-    """
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``_id, _order, _row, _text``: rows of one ``_order`` and ``_row`` share id and text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     order = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
-    rows = docs.select(
+    return docs.select(
         F.col(id_col).alias("_id"), order.alias("_order"), F.xxhash64(text).alias("_row"), text.alias("_text")
     )
+
+
+def _repeated_chunks(rows: DataFrame, window: int, modulus: int, least_lines: int, digest) -> DataFrame:
+    """``_order, _row, _spans, _n``: the lines of the chunks that occur before, per document."""
     parts = rows.select("_order", "_row", F.explode(chunks(F.col("_text"), window, modulus)).alias("c")).filter(
         F.col("c.n_lines") >= least_lines
     )
-    digest = F.unhex(F.md5("c.text"))
     compared = (
-        parts.groupBy(digest.alias("_digest"), F.col("c.text").alias("_chunk"))
+        parts.groupBy(digest(F.col("c.text")).alias("_digest"), F.col("c.text").alias("_chunk"))
         .agg(F.min("_order").alias("_first"), F.count(F.lit(1)).alias("_n"))
         .groupBy("_digest")
-        .agg(
-            F.min("_first").alias("_first"),
-            F.when(F.count(F.lit(1)) == 1, F.sum("_n"))
-            .otherwise(F.raise_error(F.lit("two different chunks share a digest")).cast("long"))
-            .alias("_n"),
-        )
-        .filter("_n > 1")
+        .agg(F.min("_first").alias("_first"), F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_texts"))
+        .filter("_n > 1 and _texts = 1")
         .select(F.col("_digest").alias("_d"), "_first")
     )
-    repeated = materialize(compared, "chunks")
-    # rows of one document are few: its repeated chunks
-    seen = (
-        parts.select("_order", "_row", "c.no", "c.n_lines", digest.alias("_digest"))
-        .join(repeated, F.col("_digest") == F.col("_d"))
-        .groupBy("_order", "_row", "_digest", "_first")
-        .agg(F.sort_array(F.collect_list(F.struct("no", "n_lines"))).alias("_at"))
-    )
-    later = F.when(F.col("_order") == F.col("_first"), F.slice("_at", 2, F.size("_at"))).otherwise(F.col("_at"))
-    removed = (
-        seen.select(F.col("_order").alias("_o"), F.col("_row").alias("_r"), later.alias("_at"))
-        .groupBy("_o", "_r")
-        .agg(F.flatten(F.collect_list("_at")).alias("_gone"))
-    )
-    joined = rows.join(removed, (F.col("_order") == F.col("_o")) & (F.col("_row") == F.col("_r")), "left")
-    gone = F.coalesce("_gone", F.array().cast("array<struct<no:int,n_lines:int>>"))
-    kept = F.struct(
-        gone.alias("gone"),
-        F.transform(gone, lambda g: g["no"]).alias("numbers"),
-        chunks(F.col("_text"), window, modulus).alias("chunks"),
+    span = F.struct(F.col("c.start").alias("start"), (F.col("c.start") + F.col("c.n_lines")).alias("stop"))
+    here = parts.select("_order", "_row", span.alias("_span"), digest(F.col("c.text")).alias("_digest"))
+    seen = materialize(
+        here.join(materialize(compared, "chunks"), F.col("_digest") == F.col("_d")).select(
+            "_order", "_row", "_span", "_digest", (F.col("_order") == F.col("_first")).alias("_first")
+        ),
+        "chunks",
     )
+    # rows of one document are few: its repeated chunks
+    own = seen.filter("_first").groupBy("_order", "_row", "_digest").agg(F.sort_array(F.collect_set("_span")).alias("_at"))
+    again = own.select("_order", "_row", F.explode(F.slice("_at", 2, F.size("_at"))).alias("_span"))
+    later = seen.filter("not _first").select("_order", "_row", "_span").unionByName(again)
+    spans = later.groupBy("_order", "_row").agg(F.collect_set("_span").alias("_spans"))
+    return spans.withColumn("_n", F.size("_spans").cast("long"))
 
-    def result(x: Column) -> Column:
-        stays = F.filter(x["chunks"], lambda c: ~F.array_contains(x["numbers"], c["no"]))
-        total = F.aggregate(x["chunks"], F.lit(0).cast("long"), lambda a, c: a + c["n_lines"])
-        lost = F.aggregate(x["gone"], F.lit(0).cast("long"), lambda a, g: a + g["n_lines"])
-        return F.struct(
-            F.array_join(F.transform(stays, lambda c: c["text"]), "\n").alias("text"),
-            total.alias("n_lines"),
-            F.size(x["chunks"]).cast("long").alias("n_chunks"),
-            F.size(x["gone"]).cast("long").alias("n_removed_chunks"),
-            lost.alias("n_removed_lines"),
-        )
 
-    final = joined.select(F.col("_id").alias(id_col), F.explode(F.array(_let(kept, result))).alias("x"))
-    return final.select(id_col, "x.*", F.sha2("x.text", 256).alias("kept_sha256"))
+def dedup_lines(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    *,
+    window: int = 3,
+    modulus: int = 4,
+    least_lines: int = 2,
+    least_words: int | None = None,
+    digest=sha256_digest,
+) -> DataFrame:
+    """Per row: ``id, text, n_lines, n_chunks, n_removed_chunks, n_removed_runs,
+    n_removed_lines, kept_sha256`` where ``text`` is what remains after the repeated chunks
+    and, with ``least_words``, the repeated runs of more words than that are removed;
+    ``n_removed_runs`` counts maximal runs of removed lines.
+
+    Ids must be integers. Defined results: null text counts as empty (one empty line, one
+    chunk of one line, never removed); a null id comes after all others; rows that share
+    an id are one document seen twice for the chunks (the first occurrence stays in each of
+    them), and for the windows too if their texts are equal, else different documents in the
+    order of a hash; an empty table gives an empty table; other columns are ignored.
+    ``digest`` may be any function of a chunk (chunks of a digest that two share stay).
+    """
+    rows = _rows(docs, id_col, text_col)
+    removed = _repeated_chunks(rows, window, modulus, least_lines, digest)
+    if least_words is not None:
+        runs = _repeated_windows(rows, least_words).withColumn("_n", F.lit(0).cast("long"))
+        removed = (
+            removed.unionByName(runs)
+            .groupBy("_order", "_row")
+            .agg(F.flatten(F.collect_list("_spans")).alias("_spans"), F.sum("_n").alias("_n"))
+        )
+    more = [
+        F.size(chunks(F.col("_text"), window, modulus)).cast("long").alias("n_chunks"),
+        F.coalesce("_n", F.lit(0)).cast("long").alias("n_removed_chunks"),
+    ]
+    found = _without(rows, removed, id_col, more)
+    names = ["text", "n_lines", "n_chunks", "n_removed_chunks", "n_removed_runs", "n_removed_lines", "kept_sha256"]
+    return found.select(id_col, *names)
 
 
 _WORD = r"[^ \t\r\f\x0B]+"
@@ -241,25 +250,8 @@ def _merged(spans: Column) -> Column:
     )
 
 
-def dedup_passages(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, least_words: int = 50
-) -> DataFrame:
-    """Per row: ``id, text, n_lines, n_removed_runs, n_removed_lines, kept_sha256`` where
-    ``text`` is what remains after every run of lines with more than ``least_words`` words
-    that also stands at an earlier place (a smaller id, or earlier in the text) is removed.
-
-    Every distinct line stays at least once. Ids must be integers. Defined results: words
-    are what blanks separate; lines without words do not count in a run and go with the line
-    before them; null text counts as empty; a null id comes after all others; of rows that
-    share an id, different texts are different documents (in the order of a hash), and equal
-    texts are one document seen twice, whose first occurrences stay in each; an empty table
-    gives an empty table; other columns are ignored.
-    """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    order = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
-    rows = docs.select(
-        F.col(id_col).alias("_id"), order.alias("_order"), F.xxhash64(text).alias("_row"), text.alias("_text")
-    )
+def _repeated_windows(rows: DataFrame, least_words: int) -> DataFrame:
+    """``_order, _row, _spans``: the lines of the windows that occur before, per document."""
     place = F.struct("_order", "_row", "start")
     parts = materialize(
         rows.select("_order", "_row", F.explode(windows(F.col("_text"), least_words)).alias("w")).select(
@@ -274,14 +266,23 @@ def dedup_passages(
         .select("_d", "_first"),
         "windows",
     )
-    removed = materialize(
+    later = materialize(
         parts.join(repeated, F.col("digest") == F.col("_d"))
         .filter(place != F.col("_first"))
-        .groupBy(F.col("_order").alias("_o"), F.col("_row").alias("_r"))
-        .agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("_spans"))
-        .select("_o", "_r", _merged(F.col("_spans")).alias("_gone")),
+        .select("_order", "_row", F.struct("start", "stop").alias("_span")),
         "windows",
     )
+    return later.groupBy("_order", "_row").agg(F.collect_set("_span").alias("_spans"))
+
+
+def _without(rows: DataFrame, removed: DataFrame, id_col: str, more: list[Column] = ()) -> DataFrame:
+    """``rows`` without the lines of ``removed`` (``_order, _row, _spans``)."""
+    removed = materialize(
+        removed.withColumnsRenamed({"_order": "_o", "_row": "_r"}).withColumn(
+            "_gone", _merged(F.sort_array("_spans").cast(_SPAN))
+        ),
+        "removed",
+    ).drop("_spans")
     # a merge join at every size: a broadcast that only small inputs allow would hide what large ones shuffle
     joined = rows.join(
         removed.hint("merge"), (F.col("_order") == F.col("_o")) & (F.col("_row") == F.col("_r")), "left"
@@ -301,5 +302,23 @@ def dedup_passages(
         )
 
     parted = F.struct(gone.alias("gone"), F.split("_text", "\n", -1).alias("lines"))
-    final = joined.select(F.col("_id").alias(id_col), F.explode(F.array(_let(parted, result))).alias("x"))
-    return final.select(id_col, "x.*", F.sha2("x.text", 256).alias("kept_sha256"))
+    final = joined.select(F.col("_id").alias(id_col), *more, F.explode(F.array(_let(parted, result))).alias("x"))
+    return final.select(*(c for c in final.columns if c != "x"), "x.*", F.sha2("x.text", 256).alias("kept_sha256"))
+
+
+def dedup_passages(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, least_words: int = 50
+) -> DataFrame:
+    """The windows' part of ``dedup_lines`` alone. Per row: ``id, text, n_lines, n_removed_runs,
+    n_removed_lines, kept_sha256`` where ``text`` is what remains after every run of lines with more than ``least_words`` words
+    that also stands at an earlier place (a smaller id, or earlier in the text) is removed.
+
+    Every distinct line stays at least once. Ids must be integers. Defined results: words
+    are what blanks separate; lines without words do not count in a run and go with the line
+    before them; null text counts as empty; a null id comes after all others; of rows that
+    share an id, different texts are different documents (in the order of a hash), and equal
+    texts are one document seen twice, whose first occurrences stay in each; an empty table
+    gives an empty table; other columns are ignored.
+    """
+    rows = _rows(docs, id_col, text_col)
+    return _without(rows, _repeated_windows(rows, least_words), id_col)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.decontaminate import contamination
 from quern.llm.exact_dedup import exact_groups
-from quern.llm.line_dedup import dedup_lines, dedup_passages
+from quern.llm.line_dedup import dedup_lines
 from quern.llm.packing import pack_documents
 from quern.llm.quality import quality_scores
 from quern.llm.secret_scan import RULES, Rule, scan_secrets, span_digest
@@ -36,12 +36,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(_table(spark, sf_dir, "documents")).drop("text")
+    return dedup_lines(_table(spark, sf_dir, "documents"), least_words=50).drop("text")
 
 
-OP1_SQL = """
+OP1_SQL = r"""
 WITH l AS (
-  SELECT doc_id, i, line, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h FROM (
+  SELECT doc_id, i, line, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h, len(regexp_extract_all(line, '[^ \t\r\f\x0B]+')) AS n FROM (
     SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
       generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),
 e AS (
@@ -51,24 +51,7 @@ n AS (
   SELECT doc_id, i, line, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM e),
 c AS (SELECT doc_id, no, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY i) AS t FROM n GROUP BY doc_id, no),
-r AS (
-  SELECT *, n_lines >= 2 AND row_number() OVER (PARTITION BY t ORDER BY doc_id, no) > 1 AS gone FROM c)
-SELECT doc_id, sum(n_lines)::BIGINT AS n_lines, count(*) AS n_chunks, count(*) FILTER (gone) AS n_removed_chunks,
-  coalesce(sum(n_lines) FILTER (gone), 0)::BIGINT AS n_removed_lines,
-  sha256(coalesce(string_agg(t, chr(10) ORDER BY no) FILTER (NOT gone), '')) AS kept_sha256
-FROM r GROUP BY doc_id
-"""
-
-
-def op1_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_passages(_table(spark, sf_dir, "documents")).drop("text")
-
-
-OP1_PASSAGE_SQL = r"""
-WITH l AS (
-  SELECT doc_id, i, line, len(regexp_extract_all(line, '[^ \t\r\f\x0B]+')) AS n FROM (
-    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-      generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),
+r AS (SELECT *, n_lines >= 2 AND row_number() OVER (PARTITION BY t ORDER BY doc_id, no) > 1 AS gone FROM c),
 s AS (SELECT *, row_number() OVER w AS k, sum(n) OVER w AS c, lead(i) OVER w AS next FROM l WHERE n > 0
   WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 p AS (SELECT a.doc_id, a.k AS a, b.k AS b, a.i AS start, b.next AS stop FROM s a JOIN s b
@@ -77,12 +60,13 @@ p AS (SELECT a.doc_id, a.k AS a, b.k AS b, a.i AS start, b.next AS stop FROM s a
 t AS (SELECT p.doc_id, start, stop, string_agg(line, chr(10) ORDER BY k) AS t
   FROM p JOIN s ON s.doc_id = p.doc_id AND k BETWEEN a AND b GROUP BY p.doc_id, start, stop),
 g AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id, start) AS r FROM t) WHERE r > 1),
-m AS (SELECT l.doc_id, i, line, bool_or(g.doc_id IS NOT NULL) AS gone FROM l LEFT JOIN g
-  ON g.doc_id = l.doc_id AND i >= start AND (stop IS NULL OR i < stop) GROUP BY ALL),
-o AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM m)
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (opens) AS n_removed_runs, count(*) FILTER (gone) AS n_removed_lines,
-  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
-FROM o GROUP BY doc_id
+m AS (SELECT n.doc_id, n.i, n.line, bool_or(r.gone OR g.doc_id IS NOT NULL) AS gone
+  FROM n JOIN r USING (doc_id, no) LEFT JOIN g ON g.doc_id = n.doc_id AND n.i >= start AND (stop IS NULL OR n.i < stop) GROUP BY ALL),
+o AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM m),
+x AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (opens) AS n_removed_runs, count(*) FILTER (gone) AS n_removed_lines,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM o GROUP BY doc_id)
+SELECT x.*, n_chunks, n_removed_chunks FROM x
+  JOIN (SELECT doc_id, count(*) AS n_chunks, count(*) FILTER (gone) AS n_removed_chunks FROM r GROUP BY doc_id) USING (doc_id)
 """
 
 
@@ -220,7 +204,3 @@ ORACLE_SQL = {
     "op9_decontaminate": OP9_SQL,
     "op10_secret_scan": OP10_SQL,
 }
-
-#: Second queries of an operator, whose first one has results that its SQL fixes.
-MORE_QUERIES = {"op1_passage_dedup": op1_passage_dedup}
-MORE_SQL = {"op1_passage_dedup": OP1_PASSAGE_SQL}

@@ -8,9 +8,10 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import queries
-from quern.llm.exact_dedup import drop_exact_copies, exact_groups
+from quern.llm import line_dedup, queries
+from quern.llm.exact_dedup import drop_exact_copies, exact_groups, task_salt
 from quern.llm.line_dedup import chunks, dedup_lines, dedup_passages
+from quern.session import materialize
 from tests.llm.conftest import awkward_rows, words
 
 
@@ -129,6 +130,9 @@ def test_passages_of_few_lines_are_all_found(make):
     want = _without_passages(rows)
     got = {r.doc_id: (r.text, r.n_removed_lines) for r in dedup_passages(make(rows)).collect()}
     assert got == want
+    both = {r.doc_id: set(r.text.split("\n")) for r in dedup_lines(make(rows), least_words=50).collect()}
+    assert all(both[i] <= set(t.split("\n")) for i, (t, _) in want.items())
+    assert set().union(*both.values()) | {""} == {x for _, t in rows for x in t.split("\n")} | {""}  # the first of every line stays
     assert sum(n for _, n in want.values()) == planted + 4
     by_chunks = dedup_lines(make(rows)).agg(F.sum("n_removed_lines")).first()[0]
     assert by_chunks < planted / 2  # disjoint chunks miss most of them
@@ -144,17 +148,17 @@ def test_passages_of_awkward_rows(awkward, empty, make):
     assert got == sorted([(texts[0][1], 0), ("y", 1), ("", 1), ("z", 1), ("", 1)])
 
 
-def test_passages_against_sql(spark):
+def test_chunks_and_passages_against_sql(spark):
     duckdb = pytest.importorskip("duckdb")
     folder = "/root/testdata/sf0.01"
     if not os.path.isdir(folder):
         pytest.skip("no test tables here")
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
-    want = con.sql(queries.MORE_SQL["op1_passage_dedup"]).df()
-    got = queries.MORE_QUERIES["op1_passage_dedup"](spark, folder).toPandas()
+    want = con.sql(queries.ORACLE_SQL["op1_line_dedup"]).df()
+    got = queries.QUERIES["op1_line_dedup"](spark, folder).toPandas()
     columns = sorted(want.columns)
-    assert sorted(got.columns) == columns and got["n_removed_runs"].sum() > 50
+    assert sorted(got.columns) == columns and got["n_removed_runs"].sum() > 50 and got["n_removed_chunks"].sum() > 20
     a, b = (x[columns].astype(str).sort_values(columns).reset_index(drop=True) for x in (got, want))
     assert a.equals(b)
 
@@ -166,3 +170,39 @@ def test_drop_tells_texts_of_one_id_apart_and_keeps_one_row_of_each(make):
         [(2, "x"), (1, "only here"), (3, "y"), (None, "z"), (4, "")]
     )
     assert kept.columns == make([]).columns
+
+
+def test_a_hot_text_leaves_each_task_once(spark, make):
+    """One text holds a third of the rows: a task sends one row of it, whatever the salts."""
+    rows = make([(k, "hot" if k % 3 == 0 else f"t{k}") for k in range(3000)]).repartition(4)
+    salted = rows.select(F.col("text"), task_salt(200).alias("salt"), F.col("doc_id"))
+    assert salted.filter("text = 'hot'").groupBy("text", "salt").count().count() == 4
+    got = exact_groups(rows, salts=200)
+    assert got.filter("group_size > 1").agg(F.count("*"), F.min("keep_id"), F.max("group_size")).first()[:] == (1000, 2997, 1000)
+    assert {r.doc_id for r in drop_exact_copies(rows, salts=200).collect()} == {2997, *(k for k in range(3000) if k % 3)}
+
+
+def test_drop_takes_weak_digests_and_keeps_the_winners_columns(spark):
+    rows = [(1, "x", None, "a"), (2, "x", 1, "b"), (3, "y", 2, None), (None, "y", 3, "d"), (None, None, 4, "e"), (5, "", 5, "f")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, _row int, _text string")
+    kept = drop_exact_copies(docs, digest=lambda t: F.lit("same"), salts=3)
+    assert sorted(tuple(r) for r in kept.collect()) == [rows[1], rows[2], rows[5]]
+    assert kept.schema == docs.schema
+
+
+def test_chunks_of_one_digest_are_told_apart_and_stay(make):
+    shared = "\n".join(words(100 + k, 6) for k in range(25))
+    rows = make([(k, f"{words(k, 4)}\n{shared}") for k in range(6)])
+    assert dedup_lines(rows, digest=lambda t: F.md5(t)).agg(F.sum("n_removed_chunks")).first()[0] > 5
+    assert dedup_lines(rows, digest=lambda t: F.lit("same")).agg(F.sum("n_removed_chunks")).first()[0] == 0
+
+
+def test_a_hot_chunk_is_grouped_after_its_join_is_written(make, monkeypatch):
+    """A passage in a third of the rows: the grouped tables are read from files, so the skewed join can be split."""
+    shared = "\n".join(words(100 + k, 6) for k in range(12))
+    rows = make([(k, f"{words(k, 4)}\n{shared if k % 3 == 0 else words(k + 9999, 8)}") for k in range(300)])
+    tables = []
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, tag="t": tables.append(df) or materialize(df, tag))
+    assert dedup_lines(rows).agg(F.sum("n_removed_chunks")).first()[0] >= 99
+    joins = [d._jdf.queryExecution().optimizedPlan().toString() for d in tables]
+    assert any(p.lstrip().startswith("Project") and "Join Inner" in p and "Aggregate" not in p for p in joins)
