@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,8 +57,11 @@ def corpus_statistics(terms: DataFrame) -> DataFrame:
     return terms.groupBy("_scope").agg(F.count(F.lit(1)).alias("_n"), F.avg(F.col("_dl").cast("double")).alias("_mean"))
 
 
-def bm25_scores(chunks: DataFrame, queries: DataFrame, c: Columns = Columns()) -> DataFrame:
-    """``query, chunk, score`` for every pair with a score above 0.
+def bm25_scores(
+    chunks: DataFrame, queries: DataFrame, c: Columns = Columns(), members: DataFrame | None = None
+) -> DataFrame:
+    """``query, chunk, score`` for every pair with a score above 0. With a scope, either the
+    chunks have its column or ``members`` lists it (``scope, chunk``); a chunk may be in several.
 
     Terms are sets, so a term's frequency is 1 and a document's length the number of its
     distinct terms. The title counts with a weight and the body's statistics. The chunks
@@ -67,23 +70,30 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, c: Columns = Columns()) -
     and postings meet in an equi-join on the term, which Spark broadcasts if the queries
     are few.
     """
-    terms = terms_of(chunks, c)
+    terms = terms_of(chunks, c if members is None else replace(c, scope=None))
     scope = F.col(c.scope) if c.scope else F.lit(0)
     asked = queries.select(
         F.col(c.query).alias("_query"), scope.alias("_scope"), F.explode(tokenize_terms(F.col(c.query_text))).alias("term")
     )
-    wanted = asked.select("term").distinct().withColumn("_wanted", F.lit(True))
+    wanted = asked.select(F.col("term").alias("_w")).distinct()
 
     def tagged(column: str, kind: str) -> Column:
         return F.transform(F.col(column), lambda t: F.struct(t.alias("term"), F.lit(kind).alias("kind")))
 
-    marker = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit("chunk").alias("kind")))
+    # a marker per chunk counts it in the statistics; it is no term, and all of them differ, so they part in the join
+    mark = F.concat(F.lit("\x00"), F.col("_chunk").cast("string"))
+    marker = F.array(F.struct(mark.alias("term"), F.lit("chunk").alias("kind")))
     every = F.concat(marker, tagged("_terms", "body"), tagged("_title_terms", "title"))
     kept = ("_chunk", "_scope", "_dl", "_tl")
     rows = terms.select(*kept, F.explode(every).alias("p")).select(*kept, "p.*")
     found = materialize(
-        rows.join(wanted, "term", "left").filter("_wanted or kind = 'chunk'").drop("_wanted"), "postings"
+        rows.join(wanted, rows["term"] == wanted["_w"], "left").filter("_w is not null or kind = 'chunk'").drop("_w"), "postings"
     )
+    if members is not None:
+        own = members.select(F.col(c.scope).alias("_s"), F.col(c.chunk).alias("_c"))
+        found = found.join(own, found["_chunk"] == own["_c"]).select(
+            "_chunk", F.col("_s").alias("_scope"), "_dl", "_tl", "term", "kind"
+        )
     postings = found.filter("kind <> 'chunk'")
     statistics = corpus_statistics(found.filter("kind = 'chunk'"))
     frequency = postings.filter("kind = 'body'").groupBy("_scope", "term").agg(F.count(F.lit(1)).alias("_df"))

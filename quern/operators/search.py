@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from quern.functions.text import is_blank
 from quern.operators import bm25
 from quern.operators.filters import SCORE_THRESHOLD, in_knowledge_bases, in_scope, metadata_column_matches
-
 from quern.operators.ranking import CANDIDATES, clamp_top_k, min_max, reciprocal_rank_fusion, top_k, weighted_fusion
+from quern.session import materialize
 
 #: ``(query, record) pairs -> rerank_score``; pairs without one are dropped.
 Reranker = Callable[[DataFrame], DataFrame]
@@ -44,11 +44,11 @@ def valid_queries(queries: DataFrame) -> DataFrame:
     )
 
 
-def scope_candidates(records: DataFrame, queries: DataFrame) -> DataFrame:
-    """``scope`` and the record's columns for each record in each distinct scope.
+def scope_members(records: DataFrame, queries: DataFrame) -> DataFrame:
+    """``scope, record_id`` of each record in each distinct scope, written once.
 
-    Scopes are a stated set, as the queries are; every record is tested against them in
-    one pass and kept once per scope that it is in.
+    Scopes are a stated set, as the queries are; every record's narrow columns are tested
+    against them in one pass. Texts and vectors do not take part.
     """
     scopes = queries.select("scope", *(F.col(c).alias(f"_{c}") for c in _SCOPE)).dropDuplicates(["scope"])
     reserved = {
@@ -59,27 +59,30 @@ def scope_candidates(records: DataFrame, queries: DataFrame) -> DataFrame:
         & in_knowledge_bases(F.col("_knowledge_base_ids"), F.col("knowledge_base_id"))
         & metadata_column_matches(F.col("_filters"), F.col("metadata"), reserved)
     )
-    return records.join(scopes, F.coalesce(inside, F.lit(False))).drop(*(f"_{c}" for c in _SCOPE))
+    narrow = records.select("record_id", "document_id", "knowledge_base_id", "tenant_id", "org_id", "metadata")
+    return materialize(narrow.join(scopes, F.coalesce(inside, F.lit(False))).select("scope", "record_id"), "scopes")
 
 
-def keyword_hits(candidates: DataFrame, queries: DataFrame) -> DataFrame:
+def keyword_hits(records: DataFrame, members: DataFrame, queries: DataFrame) -> DataFrame:
     columns = bm25.Columns(chunk="record_id", text="content", title="title", scope="scope")
-    return bm25.bm25_scores(candidates, queries, columns)
+    return bm25.bm25_scores(records, queries, columns, members)
 
 
-def vector_hits(candidates: DataFrame, queries: DataFrame, k: int = CANDIDATES, least: float = SCORE_THRESHOLD) -> DataFrame:
+def vector_hits(
+    records: DataFrame, members: DataFrame, queries: DataFrame, k: int = CANDIDATES, least: float = SCORE_THRESHOLD
+) -> DataFrame:
     """The nearest candidates of each query's own scope that reach the threshold."""
     asked = queries.filter(F.size("query_vector") > 0)
-    out = nearest_in_scope(candidates, asked, k, least)
+    out = nearest_in_scope(records, members, asked, k, least)
     return out.select("query_id", "record_id", "score")
 
 
-def nearest_in_scope(candidates: DataFrame, asked: DataFrame, k: int, least: float) -> DataFrame:
+def nearest_in_scope(records: DataFrame, members: DataFrame, asked: DataFrame, k: int, least: float) -> DataFrame:
     from quern.functions.vector import cosine, norm
 
-    left = candidates.filter(F.size("vector") > 0).select("scope", "record_id", "vector", norm(F.col("vector")).alias("_vn"))
+    left = records.filter(F.size("vector") > 0).select("record_id", "vector", norm(F.col("vector")).alias("_vn"))
     right = asked.select("query_id", "scope", "query_vector", norm(F.col("query_vector")).alias("_qn"))
-    pairs = left.join(right, "scope").filter(F.size("vector") == F.size("query_vector"))
+    pairs = left.join(members, "record_id").join(right, "scope").filter(F.size("vector") == F.size("query_vector"))
     score = cosine(F.col("vector"), F.col("query_vector"), F.col("_vn"), F.col("_qn"))
     scored = pairs.select("query_id", "record_id", score.alias("score")).filter(F.col("score") >= least)
     return top_k(scored, k, tie="record_id")
@@ -96,14 +99,14 @@ def search(records: DataFrame, queries: DataFrame, mode: str = "keyword", *, rer
     have no hits.
     """
     asked = valid_queries(queries)
-    candidates = scope_candidates(records, asked)
+    members = scope_members(records, asked)
     if mode == "keyword":
-        scored = keyword_hits(candidates, asked).withColumn("score_source", F.lit("keyword"))
+        scored = keyword_hits(records, members, asked).withColumn("score_source", F.lit("keyword"))
     elif mode == "vector":
-        scored = vector_hits(candidates, asked).withColumn("score_source", F.lit("vector"))
+        scored = vector_hits(records, members, asked).withColumn("score_source", F.lit("vector"))
     elif mode == "hybrid":
-        near = vector_hits(candidates, asked)
-        words = keyword_hits(candidates, asked)
+        near = materialize(vector_hits(records, members, asked), "near")
+        words = materialize(keyword_hits(records, members, asked), "words")
         served = near.select("query_id").distinct()
         both = words.join(served, "query_id", "left_semi")
         rest = words.join(served, "query_id", "left_anti").withColumn("score_source", F.lit("keyword"))
@@ -141,19 +144,19 @@ def lexical_reranker(pairs: DataFrame) -> DataFrame:
 def search_rounds(
     turns: DataFrame, find: Callable[[DataFrame], DataFrame], *, most: int = 3, least: float = 0.3
 ) -> DataFrame:
-    """Searches of an agent's turns: the rewritten query first, then one sub-query a round
-    for turns whose hits so far do not reach the threshold; ``most`` rounds at most.
+    """Searches of an agent's turns: the rewritten query first, then one other sub-query a
+    round for turns whose hits so far do not reach the threshold; ``most`` rounds at most.
 
     ``turns``: query_id, rewritten, sub_queries. ``find`` maps (query_id, query) to hits with
     a score. Hits of all rounds stay, with their ``round``, and are not deduplicated. The
-    loop runs on the driver; every round is one plan.
+    loop runs on the driver; each round's hits are written, so no round is searched twice.
     """
     out = None
-    waiting = turns
+    others = F.filter("sub_queries", lambda q: q != F.col("rewritten"))
+    waiting = turns.select("query_id", F.concat(F.array("rewritten"), others).alias("queries"))
     for number in range(most):
-        query = F.col("rewritten") if number == 0 else F.get("sub_queries", F.lit(number))
-        asked = waiting.select("query_id", query.alias("query")).filter(F.col("query").isNotNull())
-        hits = find(asked).withColumn("round", F.lit(number))
+        asked = waiting.select("query_id", F.get("queries", F.lit(number)).alias("query")).filter("query is not null")
+        hits = materialize(find(asked).withColumn("round", F.lit(number)), "round")
         out = hits if out is None else out.unionByName(hits)
         good = hits.filter(F.col("score") >= least).select("query_id").distinct()
         waiting = waiting.join(good, "query_id", "left_anti")
