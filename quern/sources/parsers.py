@@ -6,6 +6,7 @@ import shutil
 import subprocess
 import tempfile
 import zipfile
+import zlib
 from io import BytesIO
 from xml.etree import ElementTree
 
@@ -21,7 +22,7 @@ SECTION = "struct<section_id:string,title:string,level:int,text:string,start_off
 #: Error codes of a parse, each with whether trying again may help.
 ERRORS = {
     "file-read-failed": True, "unsupported-scheme": False, "bad-data-uri": False, "bad-archive": False,
-    "dependency-missing": False,
+    "dependency-missing": False, "too-large": False, "timed-out": True,
 }
 
 
@@ -131,10 +132,16 @@ def parse_text(sources: DataFrame) -> DataFrame:
     return parsed.select("document_id", shown.alias("title"), "text", "sections")
 
 
+#: Bytes that a part of an archive may have when it is unpacked.
+MOST_UNPACKED = 1 << 28
+
+
 def _docx(data: bytes | None) -> dict:
     try:
         with zipfile.ZipFile(BytesIO(data or b"")) as archive:
             names = set(archive.namelist())
+            if any(i.file_size > MOST_UNPACKED for i in archive.infolist()):
+                return {"title": None, "text": None, "error": "too-large"}
             body = ElementTree.fromstring(archive.read("word/document.xml"))
             title = ""
             if "docProps/core.xml" in names:
@@ -142,7 +149,7 @@ def _docx(data: bytes | None) -> dict:
                     if node.tag.rpartition("}")[2].lower() == "title":
                         title = (node.text or "").strip()
                         break
-    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+    except (zipfile.BadZipFile, zlib.error, KeyError, RuntimeError, NotImplementedError, EOFError, ElementTree.ParseError):
         return {"title": None, "text": None, "error": "bad-archive"}
     paragraphs = []
     for paragraph in body.iter():
@@ -183,7 +190,10 @@ def _pdf(data: bytes | None) -> dict:
     with tempfile.NamedTemporaryFile(suffix=".pdf") as held:  # read back by the same task only
         held.write(data or b"")
         held.flush()
-        done = subprocess.run([binary, "-layout", held.name, "-"], capture_output=True, timeout=60, check=False)
+        try:
+            done = subprocess.run([binary, "-layout", held.name, "-"], capture_output=True, timeout=60, check=False)
+        except subprocess.TimeoutExpired:
+            return {"text": None, "error": "timed-out"}
     if done.returncode:
         return {"text": None, "error": "file-read-failed"}
     return {"text": done.stdout.decode("utf-8", "replace"), "error": None}

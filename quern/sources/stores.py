@@ -19,9 +19,23 @@ class TableStore:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
+    def _files(self, name: str):
+        """The file system and the paths of a table, its successor and its predecessor."""
+        jvm = self.spark._jvm
+        paths = [jvm.org.apache.hadoop.fs.Path(f"{self.path(name)}{end}") for end in ("", "__new", "__old")]
+        return paths[0].getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), *paths
+
     def exists(self, name: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        """Whether there is a table; one whose replacement was cut short is put back first:
+        the successor if it is complete, else the predecessor."""
+        system, now, new, old = self._files(name)
+        if system.exists(now):
+            return True
+        done = self.spark._jvm.org.apache.hadoop.fs.Path(new, "_SUCCESS")
+        for left in ([new] if system.exists(done) else []) + ([old] if system.exists(old) else []):
+            if system.rename(left, now):
+                return True
+        return False
 
     def read(self, name: str) -> DataFrame:
         if not self.exists(name):
@@ -32,16 +46,18 @@ class TableStore:
         rows.write.format(self.format).mode("append").save(self.path(name))
 
     def overwrite(self, name: str, rows: DataFrame) -> None:
-        """Replace a table, also by rows that are computed from it: the new files are
-        written beside the old ones and renamed when complete."""
-        fresh = f"{self.path(name)}__new"
-        rows.write.format(self.format).mode("overwrite").save(fresh)
-        jvm = self.spark._jvm
-        old, new = jvm.org.apache.hadoop.fs.Path(self.path(name)), jvm.org.apache.hadoop.fs.Path(fresh)
-        system = old.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        """Replace a table, also by rows that are computed from it: the new files are written
+        beside the old ones, the old ones are set aside, the new ones are put in place and
+        only then the old ones are deleted. ``exists`` mends a stop at any point."""
+        self.exists(name)
+        system, now, new, old = self._files(name)
+        rows.write.format(self.format).mode("overwrite").save(f"{self.path(name)}__new")
+        system.delete(old, True)
+        if system.exists(now) and not system.rename(now, old):
+            raise OSError(f"could not set {now} aside")
+        if not system.rename(new, now):
+            raise OSError(f"could not put {new} in place")
         system.delete(old, True)
-        if not system.rename(new, old):
-            raise OSError(f"could not put {fresh} in place")
 
     def overwrite_partitions(self, name: str, rows: DataFrame, by: list[str]) -> None:
         """Replace only the partitions that ``rows`` has."""

@@ -24,22 +24,34 @@ def start_runner(
     limit: int | None = LIMIT,
     interval: str | None = INTERVAL,
     table: str = "tasks",
+    ticks: bool = True,
 ) -> StreamingQuery:
     """Merge each batch of task rows into the store, claim what can run and execute it.
 
     A batch is one writer: what arrives is merged by the latest update, claims are decided
     from the merged table, and ``execute`` returns the claimed tasks in their next state.
-    Writing a batch twice gives the same table, so a restart after a failure is safe.
+    Writing a batch twice gives the same table, so a restart after a failure is safe. With
+    an interval, ``ticks`` of a clock make a batch of every interval, so due retries and
+    expired leases do not wait for new tasks; a round that changes nothing writes nothing.
     """
+    if interval and ticks:
+        clock = events.sparkSession.readStream.format("rate").option("rowsPerSecond", 1).load()
+        blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema]
+        events = events.unionByName(clock.select(*blank))
 
     def run(batch: DataFrame, number: int) -> None:
-        merged = last_writer_wins(store.read(table), batch, "task_id", "updated_at").persist()
+        fresh = batch.filter("task_id is not null").persist()
+        merged = last_writer_wins(store.read(table), fresh, "task_id", "updated_at").persist()
         claimed = claim(merged, F.current_timestamp(), limit).persist()
         try:
+            acts = F.col("claim").isin("claimed", "dead-letter")
+            if fresh.isEmpty() and claimed.filter(acts).isEmpty():
+                return
             done = execute(claimed.filter("claim = 'claimed'").drop("claim"))
             rest = claimed.filter("claim <> 'claimed'").drop("claim").select(*done.columns)
             store.overwrite(table, rest.unionByName(done))
         finally:
+            fresh.unpersist()
             claimed.unpersist()
             merged.unpersist()
 
