@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,17 +121,27 @@ def intent_matches(expression: str) -> tuple[str, bool]:
     return f"(?{flags}){found.group(1)}", True
 
 
+def _compiles(engine, pattern: str) -> bool:
+    """Whether the engine that will run the expression can read it."""
+    try:
+        engine.compile(pattern)
+    except IllegalArgumentException:
+        return False
+    return True
+
+
 def matching_intents(queries: DataFrame, intents: list[dict]) -> DataFrame:
     """``query_id, intent_id, priority, knowledge_base_ids`` of enabled intents whose route
     expression matches; intents are a small table of rules."""
     text = F.lower("query")
     out = None
+    engine = queries.sparkSession._jvm.java.util.regex.Pattern
     for intent in intents:
         if not intent["enabled"] or not intent["route_expression"].strip():
             continue
         pattern, is_regex = intent_matches(intent["route_expression"])
-        if is_regex and not pattern:
-            continue
+        if is_regex and not (pattern and _compiles(engine, pattern)):
+            continue  # a rule that cannot be read matches nothing and stops no other
         hit = text.rlike(pattern) if is_regex else F.contains(text, F.lit(pattern))
         item = F.when(
             hit,

@@ -205,16 +205,16 @@ def task_summary(tasks: DataFrame) -> DataFrame:
 def intent_tree(intents: DataFrame) -> DataFrame:
     """Intents with ``depth``, ``root_id`` and ``path`` (names from the root), by a recursive
     query over the parent links; intents below an unknown parent are left out."""
-    intents.createOrReplaceTempView("quern_intents")
     return intents.sparkSession.sql(
         """
         WITH RECURSIVE tree(intent_id, name, priority, depth, root_id, path) MAX RECURSION LEVEL 100 AS (
-          SELECT intent_id, name, priority, 0, intent_id, name FROM quern_intents WHERE parent_intent_id IS NULL
+          SELECT intent_id, name, priority, 0, intent_id, name FROM {intents} WHERE parent_intent_id IS NULL
           UNION ALL
           SELECT i.intent_id, i.name, i.priority, t.depth + 1, t.root_id, concat(t.path, '/', i.name)
-          FROM quern_intents i JOIN tree t ON i.parent_intent_id = t.intent_id)
+          FROM {intents} i JOIN tree t ON i.parent_intent_id = t.intent_id)
         SELECT * FROM tree
-        """
+        """,
+        intents=intents,
     )
 
 
