@@ -110,7 +110,7 @@ def deterministic_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _inputs(spark, sf_dir)
-    artifacts = indexing.deterministic_provider(indexing.embedding_inputs(chunks.filter("char_count >= 300")))
+    artifacts = indexing.deterministic_provider(indexing.embedding_inputs(chunks))
     docs = fixtures.documents(spark, sf_dir).withColumn("index_name", F.lit(" "))
     records = indexing.index_records(docs, chunks, artifacts)
     return records.select(
@@ -219,11 +219,11 @@ def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as index records with deterministic vectors for texts of 1,000 characters or more."""
+    """Documents as index records with deterministic vectors."""
     docs = fixtures.labelled_documents(spark, sf_dir).withColumns(
         {"chunk_index": F.lit(0), "char_count": F.col("n_chars")}
     )
-    made = indexing.deterministic_provider(indexing.embedding_inputs(docs.filter("n_chars >= 1000"))).select("chunk_id", "vector")
+    made = indexing.deterministic_provider(indexing.embedding_inputs(docs)).select("chunk_id", "vector")
     return docs.join(made, "chunk_id", "left").select(
         F.col("doc_id").alias("record_id"), "knowledge_base_id", "document_id", "chunk_id", "tenant_id", "org_id",
         F.lit("").alias("title"), F.col("text").alias("content"), "metadata",
@@ -322,7 +322,7 @@ kw AS (SELECT query_id, doc_id AS record_id, sum(ln((n - df + 0.5) / (df + 0.5)
   FROM asked JOIN freq USING (sc, term) JOIN post USING (sc, term) JOIN st USING (sc) GROUP BY 1, 2),
 dv AS (SELECT doc_id, list_transform(range(8), lambda i: (('0x' || substr(sha256('mock-embedding-v1|doc_' || doc_id || '|'
   || sha256(text) || '|' || n_chars), 1 + 8 * i, 8))::UBIGINT % 10000 / 10000.0::DOUBLE)::FLOAT::DOUBLE) AS v
-  FROM documents WHERE n_chars >= 1000),
+  FROM documents),
 qv AS (SELECT item_id AS query_id, item_id % 3 AS sc, list_transform(range(1, 9), lambda k: ((item_id * 7 + k * k) % 10 / 10.0::DOUBLE)::FLOAT::DOUBLE)
   AS q FROM benchmark WHERE item_id % 4 <> 0),
 vec AS (SELECT query_id, doc_id AS record_id, list_cosine_similarity(v, q) AS score, 'vector' AS score_source
@@ -403,8 +403,7 @@ t AS (SELECT *, regexp_replace(part, '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g')
 n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS chunk_index FROM t WHERE body <> '')
 SELECT source || '::doc_' || doc_id || '_chunk_' || (chunk_index + 1) AS record_id, source AS knowledge_base_id,
   'doc_' || doc_id AS document_id, chunk_index, 'doc_' || doc_id AS title, source AS index_name, lang AS tenant_id,
-  length(body) AS n_chars, CASE WHEN length(body) >= 300 THEN 8 ELSE 0 END AS dimensions,
-  CASE WHEN length(body) >= 300 THEN 'mock-embedding-v1' ELSE 'not-executed' END AS model,
+  length(body) AS n_chars, 8 AS dimensions, 'mock-embedding-v1' AS model,
   (k * 540 + lead)::VARCHAR AS start FROM n""",
     "markdown_sections": """
 WITH l AS (SELECT doc_id, unnest(string_split(trim(text, e' \\n\\t\\r'), chr(10))) AS line,
