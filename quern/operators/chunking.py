@@ -7,13 +7,15 @@ cuts a character then shows the replacement character at its edge).
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.columns import let
-from quern.functions.text import GO_SPACE, unicode_trim
-from quern.session import ship_package
+from quern.functions.text import GO_SPACE, sentences, unicode_trim
+from quern.operators.indexing import embedding_inputs
+from quern.session import materialize, ship_package
 
 SEGMENT = "struct<text:string,start:int,stop:int>"
 
@@ -217,8 +219,10 @@ def structural_blocks(docs: DataFrame, key: str = "document_id", text: str = "te
 # --- semantic merging ------------------------------------------------------------------
 
 
-def semantic_breakpoints(vectors: DataFrame, key: str, order: str, vector: str = "vector", least: float = 0.6) -> DataFrame:
-    """``key, order, breaks``: whether a sentence is unlike the one before it (cosine below
+def semantic_breakpoints(
+    vectors: DataFrame, key: str, order: str, vector: str = "vector", least: float = 0.6, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """``key, order, breaks`` (and the columns to keep): whether a sentence is unlike the one before it (cosine below
     the threshold, or not comparable)."""
     from quern.functions.vector import cosine
 
@@ -227,7 +231,7 @@ def semantic_breakpoints(vectors: DataFrame, key: str, order: str, vector: str =
     similarity = cosine(before, F.col(vector))
     first = F.row_number().over(window) == 1
     return vectors.withColumn("_first", first).withColumn("_s", similarity).select(
-        key, order, (~F.col("_first") & (F.col("_s").isNull() | (F.col("_s") < least))).alias("breaks")
+        key, order, (~F.col("_first") & (F.col("_s").isNull() | (F.col("_s") < least))).alias("breaks"), *keep
     )
 
 
@@ -299,10 +303,39 @@ def split_list(text: str, start: int, stop: int, target: int) -> list[tuple[str,
     return out
 
 
-def semantic_segments(blocks: DataFrame, key: str = "document_id", target: int = 1200) -> DataFrame:
-    """``key, block, segment, text, start, stop``: blocks within the target stay; longer
-    lists are cut between items, longer paragraphs into windows with a tenth of overlap,
-    and other kinds stay whole."""
+def _by_similarity(paragraphs: DataFrame, key: str, target: int, provider, least: float) -> DataFrame:
+    """``_at, _merged``: sentences of long paragraphs (``_at`` is unique) joined where their
+    vectors are alike; paragraphs of which a sentence has no vector are left out."""
+    parted = paragraphs.select("_at", key, F.posexplode(sentences(F.col("text"))).alias("chunk_index", "s"))
+    rows = parted.select(
+        "_at", F.col(key).cast("string").alias("document_id"), F.concat_ws("_sent_", "_at", "chunk_index").alias("chunk_id"), "chunk_index",
+        F.col("s.text").alias("text"), F.length("s.text").alias("char_count"), "s",
+    )
+    vectors = provider(embedding_inputs(rows)).select("chunk_id", "vector")
+    compared = semantic_breakpoints(rows.join(vectors, "chunk_id", "left"), "_at", "chunk_index", least=least, keep=("s", "vector"))
+    whole = compared.groupBy("_at").agg(
+        F.array_sort(F.collect_list(F.struct("chunk_index", "s"))).alias("spans"),
+        F.collect_list(F.when(F.col("breaks"), F.col("chunk_index"))).alias("starts"),
+        F.count_if(F.coalesce(F.size("vector"), F.lit(0)) > 0).alias("n"),
+    )
+    spans = F.transform("spans", lambda x: x["s"])
+    return whole.filter((F.size("spans") > 1) & (F.size("spans") == F.col("n"))).select(
+        "_at", merge_sentences(spans, F.col("starts"), target).alias("_merged")
+    )
+
+
+def semantic_segments(
+    blocks: DataFrame,
+    key: str = "document_id",
+    target: int = 1200,
+    provider: Callable[[DataFrame], DataFrame] | None = None,
+    least: float = 0.6,
+) -> DataFrame:
+    """``key, block, segment, text, start, stop``: blocks within the target stay; longer lists
+    are cut between items, longer paragraphs where neighbouring sentences are unlike (by the
+    vectors of ``provider``, as for ``indexing.embed``) and, without a provider, vectors for
+    all sentences or a second segment, into windows with a tenth of overlap; other kinds
+    stay whole. The blocks are written once and read for each kind."""
     ship_package(blocks.sparkSession)
 
     @F.pandas_udf("array<struct<text:string,start:int,stop:int>>")
@@ -315,14 +348,27 @@ def semantic_segments(blocks: DataFrame, key: str = "document_id", target: int =
 
         return pd.Series([one(*row) for row in zip(text, start.tolist(), stop.tolist())])
 
+    blocks = materialize(blocks, "blocks")
     long = F.length("text") > target
-    same = F.array(F.struct("text", F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop")))
-    windows = window_segments(F.col("text"), target, target // 10, "byte", F.col("start").cast("int"))
-    is_list = blocks.filter(long & (F.col("type") == "list"))
-    others = blocks.filter(~(long & (F.col("type") == "list")))
-    plain = others.withColumn("_s", F.when(long & (F.col("type") == "paragraph"), windows).otherwise(same))
-    cut = is_list.withColumn("_s", F.coalesce(lists("text", "start", "stop"), windows))
-    return plain.unionByName(cut).select(
+    first = F.col("start").cast("int")
+    same = F.array(F.struct("text", first.alias("start"), F.col("stop").cast("int").alias("stop")))
+    windows = window_segments(F.col("text"), target, target // 10, "byte", first)
+    listed = blocks.filter(long & (F.col("type") == "list"))
+    cut = listed.withColumn("_s", F.coalesce(lists("text", "start", "stop"), windows))
+    others = blocks.filter(~(long & F.col("type").isin("list", "paragraph"))).withColumn("_s", same)
+    paragraphs = blocks.filter(long & (F.col("type") == "paragraph"))
+    if provider is None:
+        parted = paragraphs.withColumn("_s", windows)
+    else:
+        at = F.concat_ws("_block_", F.col(key).cast("string"), F.col("block").cast("string"))
+        named = paragraphs.withColumn("_at", at)
+        merged = _by_similarity(named, key, target, provider, least)
+        moved = F.transform(
+            "_merged", lambda x: F.struct(x["text"].alias("text"), (x["start"] + first).alias("start"), (x["stop"] + first).alias("stop"))
+        )
+        several = F.coalesce(F.size("_merged"), F.lit(0)) > 1
+        parted = named.join(merged, "_at", "left").withColumn("_s", F.when(several, moved).otherwise(windows)).drop("_at", "_merged")
+    return others.unionByName(cut).unionByName(parted).select(
         F.col(key), "block", F.posexplode("_s").alias("segment", "s")
     ).select(key, "block", "segment", "s.text", "s.start", "s.stop")
 
@@ -337,17 +383,19 @@ def chunk_documents(
     text: str = "text",
     sections: str | None = None,
     unit: str = "char",
+    provider: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """``key, chunk_id, chunk_index, text, char_count, start, stop`` (and ``section_path``).
 
-    Strategies: paragraph (also for unknown names), recursive, semantic. Blank documents
+    Strategies: paragraph (also for unknown names), recursive, semantic (which cuts long
+    paragraphs by the vectors of a ``provider``, if there is one). Blank documents
     give no chunk. Chunk numbers follow the places in the text.
     """
     target, overlap = chunk_parameters(target, overlap)
     named = (strategy or "").strip().lower()
     rows = docs.filter(unicode_trim(F.coalesce(F.col(text), F.lit(""))) != "")
     if named == "semantic":
-        parts = semantic_segments(structural_blocks(rows, key, text), key, target)
+        parts = semantic_segments(structural_blocks(rows, key, text), key, target, provider)
         segments = F.array(F.struct("text", "start", "stop"))
         parts = parts.select(key, "block", "segment", F.explode(enforce_size(segments, target, overlap, "byte")).alias("s"))
         order = Window.partitionBy(key).orderBy("block", "segment", "s.start")

@@ -86,7 +86,7 @@ def sub_query_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two terms replaced with their case kept; row-wise Python is the comparison (tests)."""
+    """Two terms replaced with their case kept."""
     rewrite = planning.apply_mappings([("the", "THE-Term"), ("of", "from"), ("", "x")])
     return _said(spark, sf_dir).select("message_id", F.md5(rewrite("content")).alias("text_md5"))
 
@@ -357,4 +357,8 @@ SELECT message_id, go AS should_retrieve, CASE WHEN go THEN 'go-executor' ELSE '
 SELECT a, round({_JACCARD}, 6) AS jaccard FROM p""",
     "question_keywords": f"""WITH k AS (SELECT doc_id, {_KEYS.format(t='text')} AS k FROM documents)
 SELECT doc_id, len(k)::INT AS n, md5(array_to_string(list_sort(k), ' ')) AS words_md5 FROM k""",
+    "query_mapping": """WITH RECURSIVE m AS (SELECT conv_id || ':' || turn AS message_id, text AS t, 0 AS k FROM conversations WHERE role IN ('user', 'assistant')
+  UNION ALL SELECT message_id, regexp_replace(t, p, r, 'g'), k + 1 FROM m JOIN (VALUES (0, '\\bthe\\b', 'the-term'), (1, '\\bTHE\\b', 'THE-TERM'),
+    (2, '\\b(?:The|tHe|thE|THe|ThE|tHE)\\b', 'THE-Term'), (3, '\\b(?:of|Of|oF)\\b', 'from'), (4, '\\bOF\\b', 'FROM')) AS v(n, p, r) ON n = k)
+SELECT message_id, md5(t) AS text_md5 FROM m WHERE k = 5""",
 }
