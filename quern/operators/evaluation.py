@@ -16,8 +16,10 @@ def eval_retrieve(cases: DataFrame, corpus: DataFrame, k: int = 6) -> DataFrame:
     asked = cases.select("case_id", "knowledge_base_id", eval_terms(F.col("question")).alias("terms"))
     hay = F.lower(F.concat_ws(" ", "title", "content"))
     texts = corpus.select(F.col("knowledge_base_id").alias("_kb"), "content", "corpus_pos", hay.alias("_hay"), F.lower("title").alias("_title"))
-    scope = F.col("knowledge_base_id").isNull() | (F.col("knowledge_base_id") == F.col("_kb"))
-    pairs = texts.join(asked, scope)
+    # cases with a base meet its texts by an equi-join; only those without one, a stated set, meet all
+    own = texts.join(asked.filter("knowledge_base_id is not null"), F.col("knowledge_base_id") == F.col("_kb"))
+    free = asked.filter("knowledge_base_id is null")
+    pairs = own if free.isEmpty() else own.unionByName(texts.join(free, F.lit(True)))
     found = F.size(F.filter("terms", lambda t: F.contains(F.col("_hay"), t)))
     titled = F.size(F.filter("terms", lambda t: F.contains(F.col("_title"), t)))
     scored = pairs.select("case_id", "content", "corpus_pos", (found + 0.5 * titled).alias("score")).filter("score > 0")

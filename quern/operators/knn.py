@@ -9,8 +9,8 @@ from quern.functions.vector import cosine, dimension_problem, norm
 from quern.operators.filters import SCORE_THRESHOLD
 from quern.operators.ranking import top_k
 
-#: Queries per pass; a pass's queries are broadcast, so their number is bounded.
-BLOCK = 1000
+#: Queries per pass, and bytes of their vectors; a pass's queries are broadcast.
+BLOCK, BLOCK_BYTES = 1000, 16 << 20
 
 
 def cosine_scores(
@@ -21,14 +21,18 @@ def cosine_scores(
     vector: str = "vector",
     query: str = "query_id",
     query_vector: str = "query_vector",
+    broadcast: bool = False,
 ) -> DataFrame:
     """``query, record, score`` of every pair of equal dimensions: the stated query set
-    against all records. Norms are computed once per row, before the pairing."""
+    against all records. Norms are computed once per row, before the pairing. ``broadcast``
+    is for queries whose number and size the caller has checked."""
     left = records.select(F.col(record).alias("_record"), F.col(vector).alias("_v"), norm(F.col(vector)).alias("_vn"))
     right = queries.select(
         F.col(query).alias("_query"), F.col(query_vector).alias("_q"), norm(F.col(query_vector)).alias("_qn")
     )
-    pairs = left.join(F.broadcast(right), (F.size("_v") == F.size("_q")) & (F.size("_v") > 0))
+    if broadcast:
+        right = F.broadcast(right)
+    pairs = left.join(right, (F.size("_v") == F.size("_q")) & (F.size("_v") > 0))
     score = cosine(F.col("_v"), F.col("_q"), F.col("_vn"), F.col("_qn"))
     return pairs.select(F.col("_query").alias(query), F.col("_record").alias(record), score.alias("score"))
 
@@ -44,14 +48,17 @@ def nearest(
     query: str = "query_id",
     query_vector: str = "query_vector",
     block: int = BLOCK,
+    digits: int | None = None,
 ) -> DataFrame:
-    """The ``k`` nearest records of each query, with ``rank``; none below ``least``.
+    """The ``k`` nearest records of each query, with ``rank``; none below ``least``. Scores may
+    be rounded to ``digits`` before they are ranked.
 
-    More than ``block`` queries are taken in blocks (by a hash of the query), each
-    broadcast on its own; every block keeps only its top ``k`` before the union.
+    More than ``block`` queries, or ``BLOCK_BYTES`` of vectors, are taken in blocks (by a hash
+    of the query), each broadcast on its own; every block keeps only its top ``k`` before
+    the union.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // block))
+    found = queries.agg(F.count(F.lit(1)).alias("n"), F.sum(F.greatest(F.size(query_vector), F.lit(0))).alias("values")).first()
+    blocks = max(1, -(-found.n // block), -(-8 * (found["values"] or 0) // BLOCK_BYTES))
     if blocks == 1:
         parts = [queries]
     else:
@@ -59,9 +66,11 @@ def nearest(
         parts = [queries.filter(numbered == i) for i in range(2 * blocks)]
     out = None
     for part in parts:
-        scored = cosine_scores(records, part, record=record, vector=vector, query=query, query_vector=query_vector)
+        scored = cosine_scores(records, part, record=record, vector=vector, query=query, query_vector=query_vector, broadcast=True)
         if least is not None:
             scored = scored.filter(F.col("score") >= least)
+        if digits is not None:
+            scored = scored.withColumn("score", F.round("score", digits))
         best = top_k(scored, k, by=(query,), tie=record)
         out = best if out is None else out.unionByName(best)
     return out

@@ -43,6 +43,10 @@ def create_tasks(existing: DataFrame, requests: DataFrame) -> DataFrame:
     return joined.select("idempotency_key", F.coalesce("_old", "_first").alias("task_id"), outcome.alias("outcome"))
 
 
+#: Claimed ids that are sent to every task; more are joined as Spark chooses.
+MOST_BROADCAST = 100_000
+
+
 def claim(tasks: DataFrame, now: Column, limit: int | None = None, lease_seconds: int = LEASE_SECONDS) -> DataFrame:
     """All tasks with ``claim``: claimed, dead-letter, not-claimable or waiting, and their
     new state. The newest updated runnable tasks are claimed first, ``limit`` at most.
@@ -55,7 +59,7 @@ def claim(tasks: DataFrame, now: Column, limit: int | None = None, lease_seconds
         first = (
             marked.filter("_due").orderBy(F.desc("updated_at"), "task_id").limit(limit).select("task_id", F.lit(True).alias("_chosen"))
         )
-        marked = marked.join(F.broadcast(first), "task_id", "left")
+        marked = marked.join(F.broadcast(first) if limit <= MOST_BROADCAST else first, "task_id", "left")
     else:
         marked = marked.withColumn("_chosen", F.col("_due"))
     chosen = F.coalesce("_chosen", F.lit(False))

@@ -18,8 +18,7 @@ from quern.sources import parsers
 
 
 def knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = knn.cosine_scores(fixtures.vector_records(spark, sf_dir), fixtures.vector_queries(spark, sf_dir))
-    best = top_k(scored.withColumn("score", F.round("score", 6)), 10, tie="record_id")
+    best = knn.nearest(fixtures.vector_records(spark, sf_dir), fixtures.vector_queries(spark, sf_dir), 10, least=None, digits=6)
     return best.select("query_id", "record_id", "score", "rank")
 
 
@@ -30,8 +29,8 @@ def knn_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def knn_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = fixtures.vector_records(spark, sf_dir).filter("knowledge_base_id in ('kb_1', 'kb_4')")
-    scored = knn.cosine_scores(comparable_vectors(records, "vector", 64), fixtures.vector_queries(spark, sf_dir))
-    best = top_k(scored.withColumn("score", F.round("score", 6)), 5, tie="record_id")
+    near = comparable_vectors(records, "vector", 64)
+    best = knn.nearest(near, fixtures.vector_queries(spark, sf_dir), 5, least=None, digits=6)
     return best.select("query_id", "record_id", "score", "rank")
 
 
