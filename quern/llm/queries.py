@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from quern.llm.decontaminate import contamination
 from quern.llm.exact_dedup import exact_groups
 from quern.llm.line_dedup import dedup_lines
+from quern.llm.outliers import (
+    CELLS, COARSE, COVERED, LEAST_ROWS, STATISTICS, STAY, STEPS, UNIT, Estimates, chi_square_quantile, quality_verdicts,
+)
 from quern.llm.packing import pack_documents
 from quern.llm.quality import quality_scores
 from quern.llm.secret_scan import RULES, Rule, scan_secrets, span_digest
@@ -184,6 +187,76 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
   sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (doc_id)
 """
 
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(_documents(spark, sf_dir)).drop("distance")
+
+
+def _op13_sql() -> str:
+    """Statistics, groups and start, then the concentration steps one after another."""
+    floors = list(STATISTICS.values())
+    e, p = Estimates(floors), len(floors)
+
+    def at_share(q: float, cell: str) -> str:
+        return f"min(CASE WHEN run >= {q} * total THEN {cell} END)"
+
+    def estimates(name: str, rows: str) -> str:
+        steps = f"SELECT _group, {', '.join(e.sums)} FROM {rows} GROUP BY _group"
+        for level in e.whitening():
+            steps = f"SELECT *, {', '.join(level)} FROM ({steps})"
+        return f"{name} AS MATERIALIZED (SELECT {', '.join(e.columns)} FROM ({steps}))"
+
+    def limits(name: str, of: str, share: float) -> str:
+        counted = f"SELECT _group, {e.cell} AS c, count(*) AS n FROM v JOIN {of} USING (_group) GROUP BY ALL"
+        running = f"SELECT *, sum(n) OVER (PARTITION BY _group ORDER BY c) AS run, sum(n) OVER (PARTITION BY _group) AS total FROM ({counted})"
+        return f"{name} AS MATERIALIZED (SELECT _group, {at_share(share, 'c')} AS _limit FROM ({running}) GROUP BY _group)"
+
+    melted = " UNION ALL ".join(f"SELECT _group, {i} AS s, floor(_x{i} / {COARSE})::INT AS c, {f * UNIT}**2 AS floor FROM v" for i, f in enumerate(floors))
+    of = [f"max(CASE WHEN s = {i} THEN m END) AS _m{i}, max(CASE WHEN s = {i} THEN w END) AS _w{i}_{i}" for i in range(p)]
+    of += [f"0::DOUBLE AS _w{i}_{j}" for i in range(p) for j in range(i)]
+    parts = [
+        rf"""d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w)),
+twice AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup_lines
+  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+counts AS (SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS n_capitals,
+  coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
+  FROM d JOIN w USING (doc_id) LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
+s AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counts),
+sizes AS (SELECT lang, source, count(*) AS size FROM s WHERE NOT base_failed GROUP BY ALL),
+groups AS (SELECT lang, source, g AS _group FROM (
+  SELECT *, concat(coalesce(lang, '?'), ' ', CASE WHEN size >= {LEAST_ROWS} THEN coalesce(source, '?') ELSE '*' END) AS g FROM sizes)
+  QUALIFY sum(size) OVER (PARTITION BY g) >= {LEAST_ROWS}),
+v AS MATERIALIZED (SELECT _group, doc_id, floor(ln(n_words + 1) * {UNIT} + 0.5)::BIGINT AS _x0,
+  floor(ln((word_chars::DOUBLE + 1) / (n_words + 1)) * {UNIT} + 0.5)::BIGINT AS _x1,
+  floor(sqrt(n_symbols::DOUBLE / greatest(word_chars, 1)) * {UNIT} + 0.5)::BIGINT AS _x2,
+  floor(sqrt(n_capitals::DOUBLE / greatest(word_chars, 1)) * {UNIT} + 0.5)::BIGINT AS _x3,
+  floor(sqrt(n_dup_lines::DOUBLE / greatest(n_lines, 1)) * {UNIT} + 0.5)::BIGINT AS _x4,
+  floor(sqrt(n_repeat_words::DOUBLE / greatest(n_words, 1)) * {UNIT} + 0.5)::BIGINT AS _x5
+  FROM s JOIN groups ON s.lang IS NOT DISTINCT FROM groups.lang AND s.source IS NOT DISTINCT FROM groups.source WHERE NOT base_failed),
+melted AS (SELECT _group, s, c, any_value(floor) AS floor, count(*) AS n FROM ({melted}) GROUP BY _group, s, c),
+quartiles AS (SELECT _group, s, any_value(floor) AS floor, {at_share(0.25, "c")} AS a, {at_share(0.5, "c")} AS b, {at_share(0.75, "c")} AS c FROM (
+  SELECT *, sum(n) OVER (PARTITION BY _group, s ORDER BY c) AS run, sum(n) OVER (PARTITION BY _group, s) AS total FROM melted) GROUP BY _group, s),
+e0 AS MATERIALIZED (SELECT _group, {", ".join(of)} FROM (SELECT _group, s, (b + 0.5::DOUBLE) * {COARSE} AS m,
+  1 / sqrt(((c - a) * ({COARSE}::DOUBLE / 1.349::DOUBLE))**2 + floor) AS w FROM quartiles) GROUP BY _group)"""
+    ]
+    for k in range(STEPS):
+        near = f"(SELECT v.* FROM v JOIN e{k} USING (_group) JOIN l{k} USING (_group) WHERE {e.cell} <= _limit)"
+        parts += [limits(f"l{k}", f"e{k}", COVERED), estimates(f"e{k + 1}", near)]
+    parts.append(limits("middle", f"e{STEPS}", 0.5))
+    scale = f"least(1, {chi_square_quantile(0.5, p)}::DOUBLE / ((_limit + 0.5::DOUBLE) / {CELLS})**2)"
+    parts.append(f"far AS (SELECT doc_id FROM v JOIN e{STEPS} USING (_group) JOIN middle USING (_group) WHERE ({e.distance}) * {scale} > {chi_square_quantile(STAY, p)})")
+    return f"""WITH {(chr(44) + chr(10)).join(parts)}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM far) AS kept FROM s"""
+
+
+OP13_SQL = _op13_sql()
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -195,6 +268,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_decontaminate": op9_decontaminate,
     "op10_secret_scan": op10_secret_scan,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 ORACLE_SQL = {
@@ -203,4 +277,5 @@ ORACLE_SQL = {
     "op5_exact_dedup": OP5_SQL,
     "op9_decontaminate": OP9_SQL,
     "op10_secret_scan": OP10_SQL,
+    "op13_quality_rules": OP13_SQL,
 }
