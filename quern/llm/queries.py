@@ -6,6 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.llm.collocations import collocations
 from quern.llm.decontaminate import contamination
 from quern.llm.exact_dedup import exact_groups
 from quern.llm.line_dedup import dedup_lines
@@ -188,6 +189,31 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 """
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_documents(spark, sf_dir))
+
+
+OP11_SQL = r"""
+WITH w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+f AS MATERIALIZED (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS f FROM (
+  SELECT lang, m, w, unnest(range(1, len(w) - m + 2)) AS i FROM w, (VALUES (1), (2), (3), (4), (5)) t(m) WHERE len(w) >= m) GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND f >= 100),
+cut AS (SELECT lang, m, phrase, a, k, array_to_string(w[:k], ' ') AS left_part, array_to_string(w[k + 1:], ' ') AS right_part
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+s AS (SELECT cut.lang, cut.phrase, a, x.f AS l, y.f AS r, n, k, (1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS score
+  FROM cut JOIN n USING (lang) JOIN f x ON x.lang = cut.lang AND x.phrase = left_part JOIN f y ON y.lang = cut.lang AND y.phrase = right_part
+  QUALIFY row_number() OVER (PARTITION BY cut.lang, cut.phrase ORDER BY score, k) = 1),
+inner_parts AS (SELECT lang, array_to_string(w[i:j], ' ') AS phrase, max(a) AS a FROM (
+  SELECT lang, w, m, a, i, unnest(range(i + 1, m + 1)) AS j FROM (SELECT *, unnest(range(1, m)) AS i FROM c WHERE m > 2)) WHERE j - i + 1 < m GROUP BY ALL),
+kept AS (SELECT s.* FROM s LEFT JOIN inner_parts p ON p.lang = s.lang AND p.phrase = s.phrase WHERE p.a IS NULL OR 100 * p.a < 100 * s.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l,
+  r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM kept QUALIFY rank <= 2000
+"""
+
+
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(_documents(spark, sf_dir)).drop("distance")
 
@@ -268,6 +294,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_decontaminate": op9_decontaminate,
     "op10_secret_scan": op10_secret_scan,
+    "op11_collocations": op11_collocations,
     "op13_quality_rules": op13_quality_rules,
 }
 
@@ -277,5 +304,6 @@ ORACLE_SQL = {
     "op5_exact_dedup": OP5_SQL,
     "op9_decontaminate": OP9_SQL,
     "op10_secret_scan": OP10_SQL,
+    "op11_collocations": OP11_SQL,
     "op13_quality_rules": OP13_SQL,
 }
