@@ -6,6 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.llm.alignment import align_tokens
 from quern.llm.collocations import collocations
 from quern.llm.decontaminate import contamination
 from quern.llm.exact_dedup import exact_groups
@@ -214,6 +215,10 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
 """
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(_documents(spark, sf_dir)).drop("distance")
 
@@ -295,6 +300,7 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_secret_scan": op10_secret_scan,
     "op11_collocations": op11_collocations,
+    "op12_token_alignment": op12_token_alignment,
     "op13_quality_rules": op13_quality_rules,
 }
 
