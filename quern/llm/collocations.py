@@ -16,6 +16,10 @@ Within a task, words get local numbers by their bytes, and a phrase's number com
 the number of its first words and that of its last one: hashes serve the bitmaps alone,
 and two phrases are never taken for one. Counts are combined per block of texts before
 they are shuffled, so a frequent phrase costs one row per block.
+
+Texts are trimmed as passes go on: from the second pass on, each writes only the words that
+lie in a phrase which its tests let through, and the next pass reads these. Texts are thus
+read whole twice.
 """
 
 from __future__ import annotations
@@ -40,7 +44,7 @@ BUCKETS, BLOCK = 1 << 22, 1 << 16
 #: Arrays of counts that one task adds up at a time.
 FAN_IN = 64
 #: Bytes of text that are counted together.
-SLICE = 8 << 20
+SLICE = 4 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
@@ -48,8 +52,10 @@ _KIND = np.zeros(256, np.uint8)
 _KIND[list(SPACES)] = 1
 _KIND[list(ENDS)] = 2
 
-_ROWS = "lang string, phrase string, n long, block int, counts binary, task int"
-_SCHEMA = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64()), ("block", pa.int32()), ("counts", pa.binary()), ("task", pa.int32())])
+_ROWS = "lang string, phrase string, n long, block int, counts binary, task int, text binary"
+_SCHEMA = pa.schema(
+    [("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64()), ("block", pa.int32()), ("counts", pa.binary()), ("task", pa.int32()), ("text", pa.binary())]
+)
 
 
 def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -60,11 +66,19 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _word_hashes(langs: list[str], words: list[bytes]) -> np.ndarray:
+def _word_hashes(lang: str, spelled: pa.Array) -> np.ndarray:
+    """Hashes of the words of a language: sums of their bytes times powers of an odd number,
+    which wrap around at 64 bits."""
     import xxhash
 
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(w, digest(x)) for x, w in zip((x.encode() for x in langs), words)], np.uint64)
+    offsets = np.frombuffer(spelled.buffers()[1], np.int64)[spelled.offset : spelled.offset + len(spelled) + 1]
+    data = np.frombuffer(spelled.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].astype(np.uint64)
+    if not len(data):
+        return np.zeros(len(spelled), np.uint64)
+    starts, lengths = offsets[:-1] - offsets[0], np.diff(offsets)
+    powers = np.cumprod(np.full(int(lengths.max()), 0x9E3779B97F4A7C15, np.uint64))
+    sums = np.add.reduceat((data + np.uint64(1)) * powers[np.arange(len(data)) - np.repeat(starts, lengths)], starts)
+    return _mixed(sums, np.full(1, xxhash.xxh64_intdigest(lang), np.uint64))
 
 
 class Bitmap:
@@ -85,11 +99,11 @@ def places(hashes: np.ndarray, buckets: int, probes: int = 1) -> list[np.ndarray
 
 
 class Words:
-    """The words of a block of texts: numbers by language and bytes, in order, and which
-    words are followed by another of their piece."""
+    """The words of a block of texts of one language: numbers by their bytes, in order, and
+    which words are followed by another of their piece."""
 
-    def __init__(self, langs: pa.Array, texts: pa.Array):
-        texts = pc.fill_null(texts, "").cast(pa.large_binary())
+    def __init__(self, lang: str, texts: pa.Array):
+        texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
         at = offsets - offsets[0]
@@ -102,23 +116,30 @@ class Words:
         opens[edges] = inside[edges]
         closes[edges - 1] = inside[edges - 1]
         starts, stops = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-        lengths = np.r_[0, np.cumsum(stops - starts)]
-        spelled = pa.Array.from_buffers(
-            pa.large_binary(), len(starts), [None, pa.py_buffer(lengths), pa.py_buffer(_LOWER[raw[inside]])]
+        self.lang, self.letters, self.lengths = lang, _LOWER[raw[inside]], stops - starts
+        coded = pa.Array.from_buffers(
+            pa.large_binary(), len(starts), [None, pa.py_buffer(np.r_[0, np.cumsum(self.lengths)]), pa.py_buffer(self.letters)]
         ).dictionary_encode()
-        of_text = np.searchsorted(at, starts, "right") - 1
-        named = pc.fill_null(langs, NO_LANGUAGE).dictionary_encode()
-        lang = named.indices.to_numpy(zero_copy_only=False)[of_text].astype(np.int64) if len(texts) else np.zeros(0, np.int64)
-        pairs = pa.array(lang * max(len(spelled.dictionary), 1) + spelled.indices.to_numpy(zero_copy_only=False)).dictionary_encode()
-        self.number = pairs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        keys = pairs.dictionary.to_numpy(zero_copy_only=False)
-        size = max(len(spelled.dictionary), 1)
-        self.lang = named.dictionary.take(pa.array(keys // size))
-        self.spelled = spelled.dictionary.take(pa.array(keys % size))
-        self.hashes = _word_hashes(self.lang.to_pylist(), self.spelled.to_pylist())
-        ends = np.r_[0, np.cumsum(kind == 2, dtype=np.int64)]
-        self.followed = np.zeros(len(starts), bool)
-        self.followed[:-1] = (ends[starts[1:]] == ends[stops[:-1]]) & (of_text[1:] == of_text[:-1])
+        self.number = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.spelled = coded.dictionary
+        self.hashes = _word_hashes(lang, self.spelled)
+        ends = np.flatnonzero(kind == 2)
+        last = np.searchsorted(stops, np.r_[ends, at[1:-1]], "right") - 1  # the last word before each end
+        self.followed = np.ones(len(starts), bool)
+        self.followed[-1:] = False
+        self.followed[last[last >= 0]] = False
+
+    def trimmed(self, kept: np.ndarray) -> bytes:
+        """The kept words, spaces between those that follow each other and line ends elsewhere."""
+        lengths = self.lengths[kept] + 1
+        out = np.empty(int(lengths.sum()), np.uint8)
+        ends = np.cumsum(lengths) - 1
+        letters = np.ones(len(out), bool)
+        letters[ends] = False
+        out[letters] = self.letters[np.repeat(kept, self.lengths)]
+        joined = self.followed & np.r_[kept[1:], False]
+        out[ends] = np.where(joined[kept], 0x20, 0x0A)
+        return out.tobytes()
 
 
 @dataclass
@@ -164,67 +185,87 @@ def next_level(words: Words, level: Level, k: int) -> Level:
     return Level(out, _mixed(level.hashes[level.number[first]], words.hashes[words.number[first + k - 1]]), first)
 
 
-def _count_rows(langs: pa.Array, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
-    n = len(counts)
-    none = [pa.nulls(n, t) for t in (pa.int32(), pa.binary(), pa.int32())]
-    return pa.RecordBatch.from_arrays([langs.cast(pa.string()), phrases.cast(pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), *none], schema=_SCHEMA)
+def _rows(size: int, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(size, f.type)) for f in _SCHEMA], schema=_SCHEMA)
 
 
 def _block_rows(counts: np.ndarray, task: int):
     for block in range(0, len(counts), BLOCK):
         part = counts[block : block + BLOCK]
         if part.any():
-            yield pa.RecordBatch.from_pylist([{"block": block // BLOCK, "counts": part.tobytes(), "task": task}], schema=_SCHEMA)
+            yield _rows(1, block=pa.array([block // BLOCK], pa.int32()), counts=pa.array([part.tobytes()], pa.binary()), task=pa.array([task], pa.int32()))
+
+
+def by_language(batch: pa.RecordBatch):
+    """The texts of a batch (language, text), a language at a time."""
+    langs = pc.fill_null(batch.column(0), NO_LANGUAGE)
+    for lang in langs.unique():
+        yield lang.as_py(), batch.column(1).filter(pc.equal(langs, lang))
 
 
 def count_pass(rows: DataFrame, k: int, filters, buckets, longest: int, least: int, n_buckets: int) -> DataFrame:
-    """One pass: partial counts of phrases of ``k`` words, and of buckets for k + 1 words.
+    """One pass: partial counts of phrases of ``k`` words, buckets for k + 1 words, and from
+    the second pass on the trimmed texts.
 
-    ``rows``: _lang, _text. ``filters``: a broadcast list of bitmaps of the frequent phrases
-    of 1 to k - 1 words; ``buckets``: a broadcast bitmap for k words (None in the first)."""
+    ``rows``: language and text. ``filters``: a broadcast list of bitmaps of the frequent
+    phrases of 1 to k - 1 words; ``buckets``: a broadcast bitmap for k words (None at first).
+    """
     kind = np.min_scalar_type(2 * least)
 
+    def counted(words: Words, hot: np.ndarray):
+        level = first_level(words)
+        for j in range(2, k + 1):
+            level.keep(filters.value[j - 2].has(level.hashes))
+            level = next_level(words, level, j)
+        if buckets is not None:
+            level.keep(buckets.value.has(level.hashes))
+        counts = np.bincount(level.number[level.number >= 0], minlength=len(level.hashes))
+        seen = np.flatnonzero(counts)
+        if len(seen):
+            at = level.first[seen]
+            parts = [words.spelled.take(pa.array(words.number[at + i])) for i in range(k)]
+            phrases = parts[0] if k == 1 else pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary()))
+            langs = pa.array([words.lang], pa.string()).take(pa.array(np.zeros(len(seen), np.int64)))
+            yield _rows(len(seen), lang=langs, phrase=phrases.cast(pa.binary()).cast(pa.string()), n=pa.array(counts[seen], pa.int64()))
+        if k == longest:
+            return
+        at = longer_places(words, level)
+        if len(at) == 0:
+            return
+        hashes = _mixed(level.hashes[level.number[at]], words.hashes[words.number[at + k]])
+        np.add.at(hot, places(hashes, n_buckets)[0], np.uint32(1))
+        if k > 1:
+            kept = np.zeros(len(words.number), bool)
+            for i in range(k + 1):
+                kept[at + i] = True
+            yield _rows(1, lang=pa.array([words.lang], pa.string()), text=pa.array([words.trimmed(kept)], pa.binary()))
+
     def run(batches):
-        hot = np.zeros(n_buckets, kind)
+        hot = np.zeros(n_buckets, np.uint32)
         for batch in text_slices(batches, 1, SLICE):
-            words = Words(batch.column(0), batch.column(1))
-            if len(words.number) == 0:
-                continue
-            level = first_level(words)
-            for j in range(2, k + 1):
-                level.keep(filters.value[j - 2].has(level.hashes))
-                level = next_level(words, level, j)
-            if buckets is not None:
-                level.keep(buckets.value.has(level.hashes))
-            counts = np.bincount(level.number[level.number >= 0], minlength=len(level.hashes))
-            seen = np.flatnonzero(counts)
-            if len(seen):
-                at = level.first[seen]
-                parts = [words.spelled.take(pa.array(words.number[at + i])) for i in range(k)]
-                phrases = parts[0] if k == 1 else pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary()))
-                yield _count_rows(words.lang.take(pa.array(words.number[at])), phrases, counts[seen])
-            if k < longest:
-                at = longer_places(words, level)
-                hashes = _mixed(level.hashes[level.number[at]], words.hashes[words.number[at + k]])
-                found = np.bincount(places(hashes, n_buckets)[0], minlength=n_buckets)
-                hot = np.minimum(hot + np.minimum(found, least).astype(kind), least).astype(kind)
+            for lang, texts in by_language(batch):
+                words = Words(lang, texts)
+                if len(words.number):
+                    yield from counted(words, hot)
         if k < longest:
-            yield from _block_rows(hot, TaskContext.get().partitionId())
+            yield from _block_rows(np.minimum(hot, least).astype(kind), TaskContext.get().partitionId())
 
     return rows.mapInArrow(run, _ROWS)
 
 
-def marked(frequent: DataFrame, n_buckets: int) -> DataFrame:
-    """The frequent phrases' places in a bitmap, as block rows."""
+def marked(frequent: DataFrame, k: int, n_buckets: int) -> DataFrame:
+    """The places in a bitmap of the frequent phrases of ``k`` words, as block rows."""
 
     def run(batches):
         hot = np.zeros(n_buckets, np.uint8)
         for batch in batches:
-            for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                hashes = _word_hashes([lang] * (n := phrase.count(" ") + 1), phrase.encode().split(b" "))
-                whole = hashes[:1]
-                for i in range(1, n):
-                    whole = _mixed(whole, hashes[i : i + 1])
+            for lang, phrases in by_language(batch):
+                words = pc.split_pattern(phrases.cast(pa.large_string()), " ")
+                hashes = _word_hashes(lang, words.flatten().cast(pa.large_binary()))
+                starts = np.asarray(words.offsets)[:-1] - np.asarray(words.offsets)[0]
+                whole = hashes[starts]
+                for i in range(1, k):
+                    whole = _mixed(whole, hashes[starts + i])
                 for at in places(whole, n_buckets, 2):
                     hot[at] = 1
         yield from _block_rows(hot, TaskContext.get().partitionId())
@@ -282,8 +323,10 @@ def frequent_phrases(
         frequent = materialize(sums.filter(F.col("f") >= least).select("lang", "phrase", F.lit(k).alias("words"), "f"), "frequent")
         found.append(frequent)
         if k < longest:
-            filters = [*filters, bitmap(marked(frequent, n_buckets), 1, n_buckets, 2)]
+            filters = [*filters, bitmap(marked(frequent, k, n_buckets), 1, n_buckets, 2)]
             buckets = bitmap(counted, least, n_buckets, 1)
+        if k > 1:
+            rows = counted.filter("text is not null").select("lang", "text")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)

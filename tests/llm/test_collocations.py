@@ -89,12 +89,16 @@ def test_nothing_frequent_and_empty_tables(spark, empty):
 
 
 def test_words_of_sliced_batches_and_touching_texts():
-    texts = pa.array(["zz", "a b", "c", None, " d", "e.f g"])[1:]
-    words = C.Words(pa.array(["x", "en", "en", "en", "de", None])[1:], texts)
+    texts = pa.array(["zz", "a B", "c", None, " d", "e.f g", ".", "h"])[1:]
+    words = C.Words("en", texts)
     spelled = [words.spelled[int(i)].as_py().decode() for i in words.number]
-    assert spelled == ["a", "b", "c", "d", "e", "f", "g"]
-    assert words.followed.tolist() == [True, False, False, False, False, True, False]
-    assert [words.lang[int(i)].as_py() for i in words.number] == ["en"] * 3 + ["de"] + ["und"] * 3
+    assert spelled == ["a", "b", "c", "d", "e", "f", "g", "h"]
+    assert words.followed.tolist() == [True, False, False, False, False, True, False, False]
+    kept = np.array([True, True, False, False, True, True, False, True])
+    assert words.trimmed(kept) == b"a b\ne\nf\nh\n"
+    assert [(x, y.to_pylist()) for x, y in C.by_language(pa.RecordBatch.from_arrays([pa.array(["x", None, "x"]), pa.array(["a", "b", None])], ["l", "t"]))] == [
+        ("x", ["a", None]), ("und", ["b"]),
+    ]
 
 
 def test_bitmap_has_what_was_marked():
