@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -25,6 +26,8 @@ class Columns:
     query_text: str = "query"
     #: a column of both tables: statistics are those of the chunks of the query's scope
     scope: str | None = None
+    #: from a text to its distinct terms; ``segmentation.tokenizer`` adds a dictionary's words
+    tokenize: Callable[[Column], Column] = tokenize_terms
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -40,9 +43,9 @@ def terms_of(chunks: DataFrame, c: Columns = Columns()) -> DataFrame:
     """``chunk, _terms, _title_terms, _dl, _tl``: distinct terms and their numbers. The body
     is the title and the text."""
     body = F.concat_ws(" ", c.title, c.text) if c.title else F.col(c.text)
-    title = tokenize_terms(F.col(c.title)) if c.title else F.array().cast("array<string>")
+    title = c.tokenize(F.col(c.title)) if c.title else F.array().cast("array<string>")
     scope = F.col(c.scope) if c.scope else F.lit(0)
-    found = chunks.select(F.col(c.chunk).alias("_chunk"), scope.alias("_scope"), tokenize_terms(body).alias("_terms"), title.alias("_title_terms"))
+    found = chunks.select(F.col(c.chunk).alias("_chunk"), scope.alias("_scope"), c.tokenize(body).alias("_terms"), title.alias("_title_terms"))
     return found.withColumns({"_dl": F.size("_terms"), "_tl": F.size("_title_terms")})
 
 
@@ -73,7 +76,7 @@ def bm25_scores(
     terms = terms_of(chunks, c if members is None else replace(c, scope=None))
     scope = F.col(c.scope) if c.scope else F.lit(0)
     asked = queries.select(
-        F.col(c.query).alias("_query"), scope.alias("_scope"), F.explode(tokenize_terms(F.col(c.query_text))).alias("term")
+        F.col(c.query).alias("_query"), scope.alias("_scope"), F.explode(c.tokenize(F.col(c.query_text))).alias("term")
     )
     wanted = asked.select(F.col("term").alias("_w")).distinct()
 

@@ -1,15 +1,21 @@
-"""Stores of domain tables: Parquet as the canonical form, JSON lines for exchange."""
+"""Stores of domain tables: versioned Parquet as the canonical form, JSON lines for exchange."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.schemas import schema
+from quern.sources.versions import VersionedTable
 
 
 class TableStore:
-    """Tables in one folder, with their explicit schemas; a missing table reads as empty."""
+    """Versioned tables in one folder, with their explicit schemas; a missing table reads as
+    empty. See ``versions.VersionedTable`` for what readers and concurrent writers can rely on.
+
+    A table that an earlier release wrote as plain files is read as it is, and takes on
+    versions with its first change.
+    """
 
     def __init__(self, spark: SparkSession, root: str, file_format: str = "parquet"):
         if file_format not in ("parquet", "json", "orc"):
@@ -19,16 +25,19 @@ class TableStore:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def _files(self, name: str):
-        """The file system and the paths of a table, its successor and its predecessor."""
+    def table(self, name: str) -> VersionedTable:
+        return VersionedTable(self.spark, self.path(name), schema(name), self.format)
+
+    def _plain(self, name: str):
+        """The file system and the paths of a plain table, its successor and its predecessor."""
         jvm = self.spark._jvm
         paths = [jvm.org.apache.hadoop.fs.Path(f"{self.path(name)}{end}") for end in ("", "__new", "__old")]
         return paths[0].getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), *paths
 
     def exists(self, name: str) -> bool:
-        """Whether there is a table; one whose replacement was cut short is put back first:
-        the successor if it is complete, else the predecessor."""
-        system, now, new, old = self._files(name)
+        """Whether there is a table; a plain one whose replacement was cut short is put back
+        first: the successor if it is complete, else the predecessor."""
+        system, now, new, old = self._plain(name)
         if system.exists(now):
             return True
         done = self.spark._jvm.org.apache.hadoop.fs.Path(new, "_SUCCESS")
@@ -37,32 +46,39 @@ class TableStore:
                 return True
         return False
 
-    def read(self, name: str) -> DataFrame:
-        if not self.exists(name):
-            return self.spark.createDataFrame([], schema(name))
-        return self.spark.read.format(self.format).schema(schema(name)).load(self.path(name))
+    def read(self, name: str, version: int | None = None) -> DataFrame:
+        table = self.table(name)
+        if self.exists(name) and not table.versions():
+            return self.spark.read.format(self.format).schema(schema(name)).load(self.path(name))
+        return table.read(version)
+
+    def _versioned(self, name: str) -> VersionedTable:
+        """The table, with a first version of its plain files if it has any."""
+        table = self.table(name)
+        if self.exists(name) and not table.versions():
+            table.overwrite(self.read(name))
+        system, _, new, old = self._plain(name)
+        for left in (new, old):
+            system.delete(left, True)
+        return table
 
     def append(self, name: str, rows: DataFrame) -> None:
-        rows.write.format(self.format).mode("append").save(self.path(name))
+        self._versioned(name).append(rows)
 
     def overwrite(self, name: str, rows: DataFrame) -> None:
-        """Replace a table, also by rows that are computed from it: the new files are written
-        beside the old ones, the old ones are set aside, the new ones are put in place and
-        only then the old ones are deleted. ``exists`` mends a stop at any point."""
-        self.exists(name)
-        system, now, new, old = self._files(name)
-        rows.write.format(self.format).mode("overwrite").save(f"{self.path(name)}__new")
-        system.delete(old, True)
-        if system.exists(now) and not system.rename(now, old):
-            raise OSError(f"could not set {now} aside")
-        if not system.rename(new, now):
-            raise OSError(f"could not put {new} in place")
-        system.delete(old, True)
+        """Replace a table, also by rows that are computed from it."""
+        self._versioned(name).overwrite(rows)
+
+    def upsert(self, name: str, rows: DataFrame, *keys: str) -> None:
+        """Replace the rows of the same keys and add the others; only these are written."""
+        self._versioned(name).upsert(rows, list(keys))
+
+    def delete(self, name: str, condition: Column) -> None:
+        self._versioned(name).delete(condition)
 
     def overwrite_partitions(self, name: str, rows: DataFrame, by: list[str]) -> None:
-        """Replace only the partitions that ``rows`` has."""
-        writer = rows.write.format(self.format).mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy(*by).save(self.path(name))
+        """Replace only the rows that share the values of ``by`` with one of ``rows``."""
+        self._versioned(name).upsert(rows, by)
 
     def bootstrap(self, name: str, json_path: str, key: str) -> bool:
         """Fill an empty table from JSON lines whose key is not blank; whether it did."""

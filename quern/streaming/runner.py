@@ -32,7 +32,8 @@ def start_runner(
     from the merged table, and ``execute`` returns the claimed tasks in their next state.
     Writing a batch twice gives the same table, so a restart after a failure is safe. With
     an interval, ``ticks`` of a clock make a batch of every interval, so due retries and
-    expired leases do not wait for new tasks; a round that changes nothing writes nothing.
+    expired leases do not wait for new tasks; a round writes the tasks that it changes, and
+    nothing if there are none.
     """
     if interval and ticks:
         clock = events.sparkSession.readStream.format("rate").option("rowsPerSecond", 1).load()
@@ -49,7 +50,8 @@ def start_runner(
                 return
             done = execute(claimed.filter("claim = 'claimed'").drop("claim"))
             rest = claimed.filter("claim <> 'claimed'").drop("claim").select(*done.columns)
-            store.overwrite(table, rest.unionByName(done))
+            changed = rest.join(fresh.select("task_id"), "task_id", "left_semi").unionByName(rest.join(claimed.filter("claim = 'dead-letter'").select("task_id"), "task_id", "left_semi"))
+            store.upsert(table, changed.unionByName(done).dropDuplicates(["task_id"]), "task_id")
         finally:
             fresh.unpersist()
             claimed.unpersist()
