@@ -29,9 +29,13 @@ def con():
 
 def comparable(frame: pd.DataFrame) -> list[tuple]:
     def plain(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and np.isnan(v)):
+        if v is None or (np.isscalar(v) or v is pd.NaT or v is pd.NA) and pd.isna(v):
             return ""
-        return f"{v:.6f}" if isinstance(v, (float, np.floating)) else str(v)
+        if isinstance(v, (bool, np.bool_)):
+            return str(bool(v))
+        if isinstance(v, (int, float, np.number)):  # numbers as numbers: 120.0 is 120
+            return f"{v:.6f}" if v != int(v) else str(int(v))
+        return str(v)
 
     return sorted(tuple(plain(v) for v in row) for row in frame[sorted(frame.columns)].astype(object).itertuples(index=False))
 
