@@ -89,9 +89,18 @@ def test_stages_against_brute_force(spark, corpus):
     assert sorted((r.doc_id, r.piece, r.ids_crc32) for r in whole) == sorted((r.doc_id, r.piece, r.ids_crc32) for r in rows)
 
 
+def plain(v) -> str:
+    """A value as text: one mark for null, numbers as numbers (120.0 is 120)."""
+    import pandas as pd
+
+    if pd.isna(v):
+        return ""
+    return str(int(v)) if isinstance(v, float) and v == int(v) else str(v)
+
+
 def test_every_operator_is_registered():
     numbers = sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact_copies", "near_copies", "decontaminate", "pack"]
     assert exact_groups and tokenizer_path(WORDS).endswith(WORDS)
@@ -101,8 +110,8 @@ def test_every_operator_is_registered():
 def test_queries_over_the_corpus(spark, corpus, name):
     root, docs, _ = corpus
     result = queries.QUERIES[name](spark, root)
-    n = result.select("doc_id").distinct().count()
-    assert n == len(docs)
+    if "doc_id" in result.columns:
+        assert result.select("doc_id").distinct().count() == len(docs)
     if name in queries.ORACLE_SQL:
         import duckdb
 
@@ -113,5 +122,5 @@ def test_queries_over_the_corpus(spark, corpus, name):
         got = result.toPandas()
         columns = sorted(want.columns)
         assert sorted(got.columns) == columns
-        a, b = (x[columns].astype(str).sort_values(columns).reset_index(drop=True) for x in (got, want))
-        assert a.equals(b)
+        a, b = (sorted(tuple(map(plain, row)) for row in x[columns].astype(object).itertuples(index=False)) for x in (got, want))
+        assert a == b
