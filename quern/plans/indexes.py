@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern import fixtures
+from quern.functions.vector import content_hash, deterministic_vector
 from quern.operators import segmentation
+from quern.operators.bitmaps import All, Any, BitmapIndex, Equals
 from quern.operators.bm25 import Columns
 from quern.operators.postings import PostingsIndex
+from quern.operators.stages import Stage, StageStore
 from quern.operators.vector_index import VectorIndex, recall
 from quern.plans import indexing, retrieval
 from quern.plans.backends import _store
@@ -112,11 +115,56 @@ def versioned_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def _bitmaps(spark: SparkSession, sf_dir: str) -> BitmapIndex:
+    docs = fixtures.labelled_documents(spark, sf_dir)
+    return BitmapIndex.build(docs, _folder(spark, "bitmaps"), record="doc_id", columns=("knowledge_base_id", "tenant_id"))
+
+
+def bitmap_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AND and OR of loose and exact tests, by bitmaps alone."""
+    good = All(Equals("quality", " 1 "), Equals("lang", "EN"))
+    wanted = Any(good, All(Equals("toxic", "1", loose=False), Any(Equals("tenant_id", "de"), Equals("knowledge_base_id", "src3"))))
+    return _bitmaps(spark, sf_dir).records(wanted, "doc_id")
+
+
+def bitmap_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records per value of a key: the numbers of bits."""
+    rows = spark.read.parquet(f"{_bitmaps(spark, sf_dir).path}/bits")
+    return rows.groupBy("key", "value").agg(F.sum(F.bitmap_count("bits")).alias("n"))
+
+
+def _stages() -> list[Stage]:
+    """Texts to paragraphs, paragraphs to vectors."""
+
+    def cut(rows: DataFrame) -> DataFrame:
+        parts = F.filter(F.split("text", "\n"), lambda p: F.trim(p) != "")
+        return rows.select("_key", F.posexplode(parts).alias("chunk_index", "content"))
+
+    def embed(rows: DataFrame) -> DataFrame:
+        found = content_hash(F.col("content"))
+        return rows.select("_key", deterministic_vector(F.lit("m"), F.lit("c"), found, F.length("content")).alias("vector"))
+
+    return [
+        Stage("chunk", "1", ["text"], "chunk_index int, content string", cut),
+        Stage("embed", "1", ["content"], "vector array<float>", embed),
+    ]
+
+
+def resumed_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs, the second over more documents: what each stage worked on, and all chunks."""
+    docs, store = fixtures.documents(spark, sf_dir).select("doc_id", "tenant_id", "text"), StageStore(spark, _folder(spark, "stages"))
+    _, first = store.run_all(_stages(), docs.filter("tenant_id <> 'de'"))
+    chunks, second = store.run_all(_stages(), docs)
+    rows = [(name, first[name], second[name]) for name in first]
+    counted = spark.createDataFrame(rows, "stage string, first_run long, second_run long")
+    return counted.crossJoin(F.broadcast(chunks.agg(F.count(F.lit(1)).alias("n_chunks"), F.count_if(F.size("vector") == 8).alias("n_vectors"))))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         vector_index_search, vector_index_filtered, vector_index_recall, postings_search, postings_segments, dictionary_words,
-        dictionary_search, versioned_upsert,
+        dictionary_search, versioned_upsert, bitmap_filter, bitmap_counts, resumed_stages,
     )
 }
 
@@ -161,6 +209,16 @@ ORACLE_SQL = {
     "postings_search": retrieval.ORACLE_SQL["bm25_search"],
     "postings_segments": retrieval.ORACLE_SQL["bm25_title_boost"],
     "dictionary_words": _words_sql(),
+    "bitmap_filter": """SELECT doc_id FROM documents LEFT JOIN labels USING (doc_id)
+WHERE (quality = 1 AND lang = 'en') OR (toxic = 1 AND (lang = 'de' OR source = 'src3'))""",
+    "bitmap_counts": """WITH m AS (SELECT lang, source, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)),
+p AS (SELECT unnest(['lang', 'tenant_id', 'knowledge_base_id', 'quality', 'toxic']) AS key, unnest([lang, lang, source, quality::VARCHAR, toxic::VARCHAR]) AS value FROM m)
+SELECT key, value, count(*) AS n FROM p WHERE value IS NOT NULL GROUP BY key, value""",
+    "resumed_stages": """WITH c AS (SELECT lang, unnest(string_split(text, chr(10))) AS p FROM documents),
+k AS (SELECT * FROM c WHERE trim(p, ' ') <> ''), n AS (SELECT count(*) AS n FROM k),
+t AS (SELECT 'chunk' AS stage, text AS x, lang FROM documents UNION ALL SELECT 'embed', p, lang FROM k)
+SELECT stage, count(DISTINCT x) FILTER (lang <> 'de') AS first_run, count(DISTINCT x) - count(DISTINCT x) FILTER (lang <> 'de') AS second_run,
+  any_value(n) AS n_chunks, any_value(n) AS n_vectors FROM t, n GROUP BY stage""",
     "versioned_upsert": f"""WITH b AS ({_BASES})
 SELECT 1 AS version, knowledge_base_id, knowledge_base_id AS name, document_count FROM b WHERE knowledge_base_id < 'src5'
 UNION ALL SELECT v, knowledge_base_id, CASE WHEN knowledge_base_id > 'src2' THEN 'new' ELSE knowledge_base_id END, document_count
