@@ -50,7 +50,7 @@ INSULTS = (
 LEXICON = tuple(f"{w}$" for w in INSULTS)  # "$": the whole word
 
 _letters = re.compile(r"[^\W\d_]+").findall
-_SHORTEST, _LONGEST, _WHOLE = 3, 8, 24
+_SHORTEST, _LONGEST = 3, 8
 
 
 def words_of(text: str | None) -> list[str]:
@@ -58,11 +58,10 @@ def words_of(text: str | None) -> list[str]:
 
 
 def beginnings(words: list[str]) -> set[str]:
-    """The beginnings (3 to 8 letters) of the words, and the whole words with a ``$``; of
-    longer words than 24 letters, those stand for the whole here and in ``Patterns``."""
+    """The beginnings (3 to 8 letters) of the words, and the whole words with a ``$``."""
     out: set[str] = set()
     for w in set(words):
-        out.add(f"{w[:_WHOLE]}$")
+        out.add(f"{w}$")
         for k in range(_SHORTEST, min(len(w), _LONGEST) + 1):
             out.add(w[:k])
     return out
@@ -86,7 +85,7 @@ class Patterns:
             found = [0] * len(self.terms)
             hits = 0
             for w in [w for w in words if w[:_SHORTEST] in heads]:
-                at = {whole[w[:_WHOLE]]} if w[:_WHOLE] in whole else set()
+                at = {whole[w]} if w in whole else set()
                 at |= {starts[w[:k]] for k in lengths if w[:k] in starts}
                 hits += bool(at)
                 for k in at:
@@ -125,15 +124,15 @@ def _surprise(n_toxic: int, n_clean: int):
 
 
 def mine_patterns(
-    labelled: DataFrame, *, most_terms: int = 64, least_rows: int = 4, least_surprise: float = 20.0
+    labelled: DataFrame, *, most_terms: int | None = None, least_rows: int = 4, least_surprise: float = 20.0
 ) -> Patterns:
     """Terms that go with toxic rows of ``labelled`` (``_text, _label``), most surprising
     first; a term that says the same as a chosen one (of one pair one begins the other) is
     left out.
 
-    Every term of the rows is a candidate. ``most_terms`` is the size of the model, the
-    number of its pattern voters; a term needs ``least_rows`` toxic rows and
-    ``least_surprise``, about the square of 4.5 standard deviations.
+    Every term of the rows is a candidate, and each that passes the test becomes a voter: it
+    needs ``least_rows`` toxic rows and ``least_surprise``, about the square of 4.5 standard
+    deviations. ``most_terms`` may bound the model's size; by default nothing does.
     """
     sizes = {r["_label"]: r["count"] for r in labelled.groupBy("_label").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
@@ -149,7 +148,7 @@ def mine_patterns(
     # of equal surprise, the longer beginning and then the whole word says more precisely what was seen
     ordered = surprising.select("term").orderBy(F.desc("g"), F.desc(F.length("term")), "term")
     for row in ordered.toLocalIterator():
-        if len(chosen) >= len(LEXICON) + most_terms:
+        if most_terms is not None and len(chosen) >= len(LEXICON) + most_terms:
             break
         bare = row.term.rstrip("$")
         if not any(bare.startswith(c.rstrip("$")) or c.rstrip("$").startswith(bare) for c in chosen):
@@ -422,7 +421,7 @@ def toxicity_scores(
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
     chosen = label_rows(labels, id_col, label_col, sample)
-    patterns = mine_patterns(rows.join(chosen, "_id").select("_text", "_label"))
+    patterns = mine_patterns(labelled_rows(rows, chosen))
 
     def measure(batches):
         count = patterns.counter()

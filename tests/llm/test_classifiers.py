@@ -181,3 +181,26 @@ def test_awkward_tables(spark, awkward, empty, module, run):
 def test_measures():
     assert quality.measures(None) == quality.measures("  ") == [0.0] * len(quality.NAMES)
     assert all(np.isfinite(quality.measures("x" * 10**6)))
+
+
+def test_long_words_and_repeated_labelled_rows(spark):
+    """A mined word is the whole word, and an id's repeats count once."""
+    from quern.llm import toxicity
+
+    assert toxicity.Patterns(("a" * 30 + "$",)).counter()("a" * 40 + " " + "a" * 30)[2] == [1]
+    seen = []
+    mine = toxicity.mine_patterns
+
+    def counted(labelled, **options):
+        seen.append(labelled.count())
+        return mine(labelled, **options)
+
+    rows = [(k, "idiot word" if k % 2 else "plain words here", None) for k in range(40)] + [(1, "idiot word", None)] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    toxicity.mine_patterns = counted
+    try:
+        got = toxicity.toxicity_scores(docs, labels)
+        assert got.count() == 70 and seen[0] <= 40
+    finally:
+        toxicity.mine_patterns = mine

@@ -129,7 +129,7 @@ def test_quality_scores_equal_a_plain_refit(spark):
 def plain_terms(text):
     out = set()
     for word in re.findall(r"[^\W\d_]+", (text or "").lower()):
-        out |= {word[:24] + "$", *(word[:k] for k in range(3, min(8, len(word)) + 1))}
+        out |= {word + "$", *(word[:k] for k in range(3, min(8, len(word)) + 1))}
     return out
 
 
@@ -160,7 +160,7 @@ def plain_hits(text, terms):
     found, hits = [0] * len(terms), 0
     tokens = re.findall(r"[^\W\d_]+", (text or "").lower())
     for word in tokens:
-        at = [k for k, t in enumerate(terms) if (word[:24] == t[:-1] if t.endswith("$") else word.startswith(t))]
+        at = [k for k, t in enumerate(terms) if (word == t[:-1] if t.endswith("$") else word.startswith(t))]
         hits += bool(at)
         for k in at:
             found[k] += 1
