@@ -106,14 +106,21 @@ def keywords(text: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: F.length(w) >= 2))
 
 
-def estimate_tokens(text: Column) -> Column:
-    """Half a token per ideograph, a quarter per other UTF-16 unit above the space, rounded
-    up; characters beyond the basic plane are two units."""
+def token_units(text: Column) -> tuple[Column, Column]:
+    """What the estimate is made of: ideographs, and other UTF-16 units above the space (characters
+    beyond the basic plane are two). Both add up over texts."""
     text = F.coalesce(text, F.lit(""))
     cjk = F.length(F.regexp_replace(text, f"[^{CJK}]", ""))
     other = F.length(F.regexp_replace(text, rf"[{CJK}\x00-\x20]", ""))
     pairs = F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10ffff}]", ""))
-    return F.ceil(cjk / 2 + (other + pairs) / 4).cast("long")
+    return cjk, other + pairs
+
+
+def estimate_tokens(text: Column) -> Column:
+    """Half a token per ideograph, a quarter per other UTF-16 unit above the space, rounded
+    up; characters beyond the basic plane are two units."""
+    cjk, units = token_units(text)
+    return F.ceil(cjk / 2 + units / 4).cast("long")
 
 
 def sub_queries(text: Column, most: int = 3) -> Column:
