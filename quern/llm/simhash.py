@@ -9,7 +9,7 @@ fingerprints with at most 4 differing bits, one third has at least 2 of them, so
 it at most 2 are left, and there balls of radius 1 meet. Each third is left out in turn,
 with 132 variants of 42 or 43 bits in all. No pair is lost; colliding pairs are verified
 on all 64 bits. Chance collisions grow with the square of the number of fingerprints
-over 2^42: below one per fingerprint up to some 10^10 distinct ones.
+over 2^42: below one per fingerprint up to some 10^9 distinct ones, about 4 at 10^10.
 
 Equal fingerprints are one point: rows are first grouped by fingerprint. A variant that
 more than ``hot`` fingerprints share is not compared pair by pair: its members emit their
