@@ -176,7 +176,7 @@ def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vector_scroll(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second page of the records that a filter lets through."""
-    records = _records(spark, sf_dir).filter(backends.store_filter(filters={"lang": "en", "knowledgeBaseId": "src3"}))
+    records = _records(spark, sf_dir).filter(backends.store_filter(filters={"lang": "en"}))
     first = materialize(backends.scroll(records), "page")
     last = first.agg(F.max("record_id").alias("r")).first().r
     return backends.scroll(records, after=last).select("record_id", "knowledge_base_id")
@@ -482,7 +482,7 @@ s AS (SELECT query_id, record_id, coalesce(CASE WHEN {_V} = [0.0, 0.0, 0.0] THEN
   FROM r, q WHERE lang = 'en' AND source IN ('src1', 'src2', 'src3'))
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, record_id) AS rank, round(raw, 6) AS score FROM s QUALIFY rank <= 10""",
     "vector_scroll": """SELECT lpad(doc_id::VARCHAR, 9, '0') AS record_id, source AS knowledge_base_id FROM documents
-WHERE lang = 'en' AND source = 'src3' ORDER BY 1 LIMIT 256 OFFSET 256""",
+WHERE lang = 'en' ORDER BY 1 LIMIT 256 OFFSET 256""",
     "exact_filter": "SELECT lpad(doc_id::VARCHAR, 9, '0') AS record_id FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND toxic = 0",
     "record_hits": """SELECT lpad(d.doc_id::VARCHAR, 9, '0') AS record_id,
   CASE WHEN d.doc_id % 2 = 0 THEN 'doc_' || d.doc_id ELSE lpad(d.doc_id::VARCHAR, 9, '0') END AS chunk_id,

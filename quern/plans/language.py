@@ -121,8 +121,10 @@ def retrieval_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tool_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = fixtures.table(spark, sf_dir, "orders")
-    text = F.concat(F.lit("status of task_"), F.lpad(F.col("o_orderkey").cast("string"), 6, "0"), F.lit(" and rag.top.k please"))
-    text = F.when(F.col("o_orderkey") % 20 == 0, text).otherwise(F.lit("no hint here"))
+    key, none = F.col("o_orderkey"), F.lit("")
+    task = F.when(key % 3 != 0, F.concat(F.lit("the status of task_"), F.lpad(key.cast("string"), 6, "0"))).otherwise(none)
+    setting = F.when(key % 2 == 0, F.concat(F.lit(" and rag.top"), (key % 7).cast("string"), F.lit(".k please"))).otherwise(none)
+    text = F.concat(F.col("o_orderpriority"), F.lit(" order: "), task, setting)
     return orders.select("o_orderkey", planning.tool_arguments(text).alias("a")).select("o_orderkey", "a.*")
 
 
@@ -345,8 +347,8 @@ UNION ALL SELECT doc_id, 'i2', 9, 'kb_policy,kb_ops' FROM documents WHERE contai
 c AS (SELECT *, bases <> '' OR named OR turn % 3 > 1 AS go FROM b)
 SELECT message_id, go AS should_retrieve, CASE WHEN go THEN 'go-executor' ELSE 'ts-local' END AS mode,
   CASE WHEN turn % 2 = 0 AND bases = '' THEN 4 ELSE 6 END AS top_k, bases FROM c""",
-    "tool_arguments": """SELECT o_orderkey, CASE WHEN o_orderkey % 20 = 0 THEN 'task_' || lpad(o_orderkey::VARCHAR, 6, '0') END AS task_id,
-  CASE WHEN o_orderkey % 20 = 0 THEN 'rag.top.k' END AS setting_key FROM orders""",
+    "tool_arguments": """SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN 'task_' || lpad(o_orderkey::VARCHAR, 6, '0') END AS task_id,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'rag.top' || o_orderkey % 7 || '.k' END AS setting_key FROM orders""",
     "eval_retrieval": f"WITH {_eval(6)} SELECT case_id, len(retrieved)::INT AS n, md5(array_to_string(retrieved, '|')) AS retrieved_md5 FROM rr",
     "eval_metrics": f"WITH {_METRICS} SELECT case_id, faithfulness, answer_relevance, context_precision, context_recall FROM me",
     "eval_aggregate": f"""WITH {_METRICS} SELECT count(*) AS cases, count(*) FILTER (cr >= 0.5 AND a >= 0.3) AS passed,
