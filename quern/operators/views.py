@@ -218,10 +218,13 @@ def intent_tree(intents: DataFrame) -> DataFrame:
     )
 
 
-def intent_statistics(tree: DataFrame) -> DataFrame:
-    return tree.agg(
+def intent_statistics(tree: DataFrame, intents: DataFrame | None = None) -> DataFrame:
+    """One row: the tree's depth, roots and intents; with the intents also how many of all of
+    them are ``enabled`` (a null is not)."""
+    counted = tree.agg(
         F.max("depth").alias("max_depth"), F.count_if(F.col("depth") == 0).alias("roots"), F.count(F.lit(1)).alias("intents")
     )
+    return counted if intents is None else counted.join(F.broadcast(intents.agg(F.count_if("enabled").alias("active"))))
 
 
 def intent_children(intents: DataFrame) -> DataFrame:

@@ -345,20 +345,25 @@ def ingestion_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.task_summary(rows)
 
 
-def region_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions and nations as a tree of intents."""
+def _region_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions and nations as intents; two of three nations are enabled."""
     regions = fixtures.table(spark, sf_dir, "region").select(
         F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("intent_id"), F.lit(None).cast("string").alias("parent_intent_id"),
-        F.col("r_name").alias("name"), F.lit(1).alias("priority"),
+        F.col("r_name").alias("name"), F.lit(1).alias("priority"), F.lit(True).alias("enabled"),
     )
     nations = fixtures.table(spark, sf_dir, "nation").select(
-        F.concat(F.lit("n"), F.col("n_nationkey").cast("string")), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")), "n_name", F.lit(2)
+        F.concat(F.lit("n"), F.col("n_nationkey").cast("string")), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")), "n_name", F.lit(2), F.col("n_nationkey") % 3 != 0,
     )
-    return views.intent_tree(regions.union(nations)).select("intent_id", "name", "priority", "depth", "root_id", "path")
+    return regions.union(nations)
+
+
+def region_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions and nations as a tree of intents."""
+    return views.intent_tree(_region_intents(spark, sf_dir)).select("intent_id", "name", "priority", "depth", "root_id", "path")
 
 
 def intent_tree_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.intent_statistics(region_tree(spark, sf_dir))
+    return views.intent_statistics(region_tree(spark, sf_dir), _region_intents(spark, sf_dir))
 
 
 def session_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -536,7 +541,7 @@ SELECT * FROM a UNION ALL SELECT * FROM c""",
   CASE WHEN k % 5 = 0 THEN 2 ELSE 0 END AS chunk_count, k % 2 = 0 AS retryable FROM t""",
     "region_tree": """SELECT 'r' || r_regionkey AS intent_id, r_name AS name, 1 AS priority, 0 AS depth, 'r' || r_regionkey AS root_id, r_name AS path FROM region
 UNION ALL SELECT 'n' || n_nationkey, n_name, 2, 1, 'r' || r_regionkey, r_name || '/' || n_name FROM nation JOIN region ON r_regionkey = n_regionkey""",
-    "intent_tree_counts": "SELECT 1 AS max_depth, (SELECT count(*) FROM region) AS roots, (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) AS intents",
+    "intent_tree_counts": "SELECT 1 AS max_depth, (SELECT count(*) FROM region) AS roots, (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) AS intents, (SELECT count(*) FROM region) + (SELECT count(*) FROM nation WHERE n_nationkey % 3 <> 0) AS active",
     "session_search": "SELECT conv_id::VARCHAR AS conversation_id FROM conversations GROUP BY conv_id HAVING contains(lower(min_by(text, turn)), 'the')",
     "guards": """
 WITH a AS (SELECT n_nationkey, n_nationkey % 5 <> 0 AS s, n_nationkey % 2 = 0 AS t, n_nationkey % 4 = 0 AS o, n_nationkey % 3 = 0 AS m FROM nation)

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from quern import fixtures
 from quern.functions.vector import content_hash, deterministic_vector
-from quern.operators import segmentation
+from quern.operators import chunk_function, segmentation
 from quern.operators.bitmaps import All, Any, BitmapIndex, Equals
 from quern.operators.bm25 import Columns
 from quern.operators.postings import PostingsIndex
 from quern.operators.stages import Stage, StageStore
 from quern.operators.vector_index import VectorIndex, recall
-from quern.plans import indexing, retrieval
+from quern.plans import chunking, indexing, retrieval
 from quern.plans.backends import _store
 from quern.session import materialize, shared_dir
 
@@ -160,11 +160,25 @@ def resumed_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.crossJoin(F.broadcast(chunks.agg(F.count(F.lit(1)).alias("n_chunks"), F.count_if(F.size("vector") == 8).alias("n_vectors"))))
 
 
+def chunk_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recursive chunker called from SQL, over a table by language."""
+    chunk_function.register(spark)
+    docs = fixtures.documents(spark, sf_dir).select("document_id", "tenant_id", "text")
+    return spark.sql(
+        """
+        SELECT document_id, concat(document_id, '_chunk_', chunk_index + 1) AS chunk_id, chunk_index, chunk AS text,
+          length(chunk) AS char_count, start, stop
+        FROM chunk(TABLE({docs}), 'recursive', 400, 50)
+        """,
+        docs=docs,
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         vector_index_search, vector_index_filtered, vector_index_recall, postings_search, postings_segments, dictionary_words,
-        dictionary_search, versioned_upsert, bitmap_filter, bitmap_counts, resumed_stages,
+        dictionary_search, versioned_upsert, bitmap_filter, bitmap_counts, resumed_stages, chunk_table_function,
     )
 }
 
@@ -214,6 +228,7 @@ WHERE (quality = 1 AND lang = 'en') OR (toxic = 1 AND (lang = 'de' OR source = '
     "bitmap_counts": """WITH m AS (SELECT lang, source, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)),
 p AS (SELECT unnest(['lang', 'tenant_id', 'knowledge_base_id', 'quality', 'toxic']) AS key, unnest([lang, lang, source, quality::VARCHAR, toxic::VARCHAR]) AS value FROM m)
 SELECT key, value, count(*) AS n FROM p WHERE value IS NOT NULL GROUP BY key, value""",
+    "chunk_table_function": chunking.ORACLE_SQL["chunk_recursive"],
     "resumed_stages": """WITH c AS (SELECT lang, unnest(string_split(text, chr(10))) AS p FROM documents),
 k AS (SELECT * FROM c WHERE trim(p, ' ') <> ''), n AS (SELECT count(*) AS n FROM k),
 t AS (SELECT 'chunk' AS stage, text AS x, lang FROM documents UNION ALL SELECT 'embed', p, lang FROM k)
