@@ -47,6 +47,8 @@ INSULTS = (
     "loser", "lowlife", "moron", "pathetic", "pig", "scum", "stupid", "trash", "useless", "vermin",
     "worthless", "wretch",
 )
+#: Mined terms that vote alone, and voters that the further ones make up.
+MINED_ALONE, BUNDLES = 64, 8
 LEXICON = tuple(f"{w}$" for w in INSULTS)  # "$": the whole word
 
 _letters = re.compile(r"[^\W\d_]+").findall
@@ -69,12 +71,25 @@ def beginnings(words: list[str]) -> set[str]:
 
 @dataclass(frozen=True)
 class Patterns:
-    """Terms: word beginnings, or whole words if they end with ``$``."""
+    """Terms: word beginnings, or whole words if they end with ``$``. The first ``alone`` (all,
+    if None) are a voter each; the further ones vote together, in ``BUNDLES`` of them."""
 
     terms: tuple[str, ...]
+    alone: int | None = None
+
+    @property
+    def voters(self) -> list[int]:
+        """The number of each term's voter."""
+        n, alone = len(self.terms), len(self.terms) if self.alone is None else min(self.alone, len(self.terms))
+        return [k if k < alone else alone + (k - alone) * min(BUNDLES, n - alone) // (n - alone) for k in range(n)]
+
+    @property
+    def width(self) -> int:
+        return max(self.voters, default=-1) + 1
 
     def counter(self):
-        """A function from a text to (words, hit words, [words that match each term])."""
+        """A function from a text to (words, hit words, [words that match each voter's terms])."""
+        voter, width = self.voters, self.width
         whole = {t[:-1]: k for k, t in enumerate(self.terms) if t.endswith("$")}
         starts = {t: k for k, t in enumerate(self.terms) if not t.endswith("$")}
         lengths = sorted({len(t) for t in starts})
@@ -82,13 +97,13 @@ class Patterns:
 
         def count(text: str | None) -> tuple[int, int, list[int]]:
             words = words_of(text)
-            found = [0] * len(self.terms)
+            found = [0] * width
             hits = 0
             for w in [w for w in words if w[:_SHORTEST] in heads]:
                 at = {whole[w]} if w in whole else set()
                 at |= {starts[w[:k]] for k in lengths if w[:k] in starts}
                 hits += bool(at)
-                for k in at:
+                for k in {voter[k] for k in at}:
                     found[k] += 1
             return len(words), hits, found
 
@@ -124,15 +139,16 @@ def _surprise(n_toxic: int, n_clean: int):
 
 
 def mine_patterns(
-    labelled: DataFrame, *, most_terms: int | None = None, least_rows: int = 4, least_surprise: float = 20.0
+    labelled: DataFrame, *, alone: int = MINED_ALONE, least_rows: int = 4, least_surprise: float = 20.0
 ) -> Patterns:
     """Terms that go with toxic rows of ``labelled`` (``_text, _label``), most surprising
     first; a term that says the same as a chosen one (of one pair one begins the other) is
     left out.
 
-    Every term of the rows is a candidate, and each that passes the test becomes a voter: it
-    needs ``least_rows`` toxic rows and ``least_surprise``, about the square of 4.5 standard
-    deviations. ``most_terms`` may bound the model's size; by default nothing does.
+    Every term of the rows is a candidate, and each that passes the test is counted: it needs
+    ``least_rows`` toxic rows and ``least_surprise``, about the square of 4.5 standard
+    deviations. The ``alone`` most surprising are a voter each, the further ones vote in
+    bundles of neighbours in surprise, so the model's size is bounded and no term is left out.
     """
     sizes = {r["_label"]: r["count"] for r in labelled.groupBy("_label").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
@@ -148,12 +164,10 @@ def mine_patterns(
     # of equal surprise, the longer beginning and then the whole word says more precisely what was seen
     ordered = surprising.select("term").orderBy(F.desc("g"), F.desc(F.length("term")), "term")
     for row in ordered.toLocalIterator():
-        if most_terms is not None and len(chosen) >= len(LEXICON) + most_terms:
-            break
         bare = row.term.rstrip("$")
         if not any(bare.startswith(c.rstrip("$")) or c.rstrip("$").startswith(bare) for c in chosen):
             chosen.append(row.term)
-    return Patterns(tuple(chosen))
+    return Patterns(tuple(chosen), len(LEXICON) + alone)
 
 
 # --- votes and the label model -----------------------------------------------------------
@@ -361,7 +375,7 @@ def fit_model(patterns: Patterns, web: DataFrame, known, sample: int) -> Toxicit
     Three passes over the measures, each the mean over random groups: the voters'
     correlations; the model along their tree; the classifier.
     """
-    width = len(patterns.terms)
+    width = patterns.width
     m = votes_of(np.zeros(0), np.zeros(0), np.zeros((0, width))).shape[1]
 
     def voters(frame) -> np.ndarray:
@@ -440,7 +454,7 @@ def toxicity_scores(
     # rows come in any order; the fit must not depend on it
     known = known.iloc[known.astype(str).agg("|".join, axis=1).argsort(kind="stable")] if len(known) else known
     model = fit_model(patterns, rows_to_learn(table), known, sample)
-    width = len(patterns.terms)
+    width = patterns.width
 
     def score(batches):
         for batch in batches:

@@ -188,6 +188,9 @@ def test_long_words_and_repeated_labelled_rows(spark):
     from quern.llm import toxicity
 
     assert toxicity.Patterns(("a" * 30 + "$",)).counter()("a" * 40 + " " + "a" * 30)[2] == [1]
+    bundled = toxicity.Patterns(tuple(f"{c}word$" for c in "abcdefghijklmnop"), 4)
+    assert bundled.width == 12 and bundled.voters == [0, 1, 2, 3, 4, 4, 5, 6, 6, 7, 8, 8, 9, 10, 10, 11]
+    assert bundled.counter()("aword eword fword fword")[1:] == (4, [1, 0, 0, 0, 3, *[0] * 7])
     seen = []
     mine = toxicity.mine_patterns
 
