@@ -125,7 +125,7 @@ def test_mined_patterns(spark):
 @pytest.mark.parametrize("mark", ["qx", "z", "donau" * 6])
 def test_whole_words_of_any_length_vote(mark):
     terms = [t for t in toxicity.beginnings([mark]) if t.endswith("$")]
-    assert toxicity.Patterns(tuple(terms)).counter()(f"a {mark} b {mark}s")[1:] == ((1, [1]) if len(mark) < 3 else (2, [2]))
+    assert toxicity.Patterns(tuple(terms)).counter()(f"a {mark} b {mark}s")[1:] == (1, [1])
 
 
 def test_label_model_counts_repeating_voters_once():
