@@ -16,8 +16,9 @@ from quern.operators.postings import PostingsIndex
 from quern.operators.stages import Stage, StageStore
 from quern.operators.vector_index import VectorIndex, recall
 from quern.plans import chunking, indexing, retrieval
-from quern.plans.backends import _store
+from quern.plans.backends import _VEC, _records, _store
 from quern.session import materialize, shared_dir
+from quern.sources import table_source
 
 #: Ideographs that stand for the letters a to z, so that texts of words without spaces can be
 #: had from the documents.
@@ -115,6 +116,37 @@ def versioned_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def _source_table(spark: SparkSession, sf_dir: str) -> str:
+    """The path of a collection in three versions, the first written by the data source."""
+    table_source.register(spark)
+    store = _store(spark)
+    records = _records(spark, sf_dir).filter(F.size("vector") == 3)
+    writer = records.write.format(table_source.NAME).options(path=store.path("index_records"), table="index_records")
+    writer.mode("append").save()
+    store.upsert("index_records", records.filter("tenant_id = 'de'").withColumn("title", F.lit("changed")), "record_id")
+    store.delete("index_records", F.col("knowledge_base_id") == "src1")
+    return store.path("index_records")
+
+
+def table_source_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenant's records of some bases, and one without a filter that the scan can take."""
+    found = spark.read.format(table_source.NAME).options(path=_source_table(spark, sf_dir), table="index_records").load()
+    own = found.filter(F.col("tenant_id").isin("de", "en") & (F.col("knowledge_base_id") != "src2") & F.col("title").isNotNull())
+    return own.select("record_id", "title", "content", F.round(F.element_at("vector", 1), 1).alias("first"))
+
+
+def table_source_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records per base as a stream of the collection's versions counts them: the rows that
+    were written, and again those that replaced some."""
+    path = _source_table(spark, sf_dir)
+    added = spark.readStream.format(table_source.NAME).options(path=path, table="index_records").load()
+    out = _folder(spark, "changes")
+    written = added.select("knowledge_base_id", "title").writeStream.format("parquet").option("checkpointLocation", f"{out}-state")
+    written.trigger(availableNow=True).start(out).awaitTermination()
+    rows = spark.read.schema("knowledge_base_id string, title string").parquet(out)
+    return rows.groupBy("knowledge_base_id").agg(F.count(F.lit(1)).alias("added"), F.count_if(F.col("title") == "changed").alias("changed"))
+
+
 def _bitmaps(spark: SparkSession, sf_dir: str) -> BitmapIndex:
     docs = fixtures.labelled_documents(spark, sf_dir)
     return BitmapIndex.build(docs, _folder(spark, "bitmaps"), record="doc_id", columns=("knowledge_base_id", "tenant_id"))
@@ -178,7 +210,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         vector_index_search, vector_index_filtered, vector_index_recall, postings_search, postings_segments, dictionary_words,
-        dictionary_search, versioned_upsert, bitmap_filter, bitmap_counts, resumed_stages, chunk_table_function,
+        dictionary_search, versioned_upsert, table_source_scan, table_source_changes, bitmap_filter, bitmap_counts, resumed_stages, chunk_table_function,
     )
 }
 
@@ -234,6 +266,10 @@ k AS (SELECT * FROM c WHERE trim(p, ' ') <> ''), n AS (SELECT count(*) AS n FROM
 t AS (SELECT 'chunk' AS stage, text AS x, lang FROM documents UNION ALL SELECT 'embed', p, lang FROM k)
 SELECT stage, count(DISTINCT x) FILTER (lang <> 'de') AS first_run, count(DISTINCT x) - count(DISTINCT x) FILTER (lang <> 'de') AS second_run,
   any_value(n) AS n_chunks, any_value(n) AS n_vectors FROM t, n GROUP BY stage""",
+    "table_source_scan": f"""WITH {_VEC} SELECT record_id, CASE WHEN lang = 'de' THEN 'changed' ELSE 'doc_' || doc_id END AS title,
+  md5(text) AS content, (length(text) % 3)::DOUBLE AS first FROM r WHERE lang IN ('de', 'en') AND source NOT IN ('src1', 'src2')""",
+    "table_source_changes": f"""WITH {_VEC}, w AS (SELECT source, false AS again FROM r UNION ALL SELECT source, true FROM r WHERE lang = 'de')
+SELECT source AS knowledge_base_id, count(*) AS added, count(*) FILTER (again) AS changed FROM w GROUP BY source""",
     "versioned_upsert": f"""WITH b AS ({_BASES})
 SELECT 1 AS version, knowledge_base_id, knowledge_base_id AS name, document_count FROM b WHERE knowledge_base_id < 'src5'
 UNION ALL SELECT v, knowledge_base_id, CASE WHEN knowledge_base_id > 'src2' THEN 'new' ELSE knowledge_base_id END, document_count

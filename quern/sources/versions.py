@@ -39,6 +39,7 @@ class Version:
     number: int
     data: tuple[str, ...] = ()
     deleted: tuple[str, ...] = ()
+    compacted: bool = False
 
 
 class VersionedTable:
@@ -79,20 +80,20 @@ class VersionedTable:
             found = json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
-        return Version(number, tuple(found["data"]), tuple(found["deleted"]))
+        return Version(number, tuple(found["data"]), tuple(found["deleted"]), found.get("compacted", False))
 
-    def _commit(self, base: Version, data: list[str], deleted: list[str]) -> Version:
+    def _commit(self, base: Version, data: list[str], deleted: list[str], compacted: bool = False) -> Version:
         """Make the version after ``base``, or raise ``Conflict`` if it is there."""
         number = base.number + 1
         target, draft = self._path(self._manifest(number)), self._path(f"{self.path}/_log/.{uuid.uuid4().hex}")
         stream = self._files.create(draft, False)
-        stream.write(json.dumps({"version": number, "data": data, "deleted": deleted}).encode())
+        stream.write(json.dumps({"version": number, "data": data, "deleted": deleted, "compacted": compacted}).encode())
         stream.close()
         try:
             self._put_if_absent(draft, target)
         finally:
             self._files.delete(draft, False)
-        return Version(number, tuple(data), tuple(deleted))
+        return Version(number, tuple(data), tuple(deleted), compacted)
 
     def _put_if_absent(self, draft, target) -> None:
         """A new name for the draft, which must not be taken: a hard link on a local disk,
@@ -113,16 +114,16 @@ class VersionedTable:
                 raise Conflict(target.toString()) from None
             raise
 
-    def _retried(self, change: Callable[[Version], tuple[list[str], list[str]] | None]) -> Version:
+    def _retried(self, change: Callable[[Version], tuple[list[str], list[str]] | None], compacted: bool = False) -> Version:
         """Commit what ``change`` makes of the latest version; after a conflict, of the newer
-        one. ``None`` changes nothing."""
+        one. ``None`` changes nothing. ``compacted``: the rows stay the same."""
         for _ in range(self.attempts):
             base = self.version()
             made = change(base)
             if made is None:
                 return base
             try:
-                return self._commit(base, *made)
+                return self._commit(base, *made, compacted)
             except Conflict:
                 continue
         raise Conflict(f"{self.path}: {self.attempts} other writers came first")
@@ -164,13 +165,13 @@ class VersionedTable:
         folder = self._write(rows.select(*self.schema.fieldNames()), "data")
         return self._retried(lambda base: ([folder], []))
 
-    def update(self, change: Callable[[DataFrame], DataFrame]) -> Version:
+    def update(self, change: Callable[[DataFrame], DataFrame], *, compacted: bool = False) -> Version:
         """Replace all rows by what ``change`` makes of them; after a conflict, of the winner's."""
 
         def made(base: Version):
             return [self._write(change(self.read(base.number)).select(*self.schema.fieldNames()), "data")], []
 
-        return self._retried(made)
+        return self._retried(made, compacted)
 
     def _without(self, base: Version, found: Callable[[DataFrame], DataFrame]) -> str | None:
         """A folder with the places of the rows that ``found`` picks, or None if there are none."""
@@ -211,7 +212,7 @@ class VersionedTable:
     def compact(self) -> Version:
         """Write the latest version anew, as one folder without deletions. If another writer
         comes first, nothing is lost: the work is done again from its version."""
-        return self.update(lambda rows: rows)
+        return self.update(lambda rows: rows, compacted=True)
 
     def vacuum(self, keep: int = 10) -> int:
         """Delete the folders that none of the last ``keep`` versions names, and the older
