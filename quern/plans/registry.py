@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Each module has QUERIES (name -> callable) and ORACLE_SQL (name -> SQL).
-MODULES: tuple[str, ...] = ("retrieval", "chunking", "indexing", "operations", "language", "backends", "indexes")
+MODULES: tuple[str, ...] = ("retrieval", "chunking", "indexing", "operations", "language", "backends", "indexes", "turns")
 
 
 def _gather(attribute: str) -> dict:
