@@ -220,7 +220,7 @@ def agent_loop(
             ended(failed, step, F.lit(""), F.col("error"), "failed"),
         ]
         kept["evidence"].append(hits.withColumn("step", F.lit(step)))
-        asked = good.filter(F.col("tool") != SEARCH).select("turn_id", "position", F.col("tool").alias("tool_name"), "args")
+        asked = good.filter(F.col("tool") != SEARCH).select("turn_id", "position", F.col("tool").alias("tool_name"), F.coalesce("args", F.lit("{}")).alias("args"))
         kept["calls"].append(asked.join(called.select("turn_id", "position", "status", "summary"), ["turn_id", "position"], "left").withColumn("step", F.lit(step)))
         # what was said in this step, and the turns that go on
         pair = F.array(one("assistant", F.coalesce("thought", F.lit(""))), one("tool", F.col("observation")))
