@@ -7,24 +7,27 @@ from pyspark.sql import functions as F
 
 from quern.functions.metrics import answer_relevance, context_precision, context_recall, faithfulness
 from quern.functions.text import eval_terms
+from quern.operators.local import containment_scores
 
 
 def eval_retrieve(cases: DataFrame, corpus: DataFrame, k: int = 6) -> DataFrame:
     """``case_id, retrieved``: contents of the best chunks of the case's knowledge base (all,
     without one): a point per query term in title or content, half a point more in the
-    title; ties keep the corpus order (``corpus_pos``)."""
+    title; ties keep the corpus order (``corpus_pos``). The cases are a stated set: the corpus
+    is read once per block of them."""
     asked = cases.select("case_id", "knowledge_base_id", eval_terms(F.col("question")).alias("terms"))
-    hay = F.lower(F.concat_ws(" ", "title", "content"))
-    texts = corpus.select(F.col("knowledge_base_id").alias("_kb"), "content", "corpus_pos", hay.alias("_hay"), F.lower("title").alias("_title"))
-    # cases with a base meet its texts by an equi-join; only those without one, a stated set, meet all
-    own = texts.join(asked.filter("knowledge_base_id is not null"), F.col("knowledge_base_id") == F.col("_kb"))
-    free = asked.filter("knowledge_base_id is null")
-    pairs = own if free.isEmpty() else own.unionByName(texts.join(free, F.lit(True)))
-    found = F.size(F.filter("terms", lambda t: F.contains(F.col("_hay"), t)))
-    titled = F.size(F.filter("terms", lambda t: F.contains(F.col("_title"), t)))
-    scored = pairs.select("case_id", "content", "corpus_pos", (found + 0.5 * titled).alias("score")).filter("score > 0")
-    window = Window.partitionBy("case_id").orderBy(F.desc("score"), "corpus_pos")
+    mark = F.coalesce(F.sha2("content", 256), F.lit("none"))
+    texts = corpus.select(
+        F.col("knowledge_base_id").alias("_kb"), F.struct("corpus_pos", mark.alias("mark")).alias("_row"), "content",
+        F.lower(F.concat_ws(" ", "title", "content")).alias("_hay"), F.lower("title").alias("_title"),
+    )
+    # only places and scores travel; contents are joined to the best k
+    scored = containment_scores(
+        texts, asked, chunk="_row", query="case_id", weights={"_hay": 1.0, "_title": 0.5}, chunk_scope="_kb", query_scope="knowledge_base_id"
+    )
+    window = Window.partitionBy("case_id").orderBy(F.desc("score"), "_row")
     best = scored.withColumn("n", F.row_number().over(window)).filter(F.col("n") <= k)
+    best = best.join(texts.select("_row", "content").dropDuplicates(["_row"]), "_row")
     hits = best.groupBy("case_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("n", "content"))), lambda c: c["content"]).alias("retrieved")
     )

@@ -6,6 +6,7 @@ streaming form (in ``foreachBatch``) are the same code.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -169,26 +170,27 @@ def token_bucket(requests: DataFrame, rate: float = 10.0, burst: float = 20.0) -
     """``client, at_seconds, allowed``: a bucket per client that fills by ``rate`` a second
     up to ``burst``; a request takes one or is refused.
 
-    A fold over each client's requests in order; a client's requests are one array, so this
-    form is for bounded histories. ``quern.streaming.rate_limit`` keeps only the bucket.
+    Each client's requests lie in one partition, sorted, and pass by once: a task holds one
+    bucket and one Arrow batch, however many requests a client has. Requests without a time
+    are left out; those without a client share a bucket.
     """
-    State = "struct<tokens:double,last:double,out:array<struct<at_seconds:double,allowed:boolean>>>"
-    events = requests.groupBy("client").agg(F.array_sort(F.collect_list("at_seconds")).alias("times"))
-    start = F.struct(
-        F.lit(burst).alias("tokens"), F.element_at("times", 1).alias("last"),
-        F.array().cast("array<struct<at_seconds:double,allowed:boolean>>").alias("out"),
-    ).cast(State)
-
-    def step(s: Column, t: Column) -> Column:
-        tokens = F.least(F.lit(burst), s["tokens"] + (t - s["last"]) * rate)
-        ok = tokens >= 1
-        one = F.array(F.struct(t.alias("at_seconds"), ok.alias("allowed")))
-        return F.struct(
-            F.when(ok, tokens - 1).otherwise(tokens).alias("tokens"), t.alias("last"), F.concat(s["out"], one).alias("out")
-        )
-
-    folded = F.aggregate("times", start, step, lambda s: s["out"])
-    return events.select("client", F.explode(folded).alias("e")).select("client", "e.*")
+    kind = requests.schema["client"].dataType.simpleString()
+    in_order = requests.filter("at_seconds is not null").select("client", F.col("at_seconds").cast("double").alias("at_seconds"))
+    in_order = in_order.repartition("client").sortWithinPartitions("client", "at_seconds")
+
+    def run(batches):
+        started, client, tokens, last = False, None, 0.0, 0.0
+        for batch in batches:
+            allowed = []
+            for own, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if not started or own != client:
+                    started, client, tokens, last = True, own, burst, t
+                tokens, last = min(burst, tokens + (t - last) * rate), t
+                allowed.append(tokens >= 1)
+                tokens -= allowed[-1]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(allowed, pa.bool_())], ["client", "at_seconds", "allowed"])
+
+    return in_order.mapInArrow(run, f"client {kind}, at_seconds double, allowed boolean")
 
 
 def stage_trace(tasks: DataFrame) -> DataFrame:

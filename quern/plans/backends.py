@@ -473,8 +473,8 @@ SELECT doc_id, CASE WHEN doc_id % 7 <> 3 THEN 'doc_' || doc_id END AS title,
     "parse_fallback": """SELECT doc_id, md5(CASE WHEN doc_id % 4 = 1 THEN text ELSE '> ' || text END) AS text_md5,
   CASE WHEN doc_id % 4 = 1 THEN 'bad-archive' END AS fallback_reason FROM documents""",
     "placeholder_parse": """
-WITH d AS (SELECT 'doc_' || doc_id AS document_id, 'Mock parsed document for doc_' || doc_id || '.txt' AS a,
-  'This parser boundary is frozen before production parser integration' AS b, 'Source uri: file:///doc_' || doc_id || '.txt.' AS c FROM documents),
+WITH d AS (SELECT 'doc_' || doc_id AS document_id, 'doc_' || doc_id || '.txt stands in for a text' AS a,
+  'It was not read' AS b, 'Its address is file:///doc_' || doc_id || '.txt.' AS c FROM documents),
 p AS (SELECT document_id, 0 AS i, a AS text, 0 AS start FROM d UNION ALL SELECT document_id, 1, b, length(a) + 2 FROM d
   UNION ALL SELECT document_id, 2, c, length(a) + length(b) + 4 FROM d)
 SELECT document_id, document_id || '_chunk_' || (i + 1) AS chunk_id, i AS chunk_index, text, length(text)::INT AS char_count,

@@ -108,3 +108,25 @@ def test_containment(spark, block):
     got = sorted(tuple(r) for r in containment_scores(docs, asked, block=block).collect())
     assert got == [("q", "a", 3.0), ("q", "c", 2.0)]
     assert containment_scores(docs, asked.limit(0)).count() == 0
+
+
+def test_containment_by_weights_and_scopes(spark):
+    import random
+
+    from quern.operators.local import containment_scores
+
+    rng = random.Random(2)
+    word = lambda: rng.choice(["plan", "roll", "back", "an", "zz"])
+    docs = [(n, rng.choice(["x", "y", None]), " ".join(word() for _ in range(4)), rng.choice([word(), None])) for n in range(60)]
+    asked = [(n, rng.choice(["x", "y", None]), [word() for _ in range(rng.randrange(4))]) for n in range(30)]
+    want = sorted(
+        (q, c, float(s))
+        for q, at, terms in asked
+        for c, scope, text, title in docs
+        if (at is None or at == scope) and (s := sum((t in text) + 0.5 * (title is not None and t in title) for t in terms)) > 0
+    )
+    chunks = spark.createDataFrame(docs, "chunk_id long, s string, text string, title string")
+    queries = spark.createDataFrame(asked, "query_id long, q string, terms array<string>")
+    for bounds in ({}, {"characters": 20}, {"block": 7}):
+        found = containment_scores(chunks, queries, weights={"text": 1.0, "title": 0.5}, chunk_scope="s", query_scope="q", **bounds)
+        assert sorted(map(tuple, found.collect())) == want
