@@ -1,5 +1,5 @@
-"""Chat turns and agent loops over the conversations. Searches, tools and decisions are
-contracts; here they are look-ups in tables."""
+"""Chat turns, agent loops and answers of an embedding service. Searches, tools, decisions
+and services are contracts; here they are look-ups in tables."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quern import fixtures
 from quern.operators import agent
+from quern.operators.embedding_answers import read_answers
 from quern.plans.language import _NORM, _PAIRS, _PREFIX, _S, _bases, _parts, _said, _tokens
 
 BASES = ["kb_ops", "kb_product"]
@@ -85,7 +86,32 @@ def agent_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.steps.select("turn_id", "step", "position", "action", F.md5("observation").alias("observation_md5"), "status")
 
 
-QUERIES = {"chat_turns": chat_turns, "agent_steps": agent_steps}
+def embedding_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors asked for by fours, with answers of which most fail in one way or another."""
+    vectors = fixtures.table(spark, sf_dir, "embeddings").select(
+        (F.col("vec_id") / 4).cast("long").alias("request_id"), (F.col("vec_id") % 4).cast("int").alias("i"), F.col("embedding").cast("array<float>").alias("v")
+    )
+    r, i = F.col("request_id"), F.col("i")
+    way = r % 9
+    index = F.when(way == 6, F.greatest(i, F.lit(1))).otherwise(i)
+    vector = F.when((way == 7) & (i == 2), F.slice("v", 1, 3)).otherwise(F.col("v"))
+    asked = vectors.groupBy("request_id").agg(
+        F.array_sort(F.collect_list("i")).alias("_i"), F.collect_list(F.when((way != 5) | (i > 0), F.struct(index.alias("index"), vector.alias("embedding")))).alias("data")
+    )
+    sent = F.to_json(F.struct("data", F.when(way == 4, F.struct(F.lit("no").alias("message"))).alias("error")))
+    status = F.when(way == 1, None).when(way == 2, (429 + r % 2 * 71 - r % 4).cast("int")).otherwise(F.lit(200))
+    told = asked.select(
+        "request_id", F.transform("_i", lambda k: F.concat_ws("_", F.lit("v"), (r * 4 + k).cast("string"))).alias("chunk_ids"), status.alias("status"),
+        F.when(way == 3, F.concat(F.lit("{"), sent)).otherwise(sent).alias("body"),
+    )
+    made = read_answers(told, "served", "model")
+    return made.select(
+        "request_id", F.col("error.reason").alias("reason"), F.col("error.retryable").alias("retryable"),
+        F.array_join(F.transform("artifacts", lambda a: F.concat_ws(":", a["chunk_id"], a["dimensions"].cast("string"))), ",").alias("made"),
+    )
+
+
+QUERIES = {"chat_turns": chat_turns, "agent_steps": agent_steps, "embedding_answers": embedding_answers}
 
 ORACLE_SQL = {
     "chat_turns": f"""WITH {_PAIRS}, pc AS (SELECT *, {_tokens('t')} AS cost FROM p),
@@ -114,6 +140,14 @@ SELECT message_id AS turn_id, strategy, CASE WHEN go THEN 'go-executor' ELSE 'ts
   md5(concat_ws('|', summary, 'Grounding context for this answer:' || chr(10) || chr(10) || 'Rewrite query: ' || rewritten
     || coalesce(chr(10) || chr(10) || 'Knowledge context:' || chr(10) || kb, ''),
     CASE WHEN len(said) > 0 THEN array_to_string(list_transform(said, lambda x: x.content), '|') END, text)) AS contents_md5 FROM m""",
+    "embedding_answers": """WITH v AS (SELECT vec_id // 4 AS request_id, vec_id, len(embedding) AS n FROM embeddings),
+g AS (SELECT request_id, request_id % 9 AS way, 429 + request_id % 2 * 71 - request_id % 4 AS status, string_agg('v_' || vec_id || ':' || n, ',' ORDER BY vec_id) AS made
+  FROM v GROUP BY request_id)
+SELECT request_id, CASE way WHEN 1 THEN 'provider-request-failed' WHEN 2 THEN 'provider-http-error' WHEN 3 THEN 'provider-response-parse-failed'
+  WHEN 4 THEN 'provider-api-error' WHEN 5 THEN 'provider-vector-count-mismatch' WHEN 6 THEN 'provider-vector-index-missing'
+  WHEN 7 THEN 'provider-dimension-mismatch' END AS reason,
+  CASE WHEN way = 1 THEN true WHEN way = 2 THEN status = 429 OR status >= 500 WHEN way BETWEEN 3 AND 7 THEN false END AS retryable,
+  CASE WHEN way NOT BETWEEN 1 AND 7 THEN made END AS made FROM g""",
     "agent_steps": f"""WITH {_S}, u AS (SELECT message_id, conv_id, text, (conv_id + turn) % 7 AS s FROM s WHERE role = 'user'),
 k AS (SELECT *, unnest(range(1, 6)) AS step FROM u),
 a AS (SELECT *, CASE WHEN step = 1 THEN text ELSE 'step ' || step END AS q FROM k WHERE (s <= 5 AND step <= s) OR (s = 6 AND step = 1)),
