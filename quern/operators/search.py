@@ -20,6 +20,9 @@ from quern.session import materialize
 #: ``(query, record) pairs -> rerank_score``; pairs without one are dropped.
 Reranker = Callable[[DataFrame], DataFrame]
 
+#: Keys that a scope's records are dealt to; its queries are copied as often.
+SALTS = 32
+
 _SCOPE = ("tenant_id", "org_id", "knowledge_base_ids", "filters")
 
 
@@ -77,12 +80,17 @@ def vector_hits(
     return out.select("query_id", "record_id", "score")
 
 
-def nearest_in_scope(records: DataFrame, members: DataFrame, asked: DataFrame, k: int, least: float) -> DataFrame:
+def nearest_in_scope(records: DataFrame, members: DataFrame, asked: DataFrame, k: int, least: float, salts: int = SALTS) -> DataFrame:
+    """The nearest records within each query's scope, exactly. A scope's records are dealt to
+    ``salts`` keys and its queries sent to each of them, so a scope of most records is not one
+    task; adaptive execution may split a key further."""
     from quern.functions.vector import cosine, norm
 
     left = records.filter(F.size("vector") > 0).select("record_id", "vector", norm(F.col("vector")).alias("_vn"))
     right = asked.select("query_id", "scope", "query_vector", norm(F.col("query_vector")).alias("_qn"))
-    pairs = left.join(members, "record_id").join(right, "scope").filter(F.size("vector") == F.size("query_vector"))
+    dealt = members.withColumn("_salt", F.pmod(F.xxhash64("record_id"), F.lit(salts)).cast("int"))
+    everywhere = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    pairs = left.join(dealt, "record_id").join(everywhere, ["scope", "_salt"]).filter(F.size("vector") == F.size("query_vector"))
     score = cosine(F.col("vector"), F.col("query_vector"), F.col("_vn"), F.col("_qn"))
     scored = pairs.select("query_id", "record_id", score.alias("score")).filter(F.col("score") >= least)
     return top_k(scored, k, tie="record_id")
