@@ -13,6 +13,9 @@ from quern.session import materialize
 
 K1, B = 1.5, 0.75
 TITLE_WEIGHT = 0.3
+#: Steps per unit of a score. Shares are added as whole steps: no order of additions changes a sum, and chunks of
+#: equal terms have equal scores, so the id decides between them.
+STEPS = float(1 << 40)
 
 
 @dataclass(frozen=True)
@@ -39,6 +42,11 @@ def term_score(idf_: Column, tf: Column, length: Column, mean: Column) -> Column
     return F.when(mean > 0, idf_ * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))).otherwise(F.lit(0.0))
 
 
+def total(share: Column) -> Column:
+    """The sum of the shares of a score, whatever their order."""
+    return F.sum(F.rint(share * STEPS).cast("long")) / STEPS
+
+
 def terms_of(chunks: DataFrame, c: Columns = Columns()) -> DataFrame:
     """``chunk, _terms, _title_terms, _dl, _tl``: distinct terms and their numbers. The body
     is the title and the text."""
@@ -111,7 +119,7 @@ def bm25_scores(
     return (
         postings.join(weights, ["_scope", "term"])
         .groupBy("_query", "_chunk")
-        .agg(F.sum(F.when(F.col("kind") == "title", title).otherwise(body)).alias("score"))
+        .agg(total(F.when(F.col("kind") == "title", title).otherwise(body)).alias("score"))
         .filter("score > 0")
         .select(F.col("_query").alias(c.query), F.col("_chunk").alias(c.chunk), "score")
     )

@@ -130,3 +130,15 @@ def test_containment_by_weights_and_scopes(spark):
     for bounds in ({}, {"characters": 20}, {"block": 7}):
         found = containment_scores(chunks, queries, weights={"text": 1.0, "title": 0.5}, chunk_scope="s", query_scope="q", **bounds)
         assert sorted(map(tuple, found.collect())) == want
+
+
+def test_copies_tie_whatever_the_order_of_additions(spark):
+    """Copies have one score, so that the smaller id comes first."""
+    from quern.operators import bm25
+
+    words = [f"w{n}" for n in range(40)]
+    rows = [(n, " ".join(words[n % 17 :] + words[: n % 17])) for n in range(200)] + [(1000 + n, " ".join(words[: n % 39 + 1])) for n in range(400)]
+    docs = spark.createDataFrame(rows, "chunk_id long, text string").repartition(16)
+    asked = spark.createDataFrame([(1, " ".join(words))], "query_id long, query string")
+    scores = {r.score for r in bm25.bm25_scores(docs, asked).filter("chunk_id < 200").collect()}
+    assert len(scores) == 1
