@@ -23,8 +23,8 @@ def knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knn_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = knn.nearest(fixtures.vector_records(spark, sf_dir), fixtures.vector_queries(spark, sf_dir), 20)
-    return best.select("query_id", "record_id", F.round("score", 6).alias("score"))
+    best = knn.nearest(fixtures.vector_records(spark, sf_dir), fixtures.vector_queries(spark, sf_dir), 20, digits=6)
+    return best.select("query_id", "record_id", "score")
 
 
 def knn_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
