@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.vector import norm
+from quern.operators.knn import HELD, TILE, Best
 from quern.operators.ranking import top_k
 from quern.session import materialize, ship_package
 
@@ -33,7 +34,9 @@ SAMPLE_PER_CELL, MOST_CELLS, CENTRE_BYTES = 64, 16_384, 64 << 20
 #: Vectors in one file of a cell, about.
 FILE_ROWS = 200_000
 #: Queries of a pass and bytes of their vectors; a pass's queries go to all tasks.
-BLOCK, BLOCK_BYTES = 1000, 16 << 20
+BLOCK, BLOCK_BYTES = 16_384, 16 << 20
+#: Pairs of a query and a cell that the driver weighs at once.
+PAIRS = 4 << 20
 #: Probes are chosen so that this share of the best ``TARGET_K`` is found for about
 #: ``TRIALS`` of the index's own vectors.
 TARGET, TARGET_K, TRIALS = 0.95, 20, 100
@@ -179,7 +182,7 @@ class VectorIndex:
         return rows if cells is None else rows.filter(F.col("cell").isin([int(c) for c in cells]))
 
     def _scan(self, rows: DataFrame, wanted: dict[int, np.ndarray], vectors: np.ndarray, k: int, least: float | None, digits: int | None) -> DataFrame:
-        """``_query`` (its number), record and score of the best ``k`` of each batch."""
+        """``_query`` (its number), record and score of the best ``k`` of each task."""
         ship_package(self.spark)
         shared = self.spark.sparkContext.broadcast((wanted, vectors))
         rows = rows.select(F.col(self.record).alias("_record"), self.vector, "cell")
@@ -187,6 +190,7 @@ class VectorIndex:
 
         def scan(batches):
             wanted, vectors = shared.value
+            best = Best(len(vectors), k)
             for batch in batches:
                 cells, ids = batch.column(2).to_numpy(zero_copy_only=False), batch.column(0)
                 for cell in np.unique(cells).tolist():
@@ -195,17 +199,21 @@ class VectorIndex:
                         continue
                     at = np.flatnonzero(cells == cell)
                     x = _unit(_matrix(batch.column(1).take(pa.array(at)), dimensions))
-                    scores = x @ vectors[asked].T
-                    if digits is not None:
-                        scores = np.sign(scores) * np.floor(np.abs(scores) * 10**digits + 0.5) / 10**digits
-                    for j, query in enumerate(asked.tolist()):
-                        column = scores[:, j]
-                        near = np.flatnonzero(column >= np.partition(column, -k)[-k]) if len(column) > k else np.arange(len(column))
+                    own, step = ids.take(pa.array(at)), max(1, TILE // len(at))
+                    for some in (asked[start : start + step] for start in range(0, len(asked), step)):
+                        scores = vectors[some] @ x.T
+                        if digits is not None:
+                            scores = np.sign(scores) * np.floor(np.abs(scores) * 10**digits + 0.5) / 10**digits
+                        bar = best.worst[some]
+                        if len(at) > k and np.isinf(bar).any():
+                            bar = np.maximum(bar, np.partition(scores, -k, axis=1)[:, -k])
                         if least is not None:
-                            near = near[column[near] >= least]
-                        found = pa.table({"_query": pa.array(np.full(len(near), query), pa.int32()), "_record": ids.take(pa.array(at[near])), "score": column[near]})
-                        found = found.sort_by([("score", "descending"), ("_record", "ascending")]).slice(0, k)
-                        yield from found.combine_chunks().to_batches()
+                            bar = np.maximum(bar, least)
+                        query, near = np.nonzero(scores >= bar[:, None])
+                        best.add(some[query], own.take(pa.array(near)), scores[query, near])
+            found = best.cut()
+            if found is not None:
+                yield from found.combine_chunks().to_batches(max_chunksize=HELD)
 
         kind = rows.schema["_record"].dataType.simpleString()
         return rows.mapInArrow(scan, f"_query int, _record {kind}, score double")
@@ -232,11 +240,11 @@ class VectorIndex:
         tasks. Queries of another size have no hits; a query of zeros scores 0 everywhere.
         """
         asked = queries.filter(F.size(query_vector) == self.dimensions).select(F.col(query).alias("_q"), F.col(query_vector).alias("_v"))
-        size = max(1, min(BLOCK, BLOCK_BYTES // (8 * max(self.dimensions, 1))))
+        centres, held, probes = self._centres(), self.cells(), self.probes() if probes is None else probes
+        size = max(1, min(BLOCK, BLOCK_BYTES // (8 * max(self.dimensions, 1)), PAIRS // max(1, len(held))))
         blocks = max(1, -(-asked.count() // size))
         number = F.pmod(F.xxhash64("_q"), F.lit(2 * blocks))
         parts = [asked] if blocks == 1 else [asked.filter(number == i) for i in range(2 * blocks)]
-        centres, held, probes = self._centres(), self.cells(), self.probes() if probes is None else probes
         name = queries.schema[query].dataType.simpleString()
         out = self.spark.createDataFrame([], f"_q {name}, _record {self._kind()}, score double, rank int") if not held else None
         for part in parts if held else []:
