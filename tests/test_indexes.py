@@ -181,3 +181,19 @@ def test_dictionary_terms_are_searched(spark, tmp_path):
     want = {r.chunk_id: round(r.score, 9) for r in bm25.bm25_scores(texts, asked, columns).collect()}
     index = PostingsIndex.build(texts, f"file://{tmp_path}/{uuid.uuid4().hex}", columns)
     assert {r.chunk_id: round(r.score, 9) for r in index.search(asked, 5, columns).hits().collect()} == want and want[1] > want[2]
+
+
+def test_blocks_of_a_group():
+    """A group's terms become blocks in one task, without a row per posting."""
+    import pyarrow as pa
+
+    from quern.operators.postings import _blocks_of
+
+    group = pa.table(
+        {
+            "_scope": pa.array([0, 0]), "_group": pa.array([5, 5]), "_chunk": pa.array(["a", "b"]), "_terms": pa.array([["x", "y"], ["y"]]),
+            "_title_terms": pa.array([[], ["y"]], pa.list_(pa.string())), "_dl": pa.array([2, 1], pa.int32()), "_tl": pa.array([0, 1], pa.int32()),
+        }
+    )
+    got = sorted((r["term"], r["title"], r["n"], r["shortest"], sorted((c["chunk"], c["length"]) for c in r["chunks"])) for r in _blocks_of(group).to_pylist())
+    assert got == [("x", False, 1, 2, [("a", 2)]), ("y", False, 2, 1, [("a", 2), ("b", 1)]), ("y", True, 1, 1, [("b", 1)])]
