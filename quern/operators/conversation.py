@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import estimate_tokens, is_blank
+from quern.session import ship_package
 
 CONTEXT_BUDGET = 6000
 RECENT_RATIO = 0.5
@@ -100,19 +103,33 @@ def trim_history(messages: DataFrame, budget: int = LOOP_BUDGET, least: int = 3)
 
 
 def truncate_grounding(text: Column, budget: int = GROUNDING_BUDGET, least: int = GROUNDING_CHARACTERS) -> Column:
-    """The text cut to four fifths, again and again, until it fits or is 100 characters."""
-    def shrink(s: Column, _: Column) -> Column:
-        t = s["text"]
-        over = (estimate_tokens(t) > budget) & (F.length(t) > least)
-        cut = F.substring(t, F.lit(1), F.floor(F.length(t) * 0.8).cast("int"))
-        tried = F.when(over, F.struct(cut.alias("text"), F.lit(False).alias("done"))).otherwise(
-            F.struct(t.alias("text"), F.lit(True).alias("done"))
-        )
-        return F.when(s["done"], s).otherwise(tried)
-
-    # 80 rounds shrink a text of 2^31 characters below the least size; rounds after the last cut cost nothing
-    start = F.struct(text.alias("text"), F.lit(False).alias("done"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(100)), start, shrink, lambda s: s["text"])
+    """The text cut to four fifths, again and again, until it fits or is 100 characters.
+
+    Estimates of all its beginnings are had from one pass over the text's characters.
+    """
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> str | None:
+            if text is None or len(text) <= least:
+                return text
+            points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+            quarters = np.cumsum(_quarters(points))
+            n = len(points)
+            while n > least and quarters[n - 1] > 4 * budget:
+                n = int(n * 0.8)
+            return text[:n]
+
+        return texts.map(one, na_action="ignore").astype(object).where(texts.notna(), None)
+
+    ship_package(SparkSession.active())
+    return cut(text)
+
+
+def _quarters(points: np.ndarray) -> np.ndarray:
+    """The quarters of a token that ``text.token_units`` gives each character."""
+    cjk = ((points >= 0x4E00) & (points <= 0x9FFF)) | ((points >= 0x3400) & (points <= 0x4DBF)) | ((points >= 0xF900) & (points <= 0xFAFF))
+    return np.where(cjk | (points >= 0x10000), 2, (points > 0x20).astype(np.int64))
 
 
 def knowledge_context(hits: DataFrame, by: str = "query_id") -> DataFrame:
