@@ -7,14 +7,19 @@ import subprocess
 import tempfile
 import zipfile
 import zlib
+from collections.abc import Callable
 from io import BytesIO
 from xml.etree import ElementTree
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.columns import let
 from quern.functions.text import is_blank, unicode_trim
+from quern.session import ship_package
 
 PLAIN, MARKDOWN, PDF = "text/plain", "text/markdown", "application/pdf"
 DOCX = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
@@ -132,6 +137,8 @@ def parse_text(sources: DataFrame) -> DataFrame:
     return parsed.select("document_id", shown.alias("title"), "text", "sections")
 
 
+#: Rows and bytes of archives that a worker has open at once.
+SLICE, SLICE_BYTES = 256, 4 << 20
 #: Bytes that a part of an archive may have when it is unpacked.
 MOST_UNPACKED = 1 << 28
 
@@ -174,13 +181,32 @@ def parse_docx(files: DataFrame) -> DataFrame:
     """``source_uri, title, text, error`` from ``source_uri, content`` (bytes): paragraphs
     joined by blank lines, the title from the core properties."""
 
-    @F.pandas_udf("struct<title:string,text:string,error:string>")
-    def parse(content):
-        import pandas as pd
-
-        return pd.DataFrame([_docx(x) for x in content], columns=["title", "text", "error"])
-
-    return files.withColumn("d", parse("content")).select("source_uri", "d.*")
+    return in_slices(files.select("source_uri", "content"), "content", "title string, text string, error string", lambda data: _docx(data).values())
+
+
+def in_slices(rows: DataFrame, column: str, made: str, make: Callable) -> DataFrame:
+    """``rows`` without ``column``, and with what ``make`` returns for each of its values (as the
+    schema ``made`` has it). A worker holds the objects of ``SLICE`` rows, or of ``SLICE_BYTES``,
+    and not those of a whole batch."""
+    ship_package(rows.sparkSession)
+    kept = [f for f in rows.schema if f.name != column]
+    names = [f.name for f in kept] + [part.split()[0] for part in made.split(", ")]
+    kinds = [pa.binary() if part.endswith(" binary") else pa.string() for part in made.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+            before, start = np.append(0, np.cumsum(sizes, dtype=np.int64)), 0
+            while start < batch.num_rows:
+                stop = int(np.searchsorted(before, before[start] + SLICE_BYTES, "right")) - 1
+                some = batch.slice(start, min(max(1, stop - start), SLICE))
+                out = [tuple(make(v.as_py())) for v in some.column(column)]
+                columns = [pa.array(list(c), kind) for c, kind in zip(zip(*out), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(some.column(f.name) for f in kept), *columns], names)
+                start += some.num_rows
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), made])
+    return rows.mapInArrow(run, schema)
 
 
 def _pdf(data: bytes | None) -> dict:
