@@ -156,6 +156,13 @@ class VersionedTable:
             return self.spark.read.format(self.format).schema(self.schema).load([f"{self.path}/{d}" for d in version.data])
         return self._present(version).select(*self.schema.fieldNames())
 
+    def placed(self, number: int | None = None) -> DataFrame:
+        """The rows of a version with their places, ``_file`` and ``_row``."""
+        version = self.version(number)
+        if not version.data:
+            return self.spark.createDataFrame([], StructType(self.schema.fields + StructType.fromDDL(_DELETED).fields))
+        return self._present(version)
+
     def append(self, rows: DataFrame) -> Version:
         folder = self._write(rows.select(*self.schema.fieldNames()), "data")
         return self._retried(lambda base: ([*base.data, folder], list(base.deleted)))

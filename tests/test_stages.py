@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from quern.operators import stages as operators_stages
 from quern.operators.bitmaps import All, Any, BitmapIndex, Equals, all_of
 from quern.operators.filters import exact_metadata_matches, metadata_matches
 from quern.operators.stages import Stage, StageStore
@@ -52,6 +53,39 @@ def test_outputs_of_an_unmarked_try_are_replaced(spark, tmp_path):
     assert n == 1 and sorted(map(tuple, again.collect())) == want
 
 
+def test_a_later_stage_reads_outputs_that_were_replaced(spark, tmp_path):
+    store, rows = StageStore(spark, f"file://{tmp_path}/s"), docs(spark, "a bb", "ccc")
+    store.run(stages()[0], rows)
+    _, done = store._tables(stages()[0])
+    done.overwrite(done.read().limit(0))  # stopped before the mark
+    found, worked = store.run_all(stages(), rows)
+    assert worked == {"split": 2, "embed": 3, "index": 3}
+    assert sorted((r.id, r.word, r.place) for r in found.collect()) == [(0, "a", 1), (0, "bb", 2), (1, "ccc", 3)]
+
+
+def test_rows_are_written_once_and_later_stages_read_kept_outputs(spark, tmp_path, monkeypatch):
+    written, put = [], operators_stages.materialize
+    monkeypatch.setattr(operators_stages, "materialize", lambda df, tag: written.append(df.columns) or put(df, tag))
+    store = StageStore(spark, f"file://{tmp_path}/s")
+    store.run_all(stages(), docs(spark, "gone and"))
+    found, worked = store.run_all(stages(), docs(spark, "a bb", "bb ccc", "a bb"))
+    assert worked == {"split": 2, "embed": 3, "index": 2}  # "gone" and "and" are kept, but not of these rows
+    assert sorted(map(tuple, found.collect())) == [
+        (0, "a bb", "a", 1, 1), (0, "a bb", "bb", 2, 2), (1, "bb ccc", "bb", 2, 2), (1, "bb ccc", "ccc", 3, 3), (2, "a bb", "a", 1, 1), (2, "a bb", "bb", 2, 2),
+    ]
+    assert sum("text" in c for c in written) == 2 and not any("word" in c for c in written)
+
+
+def test_a_stage_may_read_rows_and_outputs(spark, tmp_path):
+    def both(rows):
+        return rows.select("_key", F.concat_ws("/", "text", "word").alias("both"))
+
+    chain = [stages()[0], Stage("both", "1", ["text", "word"], "both string", both), Stage("again", "1", ["word", "both"], "n int", lambda r: r.select("_key", F.length("both").alias("n")))]
+    found, worked = StageStore(spark, f"file://{tmp_path}/s").run_all(chain, docs(spark, "a bb", "bb"))
+    assert worked == {"split": 2, "both": 3, "again": 3}
+    assert sorted((r.id, r.both, r.n) for r in found.collect()) == [(0, "a bb/a", 6), (0, "a bb/bb", 7), (1, "bb/bb", 5)]
+
+
 KIND = "record_id string, metadata map<string,string>, tenant string"
 
 
