@@ -99,11 +99,23 @@ def keywords(text: Column) -> Column:
     Word boundaries are those of ASCII word characters, so ideographs that stand alone are
     not removed unless ASCII word characters touch them on the outside of the boundary.
     """
-    listed = "|".join(STOP_WORDS)
-    edge_before = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
-    cleaned = F.regexp_replace(F.lower(text), f"{edge_before}(?:{listed}){edge_before}", " ")
-    words = F.split(cleaned, r"[^a-z0-9\x{4e00}-\x{9fff}]+")
-    return F.array_distinct(F.filter(words, lambda w: F.length(w) >= 2))
+    edge = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
+    listed = f"{edge}(?:{'|'.join(STOP_WORDS)}){edge}"
+
+    def parts(run: Column) -> Column:
+        return F.split(F.regexp_replace(run, listed, " "), r"[^a-z0-9\x{4e00}-\x{9fff}]+")
+
+    # a stop word lies within a run, and in a run of ASCII letters and digits it is the whole run, so
+    # such runs need only be looked up; the distinct others are few
+    runs = F.split(F.lower(text), r"[^a-z0-9_\x{4e00}-\x{9fff}]+")
+    told = F.array_except(runs, F.array(*(F.lit(w) for w in STOP_WORDS if w.isascii())))
+    mixed = r"[_\x{4e00}-\x{9fff}]"
+
+    def words(found: Column) -> Column:
+        cut = F.flatten(F.transform(found, lambda r: F.when(r.rlike(mixed), parts(r)).otherwise(F.array(r))))
+        return F.when(F.exists(found, lambda r: r.rlike(mixed)), F.array_distinct(cut)).otherwise(found)
+
+    return F.filter(let(told, words), lambda w: F.length(w) >= 2)
 
 
 def token_units(text: Column) -> tuple[Column, Column]:

@@ -88,6 +88,17 @@ def test_keywords(spark):
     assert got[0] == ["leave", "policy", "vpn"] and got[1] == []
 
 
+def test_keywords_look_stop_words_up_and_keep_the_order(spark):
+    texts = [None, "", "the_cat and_ dog", "什么 x什么y 的the and的 b", "Tree the TREE do does_ doing é the é", "zz 的的 a的b_c的the1 yy zz"]
+    edge = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
+    stop = re.compile(f"{edge}(?:{'|'.join(text.STOP_WORDS)}){edge}")
+    plain = [t if t is None else list(dict.fromkeys(w for w in re.split("[^a-z0-9\u4e00-\u9fff]+", stop.sub(" ", t.lower())) if len(w) > 1)) for t in texts]
+    assert column(spark, texts, text.keywords) == plain
+    plan = spark.createDataFrame([("x",)], "t string").select(text.keywords(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_except" in plan  # no alternation of all stop words at every place of a text
+
+
+
 def test_trims(spark):
     value = "\u0085  x 　﻿"
     assert column(spark, [value], text.unicode_trim) == ["x 　﻿"]
