@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quern.functions.columns import let
+
 
 def dot(a: Column, b: Column) -> Column:
     """The inner product, accumulated in double precision from left to right."""
@@ -43,10 +45,11 @@ def dimension_problem(vector: Column, query: Column) -> Column:
 def deterministic_vector(model: Column, chunk_id: Column, content_hash: Column, char_count: Column) -> Column:
     """Eight numbers in [0, 1) from a SHA-256 over the inputs: a stand-in embedding."""
     digest = F.sha2(F.concat_ws("|", model, chunk_id, content_hash, char_count.cast("string")), 256)
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(7)),
-        lambda i: (F.conv(F.substring(digest, 1 + 8 * i, F.lit(8)), 16, 10).cast("long") % 10000 / 10000).cast("float"),
-    )
+
+    def number(d: Column, i: int) -> Column:
+        return (F.conv(F.substring(d, 1 + 8 * i, 8), 16, 10).cast("long") % 10000 / 10000).cast("float")
+
+    return let(digest, lambda d: F.array(*(number(d, i) for i in range(8))))
 
 
 def vector_reference(model: Column, chunk_id: Column, content_hash: Column, char_count: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.columns import let
-from quern.functions.text import GO_SPACE, sentences, unicode_trim
+from quern.functions.text import GO_SPACE, unicode_trim
 from quern.operators.indexing import embedding_inputs
 from quern.session import materialize, ship_package
 
@@ -303,10 +303,47 @@ def split_list(text: str, start: int, stop: int, target: int) -> list[tuple[str,
     return out
 
 
+def _sentences_of(paragraphs: DataFrame, key: str) -> DataFrame:
+    """``_at, key, chunk_index, s``: the sentences of ``functions.text.sentences``, a row for each."""
+    ship_package(paragraphs.sparkSession)
+
+    def cut(batches):
+        import pyarrow as pa
+
+        part = re.compile("[^。！？\n]*[。！？\n]|[^。！？\n]+")
+        for batch in batches:
+            for first in range(0, batch.num_rows, 256):
+                few = batch.slice(first, 256)
+                rows, numbers, texts, starts, stops = [], [], [], [], []
+                for row, text in enumerate(few.column(2).to_pylist()):
+                    at = n = 0
+                    for found in part.findall(text or ""):
+                        stop = at + len(found.encode())
+                        if trimmed := found.strip(GO_SPACE):
+                            rows.append(row)
+                            numbers.append(n)
+                            texts.append(trimmed)
+                            starts.append(at)
+                            stops.append(stop)
+                            n += 1
+                        at = stop
+                spans = pa.StructArray.from_arrays(
+                    [pa.array(texts, pa.string()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32())], ["text", "start", "stop"]
+                )
+                own = few.take(pa.array(rows, pa.int32()))
+                yield pa.RecordBatch.from_arrays(
+                    [own.column(0), own.column(1), pa.array(numbers, pa.int32()), spans], ["_at", key, "chunk_index", "s"]
+                )
+
+    kind = paragraphs.schema[key].dataType.simpleString()
+    schema = f"_at string, `{key}` {kind}, chunk_index int, s struct<text:string,start:int,stop:int>"
+    return paragraphs.select("_at", key, "text").mapInArrow(cut, schema)
+
+
 def _by_similarity(paragraphs: DataFrame, key: str, target: int, provider, least: float) -> DataFrame:
     """``_at, _merged``: sentences of long paragraphs (``_at`` is unique) joined where their
     vectors are alike; paragraphs of which a sentence has no vector are left out."""
-    parted = paragraphs.select("_at", key, F.posexplode(sentences(F.col("text"))).alias("chunk_index", "s"))
+    parted = materialize(_sentences_of(paragraphs, key), "sentences")  # read twice below
     rows = parted.select(
         "_at", F.col(key).cast("string").alias("document_id"), F.concat_ws("_sent_", "_at", "chunk_index").alias("chunk_id"), "chunk_index",
         F.col("s.text").alias("text"), F.length("s.text").alias("char_count"), "s",
