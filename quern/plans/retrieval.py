@@ -86,7 +86,7 @@ def local_term_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = fixtures.queries(spark, sf_dir).select(
         "query_id", extract_terms(F.col("query")).alias("terms")
     )
-    scored = containment_scores(docs, terms, chunk="doc_id", text="hay")
+    scored = containment_scores(docs, terms, chunk="doc_id", text="hay", best=6)
     return top_k(scored, 6, tie="doc_id").select("query_id", "doc_id", "score", "rank")
 
 

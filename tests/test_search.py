@@ -132,6 +132,29 @@ def test_containment_by_weights_and_scopes(spark):
         assert sorted(map(tuple, found.collect())) == want
 
 
+@pytest.mark.parametrize("kind", ["long", "int", "string"])
+def test_containment_cuts_in_tasks(spark, kind):
+    """Each task sends the best of a query only."""
+    import random
+
+    from quern.operators import local
+    from quern.operators.ranking import top_k
+
+    rng = random.Random(3)
+    pool = ["plan", "roll", "planroll", "an", "zz", "é。plan", "Zan"]
+    docs = [(n, rng.choice([None, "", " ".join(rng.choices(pool, k=rng.randrange(1, 5)))])) for n in range(400)]
+    asked = [(n, rng.choices(["plan", "an", "l r", "zz", "oll", "é"], k=rng.randrange(4))) for n in range(12)]
+    chunks = spark.createDataFrame(docs, "chunk_id long, text string").withColumn("chunk_id", F.col("chunk_id").cast(kind)).repartition(3)
+    queries = spark.createDataFrame(asked, "query_id long, terms array<string>")
+    whole = local.containment_scores(chunks, queries)
+    found = local.containment_scores(chunks, queries, best=4)
+    rows = lambda df: sorted(map(tuple, top_k(df, 4).collect()))
+    assert rows(found) == rows(whole) != []
+    want = sorted((q, float(s)) for q, terms in asked for c, t in docs if (s := sum(w in (t or "") for w in terms)) > 0)
+    assert sorted((r.query_id, r.score) for r in whole.collect()) == want
+    assert found.count() <= 3 * 4 * 12 or kind == "string"
+
+
 def test_copies_tie_whatever_the_order_of_additions(spark):
     """Copies have one score, so that the smaller id comes first."""
     from quern.operators import bm25
