@@ -197,3 +197,59 @@ def test_blocks_of_a_group():
     )
     got = sorted((r["term"], r["title"], r["n"], r["shortest"], sorted((c["chunk"], c["length"]) for c in r["chunks"])) for r in _blocks_of(group).to_pylist())
     assert got == [("x", False, 1, 2, [("a", 2)]), ("y", False, 2, 1, [("a", 2), ("b", 1)]), ("y", True, 1, 1, [("b", 1)])]
+
+
+def shuffled_records(spark):
+    """By all stages of the session so far."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    none = spark.sparkContext._gateway.jvm.java.util.ArrayList()
+    stages = store.stageList(none, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._gateway.jvm.double, 0), none)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_postings_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """Of a large vocabulary neither building nor searching an index moves more than the queries' blocks."""
+    monkeypatch.setattr("quern.operators.postings.TERMS", 0)
+    rows = [(k, " ".join([f"own{k}x{n}" for n in range(60)] + ["alpha", "beta"][k % 2 :])) for k in range(400)]
+    texts = spark.createDataFrame(rows, "chunk_id long, text string")
+    asked = spark.createDataFrame([(1, "alpha own7x3"), (2, "beta own8x1 own9x2")], "query_id long, query string")
+    before = shuffled_records(spark)
+    index = PostingsIndex.build(texts, f"file://{tmp_path}/p")
+    built = shuffled_records(spark)
+    hits = index.search(asked, 5).hits().collect()
+    assert len(hits) == 10 and built - before < 100 and shuffled_records(spark) - built < 2000
+
+
+def test_passes_of_queries_text_ids_and_long_sums(spark, tmp_path, monkeypatch):
+    """A query to a pass; ids are texts; copies tie and the id decides."""
+    monkeypatch.setattr("quern.operators.postings.PASS", 1)
+    monkeypatch.setattr("quern.operators.postings.GROUP", 4)
+    texts = chunks(spark, n=60).withColumn("chunk_id", F.concat(F.lit("c"), F.col("chunk_id")))
+    texts = texts.unionByName(texts.withColumn("chunk_id", F.concat("chunk_id", F.lit("b"))))
+    index = PostingsIndex.build(texts, f"file://{tmp_path}/p")
+    got = index.search(searches(spark), 5).hits().collect()
+    want = top_k(bm25.bm25_scores(texts, searches(spark)), 5).collect()
+    assert sorted((r.query_id, r["rank"], r.chunk_id, r.score) for r in got) == sorted((r.query_id, r["rank"], r.chunk_id, r.score) for r in want)
+    members = index.groups().select(F.explode("members.chunk").alias("c"))
+    assert members.count() == members.distinct().count() == texts.count()
+
+
+def test_an_empty_index_can_be_built(spark, tmp_path):
+    assert PostingsIndex.build(chunks(spark).filter("false"), f"file://{tmp_path}/e").segments() == 0
+
+
+def test_sums_beyond_exact_doubles_are_whole_numbers():
+    from quern.operators.postings import _Pass
+
+    row = {"_query": 1, "_scope": 0, "_w": ["a", "b"], "_idfs": [1.0, 1.0], "_essentials": [True, False], "_mean": 1.0, "_low": 0.0, "_reached": None}
+    codes, shares = np.array([0, 1]), np.array([[2.0**53], [2.0]])
+    able, scores = _Pass([row], 5, 0.0).scores(codes, shares, np.array([0]))
+    assert list(able) == [0] and scores[0, 0] == (2.0**53 + 2) / bm25.STEPS
+
+
+def test_repeated_runs_give_their_terms_once(spark):
+    words = spark.createDataFrame([("请假", 10), ("流程", 5)], "word string, frequency long")
+    terms = segmentation.tokenizer(segmentation.segmenter(words))
+    row = spark.createDataFrame([("流程请假 ab 请假流程 流程请假 ab cd 请假流程", "流程请假 ab 请假流程 cd")], "t string, u string")
+    r = row.select(terms(F.col("t")).alias("t"), terms(F.col("u")).alias("u"), tokenize_terms(F.col("t")).alias("p"), tokenize_terms(F.col("u")).alias("q")).first()
+    assert r.t == r.u and r.p == r.q and r.t[:2] == ["流程", "请假"]
