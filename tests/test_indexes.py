@@ -220,6 +220,35 @@ def test_postings_are_not_shuffled(spark, tmp_path, monkeypatch):
     assert len(hits) == 10 and built - before < 100 and shuffled_records(spark) - built < 2000
 
 
+def test_blocks_are_cut_to_the_queries_terms_before_they_are_shuffled(spark, tmp_path, monkeypatch):
+    """Also where Spark broadcasts nothing by itself."""
+    monkeypatch.setattr("quern.operators.postings.TERMS", 0)
+    monkeypatch.setattr("quern.operators.postings.GROUP", 8)
+    rows = [(k, " ".join([f"own{k}x{n}" for n in range(60)] + ["alpha", "beta"][k % 2 :])) for k in range(400)]
+    texts = spark.createDataFrame(rows, "chunk_id long, text string")
+    asked = spark.createDataFrame([(1, "alpha beta"), (2, "beta")], "query_id long, query string")
+    search = PostingsIndex.build(texts, f"file://{tmp_path}/p").search(asked, 1)
+    before = shuffled_records(spark)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert [(r.query_id, r.chunk_id) for r in search.hits().orderBy("query_id").collect()] == [(1, 0), (2, 1)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert shuffled_records(spark) - before < 2000
+
+
+def test_small_batches_leave_the_session_as_it_was(spark):
+    from quern.session import batches_of
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    with pytest.raises(ZeroDivisionError), batches_of(spark, 1 << 20):
+        assert spark.conf.get(key) == f"{1 << 20}b"
+        1 / 0  # noqa: B018
+    assert spark.conf.get(key) == before
+
+
 def test_passes_of_queries_text_ids_and_long_sums(spark, tmp_path, monkeypatch):
     """A query to a pass; ids are texts; copies tie and the id decides."""
     monkeypatch.setattr("quern.operators.postings.PASS", 1)
